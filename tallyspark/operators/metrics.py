@@ -120,7 +120,7 @@ def class_report(df: DataFrame, gt: str, pred: str, by: list[str] | None = None,
                      F.col("support").cast("bigint").alias("support"))
     if names:
         nm = F.create_map(*[x for k, v in names.items() for x in (F.lit(str(k)), F.lit(v))])
-        out = out.withColumn("name", F.coalesce(F.element_at(nm, F.col("row")), F.col("row")))
+        out = out.withColumn("name", F.coalesce(F.try_element_at(nm, F.col("row")), F.col("row")))
     return out
 
 

@@ -40,7 +40,10 @@ def merge_predictions(long: DataFrame, sample: list[str], rater: str, label: str
     """A1: one row per sample, one column per rater (one shuffle, no fold of joins)."""
     keep = keep or []
     raters = raters if raters is not None else raters_of(long, rater)
-    return long.groupBy(*sample, *keep).pivot(rater, raters).agg(F.max(label))
+    # One conditional max per rater: a single code-generated aggregate with
+    # map-side combine (a pivot would add two non-codegen aggregation steps).
+    cols = [F.max(F.when(F.col(rater) == F.lit(r), F.col(label))).alias(str(r)) for r in raters]
+    return long.groupBy(*sample, *keep).agg(*cols)
 
 
 # -- A2/A3/A4/A11 ---------------------------------------------------------------

@@ -75,3 +75,14 @@ def local_dir(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Repartition a scan that yields fewer partitions than the session can
+    run at once (e.g. one small single-row-group file), so the row-wise work
+    that follows uses every core.  Large inputs (many splits) pass through
+    untouched: no shuffle is added where the scan already parallelises."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() < n:
+        return df.repartition(n)
+    return df

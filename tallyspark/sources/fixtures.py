@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.codes import MANCOLL_CODES
 from tallyspark.functions.hashing import hash32, pick, sql_hash32, sql_pick
 from tallyspark.operators.relate import first_per_key
+from tallyspark.session import spread
 
 # (model, error percent); every model has runs 1..3.
 MODELS = [("m1", 10), ("m2", 20), ("m3", 30)]
@@ -55,8 +56,9 @@ class Views:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+    def table(self, name: str, spread_rows: bool = True) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if spread_rows else df
 
     # -- predictions: one row per (sample, model, run) -------------------------
     @cached_property
@@ -64,15 +66,16 @@ class Views:
         grid = F.inline(F.array(*[
             F.struct(F.lit(m).alias("model"), F.lit(r).alias("run"), F.lit(e).alias("err"))
             for m, e in MODELS for r in RUNS]))
-        base = self.table("orders").select(F.col("o_orderkey").alias("sid"), grid)
+        # The truth label is per sample: derive it before the 9x fan-out.
+        per_sample = self.table("orders").select(F.col("o_orderkey").alias("sid"),
+                                                 _code7("o_orderkey", "gt").alias("gt"))
+        base = per_sample.select("sid", "gt", grid)
         tag = F.concat(F.col("model"), F.col("run").cast("string"))
-        gt = _code7("sid", "gt")
         pred = F.when(hash32("sid", F.concat(F.lit("e"), tag)) % 100 < F.col("err"),
                       pick(hash32("sid", F.concat(F.lit("p"), tag)), MANCOLL_CODES)
-                      ).otherwise(gt).cast("int")
+                      ).otherwise(F.col("gt")).cast("int")
         return (base.where(hash32("sid", F.concat(F.lit("d"), tag)) % 50 != 0)
-                .select("sid", "model", F.col("run").cast("int").alias("run"),
-                        gt.alias("gt"), pred.alias("pred")))
+                .select("sid", "model", F.col("run").cast("int").alias("run"), "gt", pred.alias("pred")))
 
     @cached_property
     def pred_text(self) -> DataFrame:

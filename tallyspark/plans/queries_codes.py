@@ -91,7 +91,12 @@ def q_unpivot_codebook(spark, sf_dir):
     return codebook_from_gv(spark, sf_dir)
 
 
-@register("parse_options", note="rows only: dict-literal parsing has no portable SQL")
+_OPT_SQL = ("SELECT conf, CAST(unnest(regexp_extract_all(options, '(\\d+): ', 1)) AS INTEGER) AS code, "
+            "unnest(regexp_extract_all(options, ': ''([^'']*)''', 1)) AS meaning FROM cb")
+
+
+@register("parse_options", sql=with_views("gv", _OPT_SQL, [("cb", _CB_SQL)]),
+          note="oracle extracts the pairs with regexes (generated options hold no escaped quotes)")
 def q_parse_options(spark, sf_dir):
     return C.parse_options(codebook_from_gv(spark, sf_dir))[0]
 

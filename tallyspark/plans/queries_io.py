@@ -128,7 +128,14 @@ def q_profile_tables(spark, sf_dir):
     return IO.profile_tables({t: v.table(t) for t in PROFILED}).drop("ordinal")
 
 
-@register("write_report", note="writes CSV + partitioned Parquet, reads both back")
+def _write_report_sql() -> str:
+    from tallyspark.plans.registry import REGISTRY
+    a10 = REGISTRY["self_consistency"].sql
+    return a10.replace("SELECT s.model, nr.num_runs,", "SELECT s.model, nr.num_runs, "
+                       "(SELECT count(DISTINCT o_orderkey) FROM orders) AS merged_rows,", 1)
+
+
+@register("write_report", sql=_write_report_sql(), note="writes CSV + partitioned Parquet, reads both back")
 def q_write_report(spark, sf_dir):
     from tallyspark.operators import agree
     root = scratch_path(spark, "report")

@@ -1,11 +1,11 @@
 """Agreement between raters and between repeated runs.
 
 Input is one **long** table: one row per (sample, rater) with a label, plus
-optional grouping columns (``by``, e.g. the model) and a truth column.  Every
-operator first clusters rows by (by, sample) once; the per-sample
-aggregations that follow reuse that partitioning, so a chain of aggregations
-costs one shuffle of the raw rows.  A sample holds at most one row per rater,
-so no sample group can grow with the data.
+optional grouping columns (``by``, e.g. the model) and a truth column.  Each
+operator aggregates on the finest key first (sample × label), with map-side
+combine, and only then per sample or per group: a sample or group holding a
+third of all rows is pre-aggregated in every map task before it is shuffled,
+so no task ever receives a hot key's raw rows.
 """
 
 from __future__ import annotations
@@ -22,12 +22,6 @@ def _r6(c: Column) -> Column:
     return F.round(c, 6)
 
 
-def cluster(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Hash-partition rows by ``cols`` so chained aggregations on supersets of
-    ``cols`` need no further exchange."""
-    return df.repartition(*cols)
-
-
 def raters_of(long: DataFrame, rater: str) -> list:
     """Distinct rater names (a tiny aggregate; raters are few by nature)."""
     return sorted(r[0] for r in long.select(rater).distinct().collect())
@@ -88,7 +82,7 @@ def pairwise_agreement(long: DataFrame, sample: list[str], rater: str, label: st
     raters = [str(r) for r in (raters if raters is not None else raters_of(long, rater))]
     keep = [truth] if truth else []
     src = long.withColumn(rater, F.col(rater).cast("string"))
-    wide = merge_predictions(cluster(src, by + sample), by + sample, rater, label, raters, keep)
+    wide = merge_predictions(src, by + sample, rater, label, raters, keep)
     cols = list(raters)
     if truth:
         wide = wide.withColumn(truth_name, F.col(truth))
@@ -118,7 +112,7 @@ def sample_consistency(long: DataFrame, sample: list[str], label: str, truth: st
     rnd = _r6 if rounded else (lambda c: c)
     keys = by + sample + ([truth] if truth else [])
     votes = long.where(F.col(label).isNotNull())
-    per_label = cluster(votes, by + sample).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"))
+    per_label = votes.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"))
     aggs = [F.sum("_n").alias("n_votes"), F.max("_n").alias("_top")]
     if truth:
         aggs.append(F.max(F.when(F.col(label) == F.col(truth), F.col("_n") + 1)
@@ -188,7 +182,7 @@ def fleiss_kappa(long: DataFrame, sample: list[str], label: str, by: list[str] |
     votes = long.where(F.col(label).isNotNull())
     if not given:
         votes = votes.withColumn("_g", F.lit(0))
-    cnt = cluster(votes, by + sample).groupBy(*by, *sample, label).agg(F.count(F.lit(1)).alias("c"))
+    cnt = votes.groupBy(*by, *sample, label).agg(F.count(F.lit(1)).alias("c"))
     from pyspark.sql import Window
     w = Window.partitionBy(*by, *sample)
     cw = cnt.withColumn("n_i", F.sum("c").over(w)).where(F.col("n_i") >= 2)
@@ -217,24 +211,28 @@ def fleiss_kappa(long: DataFrame, sample: list[str], label: str, by: list[str] |
 
 def majority_vote(long: DataFrame, sample: list[str], label: str, order: str,
                   by: list[str] | None = None, keep: list[str] | None = None,
-                  clustered: bool = False, rounded: bool = True) -> DataFrame:
+                  rounded: bool = True, with_runs: bool = False) -> DataFrame:
     """Winning label per sample and its share of the votes.
 
     Ties go to the label first seen in ``order`` (earliest run).  One vote
     gives ratio 1.0; a sample with no non-null vote gets nulls.
+    ``with_runs`` also returns the set of ``order`` values per sample label
+    (bounded by the number of runs), for run counts without a second scan.
     """
     by = by or []
     keep = keep or []
     rnd = _r6 if rounded else (lambda c: c)
-    src = long if clustered else cluster(long, by + sample)
-    per = src.groupBy(*by, *sample, *keep, label).agg(
-        F.count(label).alias("_n"), F.min(order).alias("_first"))
+    aggs = [F.count(label).alias("_n"), F.min(order).alias("_first")]
+    if with_runs:
+        aggs.append(F.collect_set(order).alias("_runs"))
+    per = long.groupBy(*by, *sample, *keep, label).agg(*aggs)
     rank_key = F.struct(F.col("_n"), -F.col("_first"))
     v = per.groupBy(*by, *sample, *keep).agg(
         F.max_by(F.when(F.col("_n") > 0, F.col(label)), rank_key).alias("maj_pred"),
         F.sum("_n").alias("n_votes"), F.max("_n").alias("_top"))
-    return v.select(*by, *sample, *keep, "maj_pred", F.col("n_votes").cast("bigint").alias("n_votes"),
-                    F.when(F.col("n_votes") > 0, rnd(F.col("_top") / F.col("n_votes"))).alias("consistency"))
+    out = v.select(*by, *sample, *keep, "maj_pred", F.col("n_votes").cast("bigint").alias("n_votes"),
+                   F.when(F.col("n_votes") > 0, rnd(F.col("_top") / F.col("n_votes"))).alias("consistency"))
+    return (out, per) if with_runs else out
 
 
 def self_consistency(long: DataFrame, sample: list[str], label: str, run: str, truth: str,
@@ -242,10 +240,10 @@ def self_consistency(long: DataFrame, sample: list[str], label: str, run: str, t
     """A10: per model — runs, samples, mean vote share and majority accuracy,
     each over all samples and over samples whose truth is not ``exclude``.
 
-    The run count reuses the same clustered exchange as the votes.
+    The run count comes from the per-(sample, label) run sets of the vote
+    step (same exchange, reused), not from a second pass over the input.
     """
-    src = cluster(long, by + sample)
-    votes = majority_vote(src, sample, label, run, by, [truth], clustered=True, rounded=False)
+    votes, per = majority_vote(long, sample, label, run, by, [truth], rounded=False, with_runs=True)
     keep = F.col(truth) != F.lit(exclude)
     both = F.col(truth).isNotNull() & F.col("maj_pred").isNotNull()
     hit = F.when(both, (F.col(truth) == F.col("maj_pred")).cast("double"))
@@ -255,7 +253,8 @@ def self_consistency(long: DataFrame, sample: list[str], label: str, run: str, t
         _r6(F.avg(F.when(keep, F.col("consistency")))).alias("self_consistency_excl9"),
         _r6(F.avg(hit)).alias("majority_acc_incl9"),
         _r6(F.avg(F.when(keep, hit))).alias("majority_acc_excl9"))
-    runs = src.select(*by, run).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("num_runs"))
+    runs = (per.select(*by, F.explode("_runs").alias("_run")).distinct()
+            .groupBy(*by).agg(F.count(F.lit(1)).alias("num_runs")))
     return (summary.join(runs, by, "inner")
             .select(*by, "num_runs", "n_samples", "self_consistency_incl9", "self_consistency_excl9",
                     "majority_acc_incl9", "majority_acc_excl9")

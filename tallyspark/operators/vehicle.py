@@ -1,11 +1,11 @@
 """Vehicle-level scoring.
 
 Truth and prediction rows are keyed by (case, vehicle).  Instead of a full
-outer join followed by a per-case aggregate (two exchanges on different
-keys), both sides are tagged, unioned and clustered by case once; the
-per-key and per-case aggregations then run without another shuffle.  A case
-with very many vehicles is still one aggregation group, but aggregates
-combine map-side, so no group is ever materialised as a list.
+outer join, both sides are tagged and unioned; one aggregate per key pairs
+them, and a per-case aggregate (combined map-side before its shuffle)
+scores each case.  A case holding a third of all vehicles is therefore
+spread over all tasks by (case, vehicle) and reaches the per-case step as
+one partial row per task; no group is ever materialised as a list.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def pair_vehicles(truth: DataFrame, pred: DataFrame, case: str = "caseid", veh:
     cols = [case, veh, *values]
     t = truth.select(*cols, F.lit(True).alias("_t"))
     p = pred.select(*cols, F.lit(False).alias("_t"))
-    u = t.unionByName(p).repartition(case)
+    u = t.unionByName(p)
     aggs = [F.max(F.col("_t").cast("int")).cast("boolean").alias("in_truth"),
             F.max((~F.col("_t")).cast("int")).cast("boolean").alias("in_pred")]
     for v in values:

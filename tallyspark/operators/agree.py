@@ -209,30 +209,31 @@ def fleiss_kappa(long: DataFrame, sample: list[str], label: str, by: list[str] |
 
 # -- A9/A10 -------------------------------------------------------------------------
 
+def _vote_rank(n: Column, first: Column) -> Column:
+    """Orders vote groups by size, then by earliest ``first`` (one BIGINT, so
+    ``max_by`` stays a hash aggregate): n·2^32 + (2^31 − 1 − first)."""
+    return n.cast("bigint") * F.lit(4294967296) + (F.lit(2147483647) - first.cast("bigint"))
+
+
 def majority_vote(long: DataFrame, sample: list[str], label: str, order: str,
                   by: list[str] | None = None, keep: list[str] | None = None,
-                  rounded: bool = True, with_runs: bool = False) -> DataFrame:
+                  rounded: bool = True) -> DataFrame:
     """Winning label per sample and its share of the votes.
 
-    Ties go to the label first seen in ``order`` (earliest run).  One vote
-    gives ratio 1.0; a sample with no non-null vote gets nulls.
-    ``with_runs`` also returns the set of ``order`` values per sample label
-    (bounded by the number of runs), for run counts without a second scan.
+    Ties go to the label first seen in ``order`` (earliest run; ``order``
+    must be an integer).  One vote gives ratio 1.0; a sample with no
+    non-null vote gets nulls.
     """
     by = by or []
     keep = keep or []
     rnd = _r6 if rounded else (lambda c: c)
-    aggs = [F.count(label).alias("_n"), F.min(order).alias("_first")]
-    if with_runs:
-        aggs.append(F.collect_set(order).alias("_runs"))
-    per = long.groupBy(*by, *sample, *keep, label).agg(*aggs)
-    rank_key = F.struct(F.col("_n"), -F.col("_first"))
+    per = long.groupBy(*by, *sample, *keep, label).agg(
+        F.count(label).alias("_n"), F.min(order).alias("_first"))
     v = per.groupBy(*by, *sample, *keep).agg(
-        F.max_by(F.when(F.col("_n") > 0, F.col(label)), rank_key).alias("maj_pred"),
+        F.max_by(F.when(F.col("_n") > 0, F.col(label)), _vote_rank(F.col("_n"), F.col("_first"))).alias("maj_pred"),
         F.sum("_n").alias("n_votes"), F.max("_n").alias("_top"))
-    out = v.select(*by, *sample, *keep, "maj_pred", F.col("n_votes").cast("bigint").alias("n_votes"),
-                   F.when(F.col("n_votes") > 0, rnd(F.col("_top") / F.col("n_votes"))).alias("consistency"))
-    return (out, per) if with_runs else out
+    return v.select(*by, *sample, *keep, "maj_pred", F.col("n_votes").cast("bigint").alias("n_votes"),
+                    F.when(F.col("n_votes") > 0, rnd(F.col("_top") / F.col("n_votes"))).alias("consistency"))
 
 
 def self_consistency(long: DataFrame, sample: list[str], label: str, run: str, truth: str,
@@ -240,10 +241,10 @@ def self_consistency(long: DataFrame, sample: list[str], label: str, run: str, t
     """A10: per model — runs, samples, mean vote share and majority accuracy,
     each over all samples and over samples whose truth is not ``exclude``.
 
-    The run count comes from the per-(sample, label) run sets of the vote
-    step (same exchange, reused), not from a second pass over the input.
+    The run count is a separate distinct over (model, run): two columns,
+    combined map-side, a handful of rows after the shuffle.
     """
-    votes, per = majority_vote(long, sample, label, run, by, [truth], rounded=False, with_runs=True)
+    votes = majority_vote(long, sample, label, run, by, [truth], rounded=False)
     keep = F.col(truth) != F.lit(exclude)
     both = F.col(truth).isNotNull() & F.col("maj_pred").isNotNull()
     hit = F.when(both, (F.col(truth) == F.col("maj_pred")).cast("double"))
@@ -253,8 +254,7 @@ def self_consistency(long: DataFrame, sample: list[str], label: str, run: str, t
         _r6(F.avg(F.when(keep, F.col("consistency")))).alias("self_consistency_excl9"),
         _r6(F.avg(hit)).alias("majority_acc_incl9"),
         _r6(F.avg(F.when(keep, hit))).alias("majority_acc_excl9"))
-    runs = (per.select(*by, F.explode("_runs").alias("_run")).distinct()
-            .groupBy(*by).agg(F.count(F.lit(1)).alias("num_runs")))
+    runs = long.select(*by, run).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("num_runs"))
     return (summary.join(runs, by, "inner")
             .select(*by, "num_runs", "n_samples", "self_consistency_incl9", "self_consistency_excl9",
                     "majority_acc_incl9", "majority_acc_excl9")

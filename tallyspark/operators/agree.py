@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.codes import UNKNOWN_CODE
+from tallyspark.functions.joins import join_keys
 
 
 def _r6(c: Column) -> Column:
@@ -188,7 +189,7 @@ def fleiss_kappa(long: DataFrame, sample: list[str], label: str, by: list[str] |
     cw = cnt.withColumn("n_i", F.sum("c").over(w)).where(F.col("n_i") >= 2)
     if complete_only:
         full = cw.groupBy(*by).agg(F.max("n_i").alias("_k"))
-        cw = cw.join(full, by, "inner")  # one row per group: broadcast at runtime
+        cw = join_keys(cw, full, by)  # one row per group: broadcast at runtime
         cw = cw.where(F.col("n_i") == F.col("_k")).drop("_k")
     per_sample = cw.groupBy(*by, *sample).agg(F.max("n_i").alias("n_i"), F.sum(F.col("c") * F.col("c")).alias("s2"))
     p_i = (F.col("s2") - F.col("n_i")) / (F.col("n_i") * (F.col("n_i") - 1))
@@ -198,7 +199,7 @@ def fleiss_kappa(long: DataFrame, sample: list[str], label: str, by: list[str] |
         F.sum("n_i").alias("n_votes"))
     totals = cw.groupBy(*by, label).agg(F.sum("c").alias("t")).groupBy(*by).agg(
         F.sum(F.col("t") * F.col("t")).alias("st2"))
-    j = stats.join(totals, by, "inner")
+    j = join_keys(stats, totals, by)
     pe = F.col("st2") / (F.col("n_votes") * F.col("n_votes"))
     equal = F.col("min_votes") == F.col("max_votes")
     kappa = F.when(equal & (pe < 1), _r6((F.col("p_bar") - pe) / (1 - pe)))
@@ -255,7 +256,7 @@ def self_consistency(long: DataFrame, sample: list[str], label: str, run: str, t
         _r6(F.avg(hit)).alias("majority_acc_incl9"),
         _r6(F.avg(F.when(keep, hit))).alias("majority_acc_excl9"))
     runs = long.select(*by, run).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("num_runs"))
-    return (summary.join(runs, by, "inner")
+    return (join_keys(summary, runs, by)
             .select(*by, "num_runs", "n_samples", "self_consistency_incl9", "self_consistency_excl9",
                     "majority_acc_incl9", "majority_acc_excl9")
             .orderBy(F.col("self_consistency_incl9").desc(), *by))

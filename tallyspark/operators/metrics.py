@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tallyspark.functions.codes import MANCOLL_CODES, MANCOLL_NAMES, UNKNOWN_CODE
+from tallyspark.functions.joins import join_keys
 
 
 def _r6(c: Column) -> Column:
@@ -74,7 +75,7 @@ def accuracy_and_f1(df: DataFrame, gt: str, pred: str, by: list[str] | None = No
                               F.sum(F.when(F.col("gt") == F.col("pred"), F.col("n")).otherwise(0)).alias("_ok"))
     pc = per_class_counts(cm, by)
     f1 = pc.groupBy(*by).agg(F.avg(_f1(F.col("tp"), F.col("fp"), F.col("fn"))).alias("_f1"))
-    j = acc.join(f1, by, "inner") if by else acc.withColumn("_k", F.lit(0)).join(
+    j = join_keys(acc, f1, by) if by else acc.withColumn("_k", F.lit(0)).join(
         f1.withColumn("_k", F.lit(0)), "_k").drop("_k")
     return j.select(*by, F.col("n").cast("bigint").alias("n"), _r6(F.col("_ok") / F.col("n")).alias("accuracy"),
                     _r6(F.col("_f1")).alias("macro_f1"))
@@ -137,7 +138,7 @@ def confusion_matrix(df: DataFrame, gt: str, pred: str, labels: list, by: list[s
     groups = cm.select(*by).distinct() if by else cm.sparkSession.range(1).select()
     grid_cells = F.array(*[F.struct(a.alias("gt"), b.alias("pred")) for a in lab for b in lab])
     grid = groups.select(*by, F.inline(grid_cells))
-    j = grid.join(cm, by + ["gt", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+    j = join_keys(grid, cm, by + ["gt", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
     row_total = F.sum("n").over(Window.partitionBy(*by, "gt"))
     return j.select(*by, "gt", "pred", "n", _r6(_ratio(F.col("n"), row_total)).alias("share"))
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tallyspark.functions.hashing import hash32
+from tallyspark.functions.joins import join_keys
 
 BUCKET_BITS = 18
 
@@ -61,7 +62,7 @@ def rank_flags(df: DataFrame, key_cols: list[str], seed, cuts, group_cols: list[
         if not g:
             raise ValueError("per-group cuts need group columns; pass a callable otherwise")
         k = len([c for c in cuts.columns if c.startswith("_cut_")])
-        cum = cum.join(cuts, g, "inner")
+        cum = join_keys(cum, cuts, g)
     edge = F.lit(False)
     for i in range(k):
         c = F.col(f"_cut_{i}")
@@ -69,7 +70,7 @@ def rank_flags(df: DataFrame, key_cols: list[str], seed, cuts, group_cols: list[
     cum = cum.withColumn("_edge", edge)
     table = cum.select(*g, "_b", "_before", "_c", "_edge", *[f"_cut_{i}" for i in range(k)])
     # One row per (group, bucket): bounded by groups x 2^bucket_bits.
-    joined = base.join(F.broadcast(table) if not g else table, g + ["_b"], "inner")
+    joined = base.join(F.broadcast(table), ["_b"], "inner") if not g else join_keys(base, table, g + ["_b"])
     inner = Window.partitionBy(*g, "_b").orderBy("_h", *key_cols)
     exact = (joined.where(F.col("_edge"))
              .withColumn("_rank", F.col("_before") + F.row_number().over(inner)))
@@ -151,7 +152,7 @@ def stratified_quotas(df: DataFrame, strat: str, test_pct: int) -> DataFrame:
     num = F.col("_nc") * F.col("_t")
     c = c.withColumn("_base", ((num - num % F.col("_n")) / F.col("_n")).cast("long")).withColumn("_rem", num % F.col("_n"))
     c = c.withColumn("_left", F.col("_t") - F.sum("_base").over(wall))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("_rem").desc(), F.col(strat))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("_rem").desc(), F.col(strat).asc_nulls_last())
     c = c.withColumn("_extra", (F.row_number().over(order) <= F.col("_left")).cast("long"))
     return c.select(strat, (F.col("_base") + F.col("_extra")).alias("_cut_0"))
 

@@ -82,3 +82,14 @@ def test_hot_class_exact_split(spark):
     s = stratified_split(df, ["k"], "c", 10, 7)
     per = {r["c"]: r["count"] for r in s.where("split = 'test'").groupBy("c").count().collect()}
     assert per[0] == 100 and sum(per.values()) == 300
+
+
+def test_null_class_kept_in_stratified_split(spark):
+    from tallyspark.operators.sample import stratified_split
+    df = spark.range(200).select(F.col("id").alias("k"),
+                                 F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(F.col("id") % 2).alias("c"))
+    s = stratified_split(df, ["k"], "c", 25, 3)
+    assert s.count() == 200
+    test = {r["c"]: r["count"] for r in s.where("split = 'test'").groupBy("c").count().collect()}
+    # T = 50; shares 12.5 / 12.5 / 25; the one leftover seat goes to class 0 (nulls sort last)
+    assert test == {None: 12, 0: 13, 1: 25}

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallyspark.operators.ranking import row_number_within
+
 VALUES = ("crashcat", "crashconf", "crashtype")
 MODES = ("cat", "conf", "type")
 
@@ -112,12 +114,13 @@ def gt_pred_lines(truth: DataFrame, pred: DataFrame, case: str = "caseid") -> Da
     """V7: truth and prediction vehicles of a case paired **by position**
     (vehicle order), ``-`` where one side is shorter; one row per line.
 
-    Lines stay rows (no per-case string), so a huge case is never one value.
+    Lines stay rows (no per-case string), so a huge case is never one value;
+    positions come from :func:`row_number_within`, so it is not one task either.
     """
     def side(df, tag):
-        w = Window.partitionBy(case).orderBy("vehno")
-        return df.select(case, F.row_number().over(w).alias("pos"),
-                         vehicle_text("").alias("txt"), F.lit(tag).alias("_side"))
+        rows = df.select(case, "vehno", vehicle_text("").alias("txt"))
+        return row_number_within(rows, [case], ["vehno"], "pos").select(
+            case, "pos", "txt", F.lit(tag).alias("_side"))
     u = side(truth, "t").unionByName(side(pred, "p"))
     g = u.groupBy(case, "pos").agg(F.max(F.when(F.col("_side") == "t", F.col("txt"))).alias("truth_text"),
                                    F.max(F.when(F.col("_side") == "p", F.col("txt"))).alias("pred_text"))

@@ -76,8 +76,9 @@ def compare(spark, key, fn, sql, sf_dir, con):
     if not same_cols:
         out["cols"] = (sorted(cols), sorted(dcols))
     elif not ok:
-        diff = [x for x in a if x not in set(b)][:3]
-        diff2 = [x for x in b if x not in set(a)][:3]
+        sa, sb = set(a), set(b)
+        diff = [x for x in a if x not in sb][:3]
+        diff2 = [x for x in b if x not in sa][:3]
         out["spark_only"] = diff
         out["oracle_only"] = diff2
     return out

@@ -66,3 +66,13 @@ def test_class_weights_golden(spark):
     df = spark.createDataFrame([(1,), (2,), (2,), (2,)], "y int")
     got = {r["label"]: r["weight"] for r in S.class_weights(df, "y").collect()}
     assert got == {1: 1.5, 2: 0.5}
+
+
+def test_row_number_within_hot_group(spark):
+    from pyspark.sql import Window
+    from tallyspark.operators.ranking import row_number_within
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97).alias("g"),
+                                  (F.col("id") * 7919 % 6007).alias("o"))
+    got = row_number_within(df, ["g"], ["o"], "rn", partitions=16)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o")))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in ref.collect())

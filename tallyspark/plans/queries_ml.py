@@ -28,6 +28,11 @@ def q_embedding_lr(spark, sf_dir):
     return B.embedding_lr(Views(spark, sf_dir).emb, max_iter=50)
 
 
+@register("embedding_lr_report", note="rows only: per-class report of the B1 model")
+def q_embedding_lr_report(spark, sf_dir):
+    return B.embedding_lr_report(Views(spark, sf_dir).emb, max_iter=50)
+
+
 @register("bow_linear", note="rows only: Spark ML bag-of-words logistic regression")
 def q_bow_linear(spark, sf_dir):
     d = Views(spark, sf_dir).docs

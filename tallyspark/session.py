@@ -83,6 +83,6 @@ def spread(df, min_partitions: int | None = None):
     that follows uses every core.  Large inputs (many splits) pass through
     untouched: no shuffle is added where the scan already parallelises."""
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() < n:
+    if df.rdd.getNumPartitions() < n:
         return df.repartition(n)
     return df

@@ -178,10 +178,19 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", partition_by: l
     w.format(fmt).save(path)
 
 
-def append_scored(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append a scored batch; the output committer makes each append
-    all-or-nothing (no half-written file is ever visible)."""
-    df.write.mode("append").format(fmt).save(path)
+def append_scored(df: DataFrame, path: str, fmt: str = "parquet", batch_col: str | None = None) -> None:
+    """Add a scored batch to a result table; never a half-written file.
+
+    Each write is one job under the output committer (all-or-nothing).
+    With ``batch_col`` the table is partitioned by batch and written with
+    dynamic partition overwrite, so re-running a batch (after a failure)
+    replaces that batch instead of appending it twice.
+    """
+    if batch_col is None:
+        df.write.mode("append").format(fmt).save(path)
+        return
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(batch_col).format(fmt).save(path))
 
 
 def head_n(df: DataFrame, order: list[str], n: int, by: list[str] | None = None) -> DataFrame:

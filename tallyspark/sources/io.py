@@ -145,17 +145,20 @@ def model_tag_by_prefix(df: DataFrame, file_col: str = "file", drop: int = 2) ->
     return df.withColumn("model_tag", F.substring(stem, drop + 1, 1 << 20))
 
 
-def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
+def profile_tables(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
     """One row per table × column: rows, nulls, distinct non-null values.
 
-    One aggregate per table (all its columns at once), unpivoted.
+    One aggregate per table (all its columns at once), unpivoted.  Exact
+    distinct counts over many columns expand each row once per column;
+    ``exact=False`` uses HyperLogLog sketches (one pass, ~1 % error).
     """
     out = None
     for name, df in tables.items():
         aggs = [F.count(F.lit(1)).alias("_rows")]
         for i, c in enumerate(df.columns):
             aggs.append(F.count(F.col(f"`{c}`")).alias(f"_nn{i}"))
-            aggs.append(F.count_distinct(F.col(f"`{c}`")).alias(f"_nd{i}"))
+            nd = F.count_distinct(F.col(f"`{c}`")) if exact else F.approx_count_distinct(F.col(f"`{c}`"), 0.01)
+            aggs.append(nd.alias(f"_nd{i}"))
         a = df.agg(*aggs)
         cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("ordinal"),
                                    (F.col("_rows") - F.col(f"_nn{i}")).alias("n_null"),

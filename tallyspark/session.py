@@ -86,3 +86,24 @@ def spread(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() < n:
         return df.repartition(n)
     return df
+
+
+def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a cluster run, sized from the input volume.
+
+    Shuffle partitions start at ~one per ``partition_bytes`` of input (and
+    at least 2× the cores), AQE coalesces small ones and splits skewed ones;
+    scans read ``partition_bytes`` splits; broadcasts stay at Spark's
+    default size check (only bounded tables are broadcast explicitly).
+    """
+    parts = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyspark.functions.codes import MANCOLL_CODES, MANCOLL_NAMES, UNKNOWN_CODE
+from tallyspark.functions.codes import MANCOLL_NAMES, UNKNOWN_CODE
 from tallyspark.functions.joins import join_keys
 
 
@@ -201,4 +201,4 @@ def metrics_table(df: DataFrame, gt: str, pred: str, by: list[str] | None = None
 
 __all__ = ["accuracy", "macro_f1", "accuracy_and_f1", "metrics_excl_class", "class_report",
            "confusion_matrix", "class_subset_dist", "label_share", "metrics_table",
-           "confusion_counts", "per_class_counts", "MANCOLL_CODES"]
+           "confusion_counts", "per_class_counts"]

@@ -6,7 +6,6 @@ Python runs per row.  Regexes use Java semantics (Unicode-aware ``\\b``).
 
 from __future__ import annotations
 
-import re
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -210,4 +209,4 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str = "text", out:
             .withColumn(out, F.coalesce(F.col(out), empty)))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("re", "string")]
+__all__ = [n for n in dir() if not n.startswith("_") and n != "string"]

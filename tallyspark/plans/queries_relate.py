@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tallyspark.functions.codes import CRASHCAT_NAMES
 from tallyspark.operators import relate as R
 from tallyspark.plans.queries_text import _focus_sql

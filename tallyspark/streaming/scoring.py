@@ -12,7 +12,6 @@ scored once, completely.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.operators.vehicle import vehicle_eval

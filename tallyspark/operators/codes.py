@@ -152,3 +152,20 @@ def sample_hash_id(text: Column, label: Column) -> Column:
     """md5(text || '||' || label)[:10], nulls read as empty text."""
     s = F.concat(F.coalesce(text, F.lit("")), F.lit("||"), F.coalesce(label.cast("string"), F.lit("")))
     return F.substring(F.md5(s), 1, 10)
+
+
+def with_sample_id(df: DataFrame, text: str, label: str, by: list[str], order: list[str],
+                   out: str = "sample_id") -> DataFrame:
+    """Unique sample id when no case id exists: C10 hash + '#' + occurrence.
+
+    The occurrence number counts equal (text, label) rows within ``by`` (a
+    file, i.e. model × run) in the declared ``order``.  A writer that stores
+    the same text on every row makes one hash hold a whole file, so the
+    numbering uses :func:`row_number_within` (no single task per hash).
+    """
+    from tallyspark.operators.ranking import row_number_within
+
+    keyed = df.withColumn("_sh", sample_hash_id(F.col(text), F.col(label)))
+    numbered = row_number_within(keyed, by + ["_sh"], order, "_occ")
+    return numbered.withColumn(out, F.concat(F.col("_sh"), F.lit("#"), F.col("_occ").cast("string"))) \
+                   .drop("_sh", "_occ")

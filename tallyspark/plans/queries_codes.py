@@ -137,3 +137,20 @@ def q_local_code_decode(spark, sf_dir):
 def q_sample_hash_id(spark, sf_dir):
     n = Views(spark, sf_dir).narr
     return n.select("caseid", C.sample_hash_id(F.col("summary"), F.col("mancoll")).alias("sample_id"))
+
+
+_STAR_SQL = ("p", "SELECT model, run, sid, gt, CASE WHEN model = 'm2' THEN '*' ELSE 'Case ' || CAST(sid AS VARCHAR) "
+                  "END AS summary FROM pred_long")
+
+
+@register("sample_id_occurrence", sql=with_views("pred_long",
+    "SELECT model, run, sid, sh || '#' || CAST(row_number() OVER (PARTITION BY model, run, sh ORDER BY sid) "
+    "AS VARCHAR) AS sample_id FROM (SELECT *, substr(md5(coalesce(summary, '') || '||' || "
+    "coalesce(CAST(gt AS VARCHAR), '')), 1, 10) AS sh FROM p)", [_STAR_SQL]),
+    note="model m2 writes '*' as every summary: ids stay unique via occurrence numbers")
+def q_sample_id_occurrence(spark, sf_dir):
+    p = Views(spark, sf_dir).pred_long
+    src = p.select("model", "run", "sid", "gt",
+                   F.when(F.col("model") == "m2", F.lit("*"))
+                    .otherwise(F.concat(F.lit("Case "), F.col("sid").cast("string"))).alias("summary"))
+    return C.with_sample_id(src, "summary", "gt", ["model", "run"], ["sid"]).select("model", "run", "sid", "sample_id")

@@ -207,3 +207,10 @@ def head_n(df: DataFrame, order: list[str], n: int, by: list[str] | None = None)
         return df.orderBy(*order).limit(n)
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def assert_unique(df: DataFrame, keys: list[str], what: str = "rows") -> None:
+    """Raise if any key repeats (one aggregate; stops at the first duplicate)."""
+    dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).limit(1).collect()
+    if dup:
+        raise ValueError(f"{what}: key {keys} is not unique, e.g. {dup[0].asDict()}")

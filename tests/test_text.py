@@ -88,3 +88,15 @@ def test_with_cache(spark):
         F.md5("p").alias("prompt_key"), "answer")
     got = sorted((r["prompt"], r["answer"], r["cached"]) for r in T.with_cache(p, cache).collect())
     assert got == [("x", "1", True), ("y", None, False)]
+
+
+def test_sample_id_occurrence_unique(spark):
+    rows = [("m", 1, i, "*", 5) for i in range(50)] + [("m", 1, 100, "x", 5)]
+    df = spark.createDataFrame(rows, "model string, run int, row int, summary string, gt int")
+    out = C.with_sample_id(df, "summary", "gt", ["model", "run"], ["row"])
+    ids = [r["sample_id"] for r in out.collect()]
+    assert len(set(ids)) == 51
+    IO.assert_unique(out, ["model", "run", "sample_id"])
+    import pytest
+    with pytest.raises(ValueError):
+        IO.assert_unique(df, ["model", "run", "summary"])

@@ -43,36 +43,60 @@ def merge_predictions(long: DataFrame, sample: list[str], rater: str, label: str
 
 # -- A2/A3/A4/A11 ---------------------------------------------------------------
 
-def pairwise_from_wide(wide: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
-    """Agreement of every ordered column pair in one aggregate pass.
-
-    For k columns this is k(k-1)/2 pairs of conditional sums evaluated per
-    row (map-side partial aggregation), then unpivoted to long form
-    ``(by..., rater_a, rater_b, n_both, n_equal, agreement)``.
-    Diagonal: agreement 1.0, n_both = votes of that rater.
+def _pair_block(wide: DataFrame, cols: list[str], pairs: list[tuple[int, int]], by: list[str]) -> DataFrame:
+    """One aggregate over ``wide`` for the given (i, j) column pairs (i ≤ j),
+    unpivoted to (by..., _i, _j, n_both, n_equal)."""
+    aggs, cells = [], []
+    for i, j in pairs:
+        ca, cb = F.col(f"`{cols[i]}`"), F.col(f"`{cols[j]}`")
+        if i == j:
+            aggs.append(F.count(ca).alias(f"_n_{i}_{j}"))
+            e = F.col(f"_n_{i}_{j}")
+        else:
+            both = ca.isNotNull() & cb.isNotNull()
+            aggs.append(F.sum(F.when(both, 1).otherwise(0)).alias(f"_n_{i}_{j}"))
+            aggs.append(F.sum(F.when(both & (ca == cb), 1).otherwise(0)).alias(f"_e_{i}_{j}"))
+            e = F.col(f"_e_{i}_{j}")
+        cells.append(F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"),
+                              F.col(f"_n_{i}_{j}").cast("bigint").alias("n_both"), e.cast("bigint").alias("n_equal")))
+    return wide.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells)))
+
+
+def pairwise_from_wide(wide: DataFrame, cols: list[str], by: list[str] | None = None,
+                       block: int = 24) -> DataFrame:
+    """Agreement of every ordered column pair from conditional sums.
+
+    Each aggregate covers at most ``block`` × ``block`` columns' pairs
+    (bounded generated code); with more raters the pairs are split over
+    several aggregates of the same per-sample table, which is then
+    checkpointed once (shared checkpoint folder) instead of recomputed.
+    Long output ``(by..., rater_a, rater_b, n_both, n_equal, agreement)``;
+    diagonal: agreement 1.0, n_both = votes of that rater.
     """
     by = by or []
-    aggs = []
-    for i, a in enumerate(cols):
-        aggs.append(F.count(F.col(f"`{a}`")).alias(f"_n_{i}_{i}"))
-    for (i, a), (j, b) in combinations(list(enumerate(cols)), 2):
-        ca, cb = F.col(f"`{a}`"), F.col(f"`{b}`")
-        both = ca.isNotNull() & cb.isNotNull()
-        aggs.append(F.sum(F.when(both, 1).otherwise(0)).alias(f"_n_{i}_{j}"))
-        aggs.append(F.sum(F.when(both & (ca == cb), 1).otherwise(0)).alias(f"_e_{i}_{j}"))
-    agg = wide.groupBy(*by).agg(*aggs)
-    cells = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            lo, hi = min(i, j), max(i, j)
-            n = F.col(f"_n_{lo}_{hi}")
-            e = n if i == j else F.col(f"_e_{lo}_{hi}")
-            cells.append(F.struct(F.lit(str(a)).alias("rater_a"), F.lit(str(b)).alias("rater_b"),
-                                  n.cast("bigint").alias("n_both"), e.cast("bigint").alias("n_equal")))
-    long = agg.select(*by, F.inline(F.array(*cells)))
+    k = len(cols)
+    groups = [list(range(s, min(s + block, k))) for s in range(0, k, block)]
+    blocks = []
+    for gi, ga in enumerate(groups):
+        for gb in groups[gi:]:
+            blocks.append([(i, j) for i in ga for j in gb if i <= j])
+    if len(blocks) > 1:
+        from tallyspark.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(wide.sparkSession)
+        wide = wide.checkpoint(eager=True)
+    parts = [_pair_block(wide, cols, b, by) for b in blocks]
+    upper = parts[0]
+    for p in parts[1:]:
+        upper = upper.unionByName(p)
+    lower = upper.where(F.col("_i") != F.col("_j")).select(
+        *by, F.col("_j").alias("_i"), F.col("_i").alias("_j"), "n_both", "n_equal")
+    names = F.array(*[F.lit(str(c)) for c in cols])
+    full = upper.unionByName(lower)
+    out = full.select(*by, F.element_at(names, F.col("_i") + 1).alias("rater_a"),
+                      F.element_at(names, F.col("_j") + 1).alias("rater_b"), "n_both", "n_equal")
     agreement = (F.when(F.col("rater_a") == F.col("rater_b"), F.lit(1.0))
                  .when(F.col("n_both") > 0, _r6(F.col("n_equal") / F.col("n_both"))))
-    return long.withColumn("agreement", agreement)
+    return out.withColumn("agreement", agreement)
 
 
 def pairwise_agreement(long: DataFrame, sample: list[str], rater: str, label: str,

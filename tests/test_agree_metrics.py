@@ -75,3 +75,13 @@ def test_class_report_rows(spark):
     rep = {r["row"]: r for r in M.class_report(df, "gt", "pred").collect()}
     assert rep["1"]["precision"] == 1.0 and rep["1"]["recall"] == 0.5
     assert rep["accuracy"]["f1"] == pytest.approx(0.666667) and rep["accuracy"]["support"] == 3
+
+
+def test_pairwise_blocks_match_single_aggregate(spark):
+    rows = [(s, f"r{i}", (s * (i + 3)) % 4 if (s + i) % 5 else None) for s in range(60) for i in range(7)]
+    df = spark.createDataFrame(rows, "sid long, rater string, pred long")
+    one = A.pairwise_from_wide(A.merge_predictions(df, ["sid"], "rater", "pred"), [f"r{i}" for i in range(7)])
+    many = A.pairwise_from_wide(A.merge_predictions(df, ["sid"], "rater", "pred"), [f"r{i}" for i in range(7)],
+                                block=3)
+    assert sorted(tuple(r) for r in one.collect()) == sorted(tuple(r) for r in many.collect())
+    assert one.count() == 49

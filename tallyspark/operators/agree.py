@@ -57,8 +57,12 @@ def _pair_block(wide: DataFrame, cols: list[str], pairs: list[tuple[int, int]],
             aggs.append(F.sum(F.when(both, 1).otherwise(0)).alias(f"_n_{i}_{j}"))
             aggs.append(F.sum(F.when(both & (ca == cb), 1).otherwise(0)).alias(f"_e_{i}_{j}"))
             e = F.col(f"_e_{i}_{j}")
-        cells.append(F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"),
-                              F.col(f"_n_{i}_{j}").cast("bigint").alias("n_both"), e.cast("bigint").alias("n_equal")))
+        n = F.col(f"_n_{i}_{j}").cast("bigint")
+        cells.append(F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), n.alias("n_both"),
+                              e.cast("bigint").alias("n_equal")))
+        if i != j:  # the mirrored cell comes from the same sums
+            cells.append(F.struct(F.lit(j).alias("_i"), F.lit(i).alias("_j"), n.alias("n_both"),
+                                  e.cast("bigint").alias("n_equal")))
     return wide.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells)))
 
 
@@ -85,13 +89,10 @@ def pairwise_from_wide(wide: DataFrame, cols: list[str], by: list[str] | None =
         ensure_checkpoint_dir(wide.sparkSession)
         wide = wide.checkpoint(eager=True)
     parts = [_pair_block(wide, cols, b, by) for b in blocks]
-    upper = parts[0]
+    full = parts[0]
     for p in parts[1:]:
-        upper = upper.unionByName(p)
-    lower = upper.where(F.col("_i") != F.col("_j")).select(
-        *by, F.col("_j").alias("_i"), F.col("_i").alias("_j"), "n_both", "n_equal")
+        full = full.unionByName(p)
     names = F.array(*[F.lit(str(c)) for c in cols])
-    full = upper.unionByName(lower)
     out = full.select(*by, F.element_at(names, F.col("_i") + 1).alias("rater_a"),
                       F.element_at(names, F.col("_j") + 1).alias("rater_b"), "n_both", "n_equal")
     agreement = (F.when(F.col("rater_a") == F.col("rater_b"), F.lit(1.0))

@@ -129,8 +129,9 @@ class Views:
             "caseid", "vehno", "crashcat", "crashconf",
             F.when(hash32(c, "pe") % 10 < 3, (F.col("crashtype") + 1) % 98)
              .otherwise(F.col("crashtype")).cast("int").alias("crashtype"))
-        extra = (t.select("caseid").where(F.col("caseid") % 50 == 0).distinct()
-                 .select("caseid", F.lit(99).alias("vehno"), F.lit(1).alias("crashcat"),
+        # One extra (wrong) vehicle for every order key divisible by 50.
+        extra = (self.table("orders", spread_rows=False).where(F.col("o_orderkey") % 50 == 0)
+                 .select(F.col("o_orderkey").alias("caseid"), F.lit(99).alias("vehno"), F.lit(1).alias("crashcat"),
                          F.lit("A").alias("crashconf"), F.lit(1).alias("crashtype")))
         return kept.unionByName(extra)
 
@@ -232,8 +233,8 @@ SELECT caseid, vehno, crashcat, crashconf,
        CAST(CASE WHEN {_H(_VC, "'pe'")} % 10 < 3 THEN (crashtype + 1) % 98 ELSE crashtype END AS INTEGER) AS crashtype
 FROM gv WHERE {_H(_VC, "'pd'")} % 20 <> 0
 UNION ALL
-SELECT DISTINCT caseid, 99 AS vehno, 1 AS crashcat, 'A' AS crashconf, 1 AS crashtype
-FROM gv WHERE caseid % 50 = 0""")
+SELECT o_orderkey AS caseid, 99 AS vehno, 1 AS crashcat, 'A' AS crashconf, 1 AS crashtype
+FROM orders WHERE o_orderkey % 50 = 0""")
 
 VIEW_SQL["codebook"] = ([], "SELECT * FROM (VALUES " + ", ".join(
     f"('{ch}', {7 * i})" for i, ch in enumerate(CODEBOOK_LETTERS)) + ") t(conf, code_offset)")

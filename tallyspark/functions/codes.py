@@ -38,6 +38,9 @@ SYMBOL_LETTERS = {"A": 10, "B": 11, "C": 12, "D": 13}
 # Phrase that replaces references to the vehicle being classified.
 FOCUS_TEXT = "the vehicle to be classified"
 
+# File-name prefix of prediction runs; a trailing "-<digits>" is the run id.
+RUN_FILE_PREFIX = "bert_test_results_"
+
 # Noise levels (percent) of the label-noise experiments.
 NOISE_LEVELS = [5, 10, 15, 20, 30, 40, 70]
 

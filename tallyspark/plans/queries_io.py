@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.functions.codes import RUN_FILE_PREFIX
 from tallyspark.functions.hashing import hash32, sql_hash32
 from tallyspark.operators import metrics as M
 from tallyspark.plans.queries_agree import cross_long
@@ -52,7 +53,7 @@ def q_read_yearly_csv(spark, sf_dir):
     for y in YEARS:
         ext = "CSV" if y <= 2019 else "csv"
         (ev.where(F.col("year") == y).drop("year").write.mode("overwrite").option("header", "true")
-         .option("lineSep", "\r\n").csv(f"{root}/CISS_{y}_CSV_files/EVENTS.{ext}"))
+         .option("lineSep", "\r\n").csv(f"{root}/SURVEY_{y}_CSV_files/EVENTS.{ext}"))
     return IO.read_yearly_csv(spark, root, "EVENTS", EVENT_CSV_SCHEMA)
 
 
@@ -69,7 +70,7 @@ def _write_runs(spark, sf_dir):
     for m, _ in MODELS:
         s, g, pr = STYLES[m]
         for r in RUNS:
-            path = f"{root}/bert_test_results_{m}-{r}"
+            path = f"{root}/{RUN_FILE_PREFIX}{m}-{r}"
             (p.where((F.col("model") == m) & (F.col("run") == r))
              .select(F.concat(F.lit("Case "), F.col("sid").cast("string")).alias(s),
                      F.col("gt").alias(g), F.col("pred").alias(pr))
@@ -91,20 +92,20 @@ def q_read_prediction_runs(spark, sf_dir):
     return _runs_folder_tag(df).select("summary", "gt", "pred", "model_key", "run_id")
 
 
-_TAG_SQL = ("CASE WHEN model = 'm3' THEN model || '_final' ELSE 'bert_test_results_' || model || '-' || "
+_TAG_SQL = ("CASE WHEN model = 'm3' THEN model || '_final' ELSE '" + RUN_FILE_PREFIX + "' || model || '-' || "
             "CAST(run AS VARCHAR) END || '.xlsx'")
 
 
 @register("parse_run_tag", sql=with_views("pred_long",
     f"SELECT sid, model, run, file, regexp_replace(regexp_replace(regexp_replace(file, '\\.[^.]*$', ''), "
-    "'^bert_test_results_', ''), '-(\\d+)$', '') AS model_key, "
+    "'^" + RUN_FILE_PREFIX + "', ''), '-(\\d+)$', '') AS model_key, "
     "CASE WHEN regexp_extract(regexp_replace(file, '\\.[^.]*$', ''), '-(\\d+)$', 1) <> '' THEN "
     "CAST(regexp_extract(regexp_replace(file, '\\.[^.]*$', ''), '-(\\d+)$', 1) AS INTEGER) ELSE -1 END AS run_id "
     f"FROM (SELECT sid, model, run, {_TAG_SQL} AS file FROM pred_long)"))
 def q_parse_run_tag(spark, sf_dir):
     p = Views(spark, sf_dir).pred_long
     file = (F.concat(F.when(F.col("model") == "m3", F.concat(F.col("model"), F.lit("_final")))
-                     .otherwise(F.concat(F.lit("bert_test_results_"), F.col("model"), F.lit("-"),
+                     .otherwise(F.concat(F.lit(RUN_FILE_PREFIX), F.col("model"), F.lit("-"),
                                          F.col("run").cast("string"))), F.lit(".xlsx")))
     return IO.with_run_tag(p.select("sid", "model", "run", file.alias("file")))
 

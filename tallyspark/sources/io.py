@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallyspark.functions.codes import RUN_FILE_PREFIX
+
 # Accepted source names per canonical column, in priority order.
 PRED_ALIASES = {
     "summary": ["SUMMARY", "summary"],
@@ -93,7 +95,7 @@ def read_yearly_csv(spark: SparkSession, root: str, table: str, schema, year_pat
 
 
 def write_yearly_csv(df: DataFrame, root: str, table: str, years: list[int], year_col: str = "year",
-                     prefix: str = "CISS") -> None:
+                     prefix: str = "SURVEY") -> None:
     """Write ``df`` as ``<root>/<prefix>_<year>_CSV_files/<TABLE>.csv/`` (header,
     CRLF line ends), one folder per year in ``years``."""
     for y in years:
@@ -125,7 +127,7 @@ def read_prediction_runs(spark: SparkSession, paths: list[str], fmt: str = "parq
     return out.where(~F.upper(F.coalesce(F.col("summary"), F.lit(""))).startswith("METRICS"))
 
 
-def with_run_tag(df: DataFrame, file_col: str = "file", prefix: str = "bert_test_results_") -> DataFrame:
+def with_run_tag(df: DataFrame, file_col: str = "file", prefix: str = RUN_FILE_PREFIX) -> DataFrame:
     """Model key and run id from a file name.
 
     Stem = name without folder and extension; the prefix is removed; a

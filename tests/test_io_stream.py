@@ -18,7 +18,7 @@ def test_read_yearly_csv_crlf_and_extension_case(spark):
     root = tempfile.mkdtemp(prefix="yearly-", dir="/tmp")
     files = {2018: "ADAPT.CSV", 2021: "ADAPT.csv"}
     for y, name in files.items():
-        d = os.path.join(root, f"CISS_{y}_CSV_files")
+        d = os.path.join(root, f"SURVEY_{y}_CSV_files")
         os.makedirs(d)
         with open(os.path.join(d, name), "w", newline="") as f:
             f.write("CASEID,VEHNO,ADAPT,CASEWGT\r\n")

@@ -115,19 +115,30 @@ class Views:
             (7 * conf_idx + hash32(k, "type") % 7).cast("int").alias("crashtype"),
             *GV_ORDER)
 
+    @cached_property
+    def _gv_first(self) -> DataFrame:
+        """Deduped vehicles plus the prediction view's per-key hashes.
+
+        The hashes depend on the key only; carrying them through the same
+        aggregate lets truth and predictions share one aggregation (its
+        exchange is reused) instead of Spark pushing the prediction filter
+        below the aggregate and deriving the truth twice.
+        """
+        c = F.concat_ws("-", F.col("caseid").cast("string"), F.col("vehno").cast("string"))
+        raw = self.gv_raw.withColumn("_pd", hash32(c, "pd") % 20).withColumn("_pe", hash32(c, "pe") % 10)
+        return first_per_key(raw, ["caseid", "vehno"], GV_ORDER,
+                             ["crashcat", "crashconf", "crashtype", "_pd", "_pe"])
+
     @cached_property
     def gv(self) -> DataFrame:
         """First vehicle row per (caseid, vehno) in the declared order."""
-        return first_per_key(self.gv_raw, ["caseid", "vehno"], GV_ORDER,
-                             ["crashcat", "crashconf", "crashtype"])
+        return self._gv_first.select("caseid", "vehno", "crashcat", "crashconf", "crashtype")
 
     @cached_property
     def vpred(self) -> DataFrame:
-        t = self.gv
-        c = F.concat_ws("-", F.col("caseid").cast("string"), F.col("vehno").cast("string"))
-        kept = t.where(hash32(c, "pd") % 20 != 0).select(
+        kept = self._gv_first.where(F.col("_pd") != 0).select(
             "caseid", "vehno", "crashcat", "crashconf",
-            F.when(hash32(c, "pe") % 10 < 3, (F.col("crashtype") + 1) % 98)
+            F.when(F.col("_pe") < 3, (F.col("crashtype") + 1) % 98)
              .otherwise(F.col("crashtype")).cast("int").alias("crashtype"))
         # One extra (wrong) vehicle for every order key divisible by 50.
         extra = (self.table("orders", spread_rows=False).where(F.col("o_orderkey") % 50 == 0)

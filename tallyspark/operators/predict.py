@@ -77,5 +77,20 @@ def centroid_predictor(train: DataFrame, vec: str, label: str, max_cells: int =
     cent = [[by_label[lab].get(i, 0.0) for i in range(dim)] for lab in labels]
 
     def make():
-        return NearestCentroid(labels, cent, vec)
+        # Defined here so the factory ships by value: executors need numpy
+        # and pandas, not this package on their path.
+        import numpy as np
+        import pandas as pd
+
+        class _Nearest:
+            def __init__(self):
+                self.labels = np.asarray(labels)
+                self.c = np.asarray(cent, dtype=np.float64)
+
+            def predict(self, batch):
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in batch[vec]])
+                d = (x * x).sum(1)[:, None] - 2 * x @ self.c.T + (self.c * self.c).sum(1)[None, :]
+                return pd.Series(self.labels[np.argmin(d, axis=1)])
+
+        return _Nearest()
     return make

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontam, exact, html, langid, minhash, mixing, tokens, toxicity
+from tallyspark.llm import decontam, exact, html, langid, minhash, mixing, suffix, tokens, toxicity
 from tallyspark.llm.common import read, scratch_path
 
 QUERIES: dict = {}
@@ -27,6 +27,13 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op2_repeated_bytes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op3_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")

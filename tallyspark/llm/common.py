@@ -53,6 +53,8 @@ def one_per_id(df: DataFrame, key: str, cols: Sequence[str], text: str = "text",
     if repeated.isEmpty():
         return rows
     first = [text] if text in cols else []
+    if not cols:
+        return rows.distinct()
     best = F.max(F.struct(*(F.col(c) for c in [*first, *(c for c in cols if c not in first)])))
     return rows.groupBy(key).agg(best.alias("row")).select(key, *(F.col(f"row.{c}").alias(c) for c in cols))
 

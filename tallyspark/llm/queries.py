@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontam, exact, html, langid, minhash, mixing, suffix, tokens, toxicity
+from tallyspark.llm import decontam, exact, html, langid, minhash, mixing, pii, suffix, tokens, toxicity
 from tallyspark.llm.common import read, scratch_path
 
 QUERIES: dict = {}
@@ -27,6 +27,13 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op1_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(f"n_{b}" for b in pii.BASE), F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
+                        F.array_join("spans", ",").alias("spans"))
+
+
 @query("op2_repeated_bytes")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(read(spark, sf_dir, "documents"))

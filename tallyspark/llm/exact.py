@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ PREFIX_CHARS = 256
 
 def normalised(name: str = "text"):
     """The text without white space; null counts as empty."""
-    return F.translate(whole_text(name), WHITE, "")
+    return reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), WHITE, whole_text(name))
 
 
 def _shared(df: DataFrame, *keys: str) -> DataFrame:

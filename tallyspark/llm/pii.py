@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +17,15 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20\-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9\-]+[0-9]",
-    "id": r"(?<![A-Za-z0-9\-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+)(?![A-Za-z0-9\-])",
-    "secret": r"(?i:password|passwd|pwd|secret|token|api[_\-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9_+/\-]{8,128}+",
-    "person": r"(?:\b[Nn]ame is|\bMr\.?|\bMrs\.?|\bMs\.?|\bDr\.?|\bHerr|\bFrau|\bMonsieur|\bMadame|\bSeñora?)"
+    "id": r"(?=[0-9A-Z])(?<![A-Za-z0-9\-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+)(?![A-Za-z0-9\-])",
+    "secret": r"(?=[PpSsTtAa])(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_\-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9_+/\-]{8,128}+",
+    "person": r"(?=[NnMDHFS])(?<!\p{L})(?:[Nn]ame is|Mrs?\.?|Ms\.?|Dr\.?|Herr|Frau|Monsieur|Madame|Señora?)"
               r"\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+){0,2}",
 }
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
+#: Characters of which a text must hold one to be searched at all.
+NEEDS = {"email": ("@",), "ip": (".",), "phone": ("+",), "secret": ("=", ":")}
 CONTEXT = 48
 
 # Gazetteers, cue words.
@@ -61,9 +65,13 @@ def candidates(rows: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.size("_m") - 1),
         lambda i: F.struct(F.length(F.get("_p", i)).alias("gap"), F.right(F.get("_p", i), F.lit(CONTEXT)).alias("before"),
                            F.get("_m", i).alias("span"), F.left(F.get("_p", i + 1), F.lit(CONTEXT)).alias("after")))
+    def matches(kind: str, pattern: str) -> Column:
+        some = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in NEEDS.get(kind, ())], F.lit(kind not in NEEDS))
+        return F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
     out = rows.select("doc_id", "text", F.filter(
-        F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(p).alias("pattern"),
-                           F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("m")) for k, p in enumerate(PATTERNS.values()))),
+        F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(p).alias("pattern"), matches(name, p).alias("m"))
+                  for k, (name, p) in enumerate(PATTERNS.items()))),
         lambda x: F.size(x["m"]) > 0).alias("found")).filter(F.size("found") > 0)
     out = out.select("doc_id", "text", F.explode("found").alias("f")).select(
         "doc_id", F.col("f.kind").alias("kind"), F.col("f.m").alias("_m"),

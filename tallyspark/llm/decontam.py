@@ -12,12 +12,19 @@ WINDOW = 13
 RAREST = 3
 #: Rows up to which benchmark tables are broadcast; above, the joins shuffle.
 BROADCAST_ROWS = 200_000
-#: A run of digits, a-z and everything beyond ASCII, in lower-cased text.
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"
+#: What parts words: all ASCII but digits and, in lower-cased text, a-z.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
+
+
+def pieces(text: Column) -> Column:
+    """The words of a text in order; the first and the last piece are empty where
+    the text begins or ends with a separator, so a word's number is its place
+    plus the same for the whole text."""
+    return F.split(ascii_lower(text), BETWEEN)
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(TERM), F.lit(0))
+    return F.filter(pieces(text), lambda w: w != "")
 
 
 def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -32,10 +39,23 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
             .agg(F.sort_array(F.collect_set("item")).alias("items")))
 
 
+#: Stands after a text's last piece in its postings; no word holds it.
+END = "\0"
+
+
 def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """term, doc_id, pos of every training word in ``vocabulary`` (term)."""
-    words = docs.select("doc_id", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
-    return words.join(vocabulary, "term")
+    """term, doc_id, pos of every training word in ``vocabulary`` (term), of
+    every empty piece and of the end of every text."""
+    marks = docs.sparkSession.createDataFrame([("",), (END,)], "term string")
+    words = docs.select("doc_id", F.posexplode(F.concat(pieces(F.col("text")), F.array(F.lit(END)))).alias("pos", "term"))
+    return words.join(hinted(vocabulary.unionByName(marks), BROADCAST_ROWS), "term")
+
+
+def word_counts(index: DataFrame) -> DataFrame:
+    """doc_id, n_words: a text's pieces but the empty ones."""
+    own = index.filter(F.col("term").isin("", END))
+    count = F.max(F.when(F.col("term") == END, F.col("pos"))) - F.count_if(F.col("term") == "")
+    return own.groupBy("doc_id").agg(count.cast("long").alias("n_words"))
 
 
 def rare_terms(wins: DataFrame, docs: DataFrame, rarest: int = RAREST) -> DataFrame:
@@ -44,7 +64,7 @@ def rare_terms(wins: DataFrame, docs: DataFrame, rarest: int = RAREST) -> DataFr
     training text has are gone."""
     parts = wins.select("phrase", "n", F.posexplode(F.split("phrase", " ")).alias("off", "term"))
     vocabulary = hinted(parts.select("term").distinct(), BROADCAST_ROWS)
-    words = docs.select(F.explode(terms(F.col("text"))).alias("term"))
+    words = docs.select(F.explode(pieces(F.col("text"))).alias("term"))
     frequency = table(words.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("freq")), "frequency")
     known = parts.join(frequency, "term", "left")
     # a term that stands twice in a phrase is asked once
@@ -82,7 +102,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, window:
     window stand within ``slop`` words of their offsets."""
     rows = one_per_id(docs, "doc_id", ["text"]).withColumn("text", whole_text())
     rare = table(rare_terms(phrases(items, window), rows, rarest), "rare")
-    index = table(postings(rows, hinted(rare.select("term").distinct(), BROADCAST_ROWS)), "postings")
+    index = table(postings(rows, rare.select("term").distinct()), "postings")
     return candidates(rare, index, rarest, slop).select("phrase", "doc_id", "start").distinct()
 
 
@@ -96,7 +116,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, rares
 
     Returns doc_id, n_words, n_hit (words inside any occurrence of a window),
     items (sorted ids, as text, of items with occurring windows), contaminated
-    (n_hit > 0 and ``share`` * n_hit >= n_words), matches (start, n, phrase).
+    (n_hit > 0 and ``share`` * n_hit >= n_words), matches (start, n, phrase,
+    items; null if no place was compared).
     Null or empty text has no words and is clean; items without words match
     nothing; items with equal windows are all reported.  Rows without an id are
     left out, documents that repeat one count once; without items every document
@@ -105,16 +126,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, rares
     rows = one_per_id(docs, "doc_id", ["text"]).withColumn("text", whole_text())
     wins = table(phrases(items, window), "phrases")
     rare = table(rare_terms(wins, rows, rarest), "rare")
-    index = table(postings(rows, hinted(rare.select("term").distinct(), BROADCAST_ROWS)), "postings")
+    index = table(postings(rows, rare.select("term").distinct()), "postings")
     found = candidates(rare, index, rarest).join(hinted(wins.select("phrase", "items"), BROADCAST_ROWS), "phrase")
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "phrase", "items")).alias("found"))
-    words = rows.join(by_doc, "doc_id", "left").select("doc_id", terms(F.col("text")).alias("words"), "found")
-    there = F.expr("filter(coalesce(found, array()), "
-                   "f -> f.start + f.n <= size(words) and array_join(slice(words, f.start + 1, f.n), ' ') = f.phrase)")
-    out = words.select("doc_id", F.size("words").cast("long").alias("n_words"), there.alias("matches"))
-    return out.select(
-        "doc_id", "n_words",
+    by_doc = table(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "phrase", "items")).alias("found")), "found")
+    ids = hinted(by_doc.select("doc_id"), BROADCAST_ROWS)
+    words = rows.join(ids, "doc_id", "left_semi").select("doc_id", pieces(F.col("text")).alias("words")).join(by_doc, "doc_id")
+    there = F.expr("filter(found, f -> f.start + f.n <= size(words) "
+                   "and array_join(slice(words, f.start + 1, f.n), ' ') = f.phrase)")
+    own = words.select("doc_id", there.alias("matches")).select(
+        "doc_id", "matches",
         F.expr("cast(size(array_distinct(flatten(transform(matches, m -> sequence(m.start, m.start + m.n - 1))))) as long)").alias("n_hit"),
-        F.expr("array_sort(array_distinct(flatten(transform(matches, m -> m.items))))").alias("items"), "matches"
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select(
-        "doc_id", "n_words", "n_hit", "items", "contaminated", "matches")
+        F.expr("array_sort(array_distinct(flatten(transform(matches, m -> m.items))))").alias("items"))
+    out = word_counts(index).join(own, "doc_id", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return out.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "matches")

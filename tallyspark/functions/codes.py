@@ -46,3 +46,13 @@ NOISE_LEVELS = [5, 10, 15, 20, 30, 40, 70]
 
 # Training-set sizes of the small-sample learning curve.
 SWEEP_SIZES = [200, 400, 600]
+
+# FIXED VALUES: column names that prediction files use, per canonical column.
+PRED_ALIASES = {
+    "summary": ["SUMMARY", "summary"],
+    "gt": ["MANCOLL", "mancoll", "label", "labels"],
+    "pred": ["collision_type", "pred", "prediction", "output"],
+}
+
+# FIXED VALUES: summaries of the metric rows at the end of a prediction file.
+METRIC_ROWS = ["METRICS (ALL)", "METRICS (EXCL 9)"]

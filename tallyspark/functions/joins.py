@@ -21,3 +21,14 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     r = right.select(*[F.col(k).alias(rk[k]) for k in keys], *[c for c in right.columns if c not in keys])
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[rk[k]]) for k in keys])
     return left.join(r, cond, how).drop(*rk.values())
+
+
+#: Rows up to which a lookup table is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for a broadcast join if it has at most ``rows`` rows (it is
+    counted up to there), else unmarked: the join then shuffles both sides and
+    Spark splits hot keys."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -10,9 +10,7 @@ so no task ever receives a hot key's raw rows.
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.codes import UNKNOWN_CODE
@@ -43,61 +41,37 @@ def merge_predictions(long: DataFrame, sample: list[str], rater: str, label: str
 
 # -- A2/A3/A4/A11 ---------------------------------------------------------------
 
-def _pair_block(wide: DataFrame, cols: list[str], pairs: list[tuple[int, int]], by: list[str]) -> DataFrame:
-    """One aggregate over ``wide`` for the given (i, j) column pairs (i ≤ j),
-    unpivoted to (by..., _i, _j, n_both, n_equal)."""
-    aggs, cells = [], []
-    for i, j in pairs:
-        ca, cb = F.col(f"`{cols[i]}`"), F.col(f"`{cols[j]}`")
-        if i == j:
-            aggs.append(F.count(ca).alias(f"_n_{i}_{j}"))
-            e = F.col(f"_n_{i}_{j}")
-        else:
-            both = ca.isNotNull() & cb.isNotNull()
-            aggs.append(F.sum(F.when(both, 1).otherwise(0)).alias(f"_n_{i}_{j}"))
-            aggs.append(F.sum(F.when(both & (ca == cb), 1).otherwise(0)).alias(f"_e_{i}_{j}"))
-            e = F.col(f"_e_{i}_{j}")
-        n = F.col(f"_n_{i}_{j}").cast("bigint")
-        cells.append(F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), n.alias("n_both"),
-                              e.cast("bigint").alias("n_equal")))
-        if i != j:  # the mirrored cell comes from the same sums
-            cells.append(F.struct(F.lit(j).alias("_i"), F.lit(i).alias("_j"), n.alias("n_both"),
-                                  e.cast("bigint").alias("n_equal")))
-    return wide.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells)))
-
-
-def pairwise_from_wide(wide: DataFrame, cols: list[str], by: list[str] | None = None,
-                       block: int = 24) -> DataFrame:
-    """Agreement of every ordered column pair from conditional sums.
-
-    Each aggregate covers at most ``block`` × ``block`` columns' pairs
-    (bounded generated code); with more raters the pairs are split over
-    several aggregates of the same per-sample table, which is then
-    checkpointed once (shared checkpoint folder) instead of recomputed.
-    Long output ``(by..., rater_a, rater_b, n_both, n_equal, agreement)``;
-    diagonal: agreement 1.0, n_both = votes of that rater.
+def pairwise_from_wide(wide: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+    """Agreement of every ordered column pair, from one aggregate.
+
+    Each sample's labels are read once per unordered pair of columns, straight
+    into a count per (by, pair): nothing per sample is shuffled again, and the
+    generated code is as small for 60 raters as for 3.  Output
+    ``(by..., rater_a, rater_b, n_both, n_equal, agreement)``; diagonal:
+    agreement 1.0, n_both = votes of that rater.  A rater without a vote in a
+    group has no cells there.
     """
     by = by or []
     k = len(cols)
-    groups = [list(range(s, min(s + block, k))) for s in range(0, k, block)]
-    blocks = []
-    for gi, ga in enumerate(groups):
-        for gb in groups[gi:]:
-            blocks.append([(i, j) for i in ga for j in gb if i <= j])
-    if len(blocks) > 1:
-        from tallyspark.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(wide.sparkSession)
-        wide = wide.checkpoint(eager=True)
-    parts = [_pair_block(wide, cols, b, by) for b in blocks]
-    full = parts[0]
-    for p in parts[1:]:
-        full = full.unionByName(p)
+    pairs = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j")) for i in range(k) for j in range(i, k)])
+    labels = F.array(*[F.col(f"`{c}`") for c in cols])
+    rows = wide.select(*by, labels.alias("_v"), F.inline(pairs))
+    a, b = F.get("_v", F.col("_i")), F.get("_v", F.col("_j"))
+    half = rows.groupBy(*by, "_i", "_j").agg(F.count(F.when(a.isNotNull(), b)).alias("n_both"),
+                                             F.count_if(a == b).alias("n_equal"))
+    # raters × raters rows per group from here on
+    both_ways = F.when(F.col("_i") == F.col("_j"), F.array(F.struct("_i", "_j"))).otherwise(F.array(
+        F.struct("_i", "_j"), F.struct(F.col("_j").alias("_i"), F.col("_i").alias("_j"))))
+    full = half.select(*by, "n_both", "n_equal", F.inline(both_ways))
+    own = F.when(F.col("_i") == F.col("_j"), F.col("n_both"))
+    full = (full.withColumn("_va", F.max(own).over(Window.partitionBy(*by, "_i")))
+            .withColumn("_vb", F.max(own).over(Window.partitionBy(*by, "_j"))).where("_va > 0 and _vb > 0"))
     names = F.array(*[F.lit(str(c)) for c in cols])
-    out = full.select(*by, F.element_at(names, F.col("_i") + 1).alias("rater_a"),
-                      F.element_at(names, F.col("_j") + 1).alias("rater_b"), "n_both", "n_equal")
-    agreement = (F.when(F.col("rater_a") == F.col("rater_b"), F.lit(1.0))
+    agreement = (F.when(F.col("_i") == F.col("_j"), F.lit(1.0))
                  .when(F.col("n_both") > 0, _r6(F.col("n_equal") / F.col("n_both"))))
-    return out.withColumn("agreement", agreement)
+    return full.select(*by, F.element_at(names, F.col("_i") + 1).alias("rater_a"),
+                       F.element_at(names, F.col("_j") + 1).alias("rater_b"), "n_both", "n_equal",
+                       agreement.alias("agreement"))
 
 
 def pairwise_agreement(long: DataFrame, sample: list[str], rater: str, label: str,
@@ -131,14 +105,14 @@ def sample_consistency(long: DataFrame, sample: list[str], label: str, truth: st
                        by: list[str] | None = None, rounded: bool = True) -> DataFrame:
     """A5 (+ A6 when ``truth`` is given): share of the largest vote group.
 
-    Null when a sample has at most one vote.  With truth, the truth label is
-    one more vote: it adds one to the group of its label (or forms its own).
+    Null when a sample has at most one vote; a sample without any stays, with
+    0 votes.  With truth, the truth label is one more vote: it adds one to the
+    group of its label (or forms its own).
     """
     by = by or []
     rnd = _r6 if rounded else (lambda c: c)
     keys = by + sample + ([truth] if truth else [])
-    votes = long.where(F.col(label).isNotNull())
-    per_label = votes.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"))
+    per_label = long.groupBy(*keys, label).agg(F.count(label).alias("_n"))
     aggs = [F.sum("_n").alias("n_votes"), F.max("_n").alias("_top")]
     if truth:
         aggs.append(F.max(F.when(F.col(label) == F.col(truth), F.col("_n") + 1)
@@ -209,36 +183,49 @@ def fleiss_kappa(long: DataFrame, sample: list[str], label: str, by: list[str] |
     if not given:
         votes = votes.withColumn("_g", F.lit(0))
     cnt = votes.groupBy(*by, *sample, label).agg(F.count(F.lit(1)).alias("c"))
-    from pyspark.sql import Window
-    w = Window.partitionBy(*by, *sample)
-    cw = cnt.withColumn("n_i", F.sum("c").over(w)).where(F.col("n_i") >= 2)
-    if complete_only:
-        full = cw.groupBy(*by).agg(F.max("n_i").alias("_k"))
-        cw = join_keys(cw, full, by)  # one row per group: broadcast at runtime
-        cw = cw.where(F.col("n_i") == F.col("_k")).drop("_k")
-    per_sample = cw.groupBy(*by, *sample).agg(F.max("n_i").alias("n_i"), F.sum(F.col("c") * F.col("c")).alias("s2"))
+    per = cnt.groupBy(*by, *sample).agg(
+        F.sum("c").alias("n_i"), F.sum(F.col("c") * F.col("c")).alias("s2"),
+        F.collect_list(F.struct(F.col(label).alias("l"), "c")).alias("_l")).where("n_i >= 2")
+    # (group, votes per sample) and (group, votes per sample, label): a few rows
+    # each, from which the full rater count is chosen without touching samples again.
     p_i = (F.col("s2") - F.col("n_i")) / (F.col("n_i") * (F.col("n_i") - 1))
-    stats = per_sample.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_samples"), F.avg(p_i).alias("p_bar"),
-        F.min("n_i").alias("min_votes"), F.max("n_i").alias("max_votes"),
-        F.sum("n_i").alias("n_votes"))
-    totals = cw.groupBy(*by, label).agg(F.sum("c").alias("t")).groupBy(*by).agg(
-        F.sum(F.col("t") * F.col("t")).alias("st2"))
-    j = join_keys(stats, totals, by)
-    pe = F.col("st2") / (F.col("n_votes") * F.col("n_votes"))
+    stats = per.groupBy(*by, "n_i").agg(F.count(F.lit(1)).alias("n"), F.sum(p_i).alias("p"))
+    labels = (per.select(*by, "n_i", F.inline("_l")).groupBy(*by, "n_i", "l").agg(F.sum("c").alias("t")))
+    return kappa_from_counts(stats, labels, by, complete_only).select(*given, "n_samples", "n_votes", "equal_votes", "kappa")
+
+
+def kappa_from_counts(stats: DataFrame, labels: DataFrame, by: list[str], complete_only: bool) -> DataFrame:
+    """Kappa from (by, n_i, n, p) — samples with n_i votes and the sum of their
+    agreement — and (by, n_i, l, t) — votes per label.
+
+    Squares are of label shares (double), so no count is large enough to
+    overflow.
+    """
+    top = F.max("n_i").over(Window.partitionBy(*by))  # a row per distinct vote count
+    if complete_only:
+        stats = stats.withColumn("_k", top).where("n_i = _k")
+        labels = labels.withColumn("_k", top).where("n_i = _k")
+    g = stats.groupBy(*by).agg(
+        F.sum("n").alias("n_samples"), (F.sum("p") / F.sum("n")).alias("p_bar"),
+        F.min("n_i").alias("min_votes"), F.max("n_i").alias("max_votes"), F.sum(F.col("n") * F.col("n_i")).alias("n_votes"))
+    per_label = labels.groupBy(*by, "l").agg(F.sum("t").alias("t"))
+    share = F.col("t") / F.sum("t").over(Window.partitionBy(*by))
+    e = per_label.withColumn("_s", share).groupBy(*by).agg(F.sum(F.col("_s") * F.col("_s")).alias("pe"))
     equal = F.col("min_votes") == F.col("max_votes")
-    kappa = F.when(equal & (pe < 1), _r6((F.col("p_bar") - pe) / (1 - pe)))
-    return j.select(*given, F.col("n_samples").cast("bigint").alias("n_samples"),
-                    F.col("n_votes").cast("bigint").alias("n_votes"),
-                    equal.alias("equal_votes"), kappa.alias("kappa"))
+    kappa = F.when(equal & (F.col("pe") < 1), _r6((F.col("p_bar") - F.col("pe")) / (1 - F.col("pe"))))
+    return join_keys(g, e, by).select(*by, F.col("n_samples").cast("bigint").alias("n_samples"),
+                                      F.col("n_votes").cast("bigint").alias("n_votes"),
+                                      equal.alias("equal_votes"), kappa.alias("kappa"))
 
 
 # -- A9/A10 -------------------------------------------------------------------------
 
-def _vote_rank(n: Column, first: Column) -> Column:
-    """Orders vote groups by size, then by earliest ``first`` (one BIGINT, so
-    ``max_by`` stays a hash aggregate): n·2^32 + (2^31 − 1 − first)."""
-    return n.cast("bigint") * F.lit(4294967296) + (F.lit(2147483647) - first.cast("bigint"))
+def vote_rank(n: Column, first: Column) -> Column:
+    """Orders vote groups by size, then by earliest ``first``: one DECIMAL with
+    room for both whole ranges, so ``max_by`` stays a hash aggregate and neither
+    can spill into the other."""
+    wide = F.lit("18446744073709551616").cast("decimal(20,0)")
+    return n.cast("decimal(17,0)") * wide - first.cast("decimal(20,0)")
 
 
 def majority_vote(long: DataFrame, sample: list[str], label: str, order: str,
@@ -246,8 +233,8 @@ def majority_vote(long: DataFrame, sample: list[str], label: str, order: str,
                   rounded: bool = True) -> DataFrame:
     """Winning label per sample and its share of the votes.
 
-    Ties go to the label first seen in ``order`` (earliest run; ``order``
-    must be an integer).  One vote gives ratio 1.0; a sample with no
+    Ties go to the label first seen in ``order`` (earliest run; an integer of
+    any size).  One vote gives ratio 1.0; a sample with no
     non-null vote gets nulls.
     """
     by = by or []
@@ -256,7 +243,7 @@ def majority_vote(long: DataFrame, sample: list[str], label: str, order: str,
     per = long.groupBy(*by, *sample, *keep, label).agg(
         F.count(label).alias("_n"), F.min(order).alias("_first"))
     v = per.groupBy(*by, *sample, *keep).agg(
-        F.max_by(F.when(F.col("_n") > 0, F.col(label)), _vote_rank(F.col("_n"), F.col("_first"))).alias("maj_pred"),
+        F.max_by(F.when(F.col("_n") > 0, F.col(label)), vote_rank(F.col("_n"), F.col("_first"))).alias("maj_pred"),
         F.sum("_n").alias("n_votes"), F.max("_n").alias("_top"))
     return v.select(*by, *sample, *keep, "maj_pred", F.col("n_votes").cast("bigint").alias("n_votes"),
                     F.when(F.col("n_votes") > 0, rnd(F.col("_top") / F.col("n_votes"))).alias("consistency"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tallyspark.functions.codes import INDEX_TO_MANCOLL, SYMBOL_LETTERS
+from tallyspark.functions.joins import checked_broadcast
 
 
 def _strip(c: Column) -> Column:
@@ -40,7 +41,7 @@ def apply_encoding(df: DataFrame, col: str, mapping: DataFrame, on_unseen: str =
     ``on_unseen``: ``raise`` (fail the job on the first unseen label),
     ``drop`` (inner join) or ``null``.  The mapping is one row per class.
     """
-    m = mapping.select(F.col("label").alias("_label"), F.col("label_id").alias(out))
+    m = checked_broadcast(mapping.select(F.col("label").alias("_label"), F.col("label_id").alias(out)))
     if on_unseen == "drop":
         return df.join(m, F.col(col) == F.col("_label"), "inner").drop("_label")
     j = df.join(m, F.col(col) == F.col("_label"), "left").drop("_label")
@@ -125,7 +126,7 @@ def local_symbol(k: Column) -> Column:
 def encode_local(df: DataFrame, codebook: DataFrame, type_col: str = "crashtype",
                  conf_col: str = "crashconf", out: str = "local_code") -> DataFrame:
     """Global crash type → one-symbol local label (broadcast codebook)."""
-    cb = F.broadcast(codebook.select(F.col("conf").alias("_conf"), "code_offset"))
+    cb = checked_broadcast(codebook.select(F.col("conf").alias("_conf"), "code_offset"))
     j = df.join(cb, F.col(conf_col) == F.col("_conf"), "inner").drop("_conf")
     return j.withColumn(out, local_symbol(F.col(type_col) - F.col("code_offset")))
 
@@ -143,20 +144,25 @@ def symbol_number(c: Column, letters: dict | None = None) -> Column:
 def decode_local(df: DataFrame, codebook: DataFrame, symbol_col: str = "local_code",
                  conf_col: str = "crashconf", out: str = "decoded_type") -> DataFrame:
     """Parsed local number + configuration offset → global crash type."""
-    cb = F.broadcast(codebook.select(F.col("conf").alias("_conf"), F.col("code_offset").alias("_off")))
+    cb = checked_broadcast(codebook.select(F.col("conf").alias("_conf"), F.col("code_offset").alias("_off")))
     j = df.join(cb, F.col(conf_col) == F.col("_conf"), "left").drop("_conf")
     return j.withColumn(out, (symbol_number(F.col(symbol_col)) + F.col("_off")).cast("int")).drop("_off")
 
 
+def sample_digest(text: Column, label: Column) -> Column:
+    """md5(text || '||' || label), nulls read as empty text."""
+    return F.md5(F.concat(F.coalesce(text, F.lit("")), F.lit("||"), F.coalesce(label.cast("string"), F.lit(""))))
+
+
 def sample_hash_id(text: Column, label: Column) -> Column:
-    """md5(text || '||' || label)[:10], nulls read as empty text."""
-    s = F.concat(F.coalesce(text, F.lit("")), F.lit("||"), F.coalesce(label.cast("string"), F.lit("")))
-    return F.substring(F.md5(s), 1, 10)
+    """The first 10 characters of the digest (for display: 40 bits collide
+    among some 10^6 samples)."""
+    return F.substring(sample_digest(text, label), 1, 10)
 
 
 def with_sample_id(df: DataFrame, text: str, label: str, by: list[str], order: list[str],
                    out: str = "sample_id") -> DataFrame:
-    """Unique sample id when no case id exists: C10 hash + '#' + occurrence.
+    """Unique sample id when no case id exists: full digest + '#' + occurrence.
 
     The occurrence number counts equal (text, label) rows within ``by`` (a
     file, i.e. model × run) in the declared ``order``.  A writer that stores
@@ -165,7 +171,7 @@ def with_sample_id(df: DataFrame, text: str, label: str, by: list[str], order: l
     """
     from tallyspark.operators.ranking import row_number_within
 
-    keyed = df.withColumn("_sh", sample_hash_id(F.col(text), F.col(label)))
+    keyed = df.withColumn("_sh", sample_digest(F.col(text), F.col(label)))
     numbered = row_number_within(keyed, by + ["_sh"], order, "_occ")
     return numbered.withColumn(out, F.concat(F.col("_sh"), F.lit("#"), F.col("_occ").cast("string"))) \
                    .drop("_sh", "_occ")

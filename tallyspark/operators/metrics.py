@@ -67,18 +67,20 @@ def macro_f1(df: DataFrame, gt: str, pred: str, by: list[str] | None = None) ->
                                _r6(F.avg(_f1(F.col("tp"), F.col("fp"), F.col("fn")))).alias("macro_f1"))
 
 
+def scores(confusion: DataFrame, by: list[str]) -> DataFrame:
+    """Accuracy and macro-F1 per ``by`` group from a confusion table.  Per-class
+    counts hold all of it: every row supports one class, every hit is one true
+    positive."""
+    pc = per_class_counts(confusion, by)
+    hit = F.sum("tp") / F.sum("support")
+    return pc.groupBy(*by).agg(F.sum("support").cast("bigint").alias("n"), _r6(hit).alias("accuracy"),
+                               _r6(F.avg(_f1(F.col("tp"), F.col("fp"), F.col("fn")))).alias("macro_f1"))
+
+
 def accuracy_and_f1(df: DataFrame, gt: str, pred: str, by: list[str] | None = None) -> DataFrame:
     """M1 + M2 from one confusion table."""
     by = by or []
-    cm = confusion_counts(df, gt, pred, by)
-    acc = cm.groupBy(*by).agg(F.sum("n").alias("n"),
-                              F.sum(F.when(F.col("gt") == F.col("pred"), F.col("n")).otherwise(0)).alias("_ok"))
-    pc = per_class_counts(cm, by)
-    f1 = pc.groupBy(*by).agg(F.avg(_f1(F.col("tp"), F.col("fp"), F.col("fn"))).alias("_f1"))
-    j = join_keys(acc, f1, by) if by else acc.withColumn("_k", F.lit(0)).join(
-        f1.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    return j.select(*by, F.col("n").cast("bigint").alias("n"), _r6(F.col("_ok") / F.col("n")).alias("accuracy"),
-                    _r6(F.col("_f1")).alias("macro_f1"))
+    return scores(confusion_counts(df, gt, pred, by), by)
 
 
 def metrics_excl_class(df: DataFrame, gt: str, pred: str, by: list[str] | None = None,
@@ -190,13 +192,13 @@ def metrics_table(df: DataFrame, gt: str, pred: str, by: list[str] | None = None
                   exclude=UNKNOWN_CODE) -> DataFrame:
     """M8: overall and excluding-``exclude`` accuracy and macro-F1, long form."""
     by = by or []
-    parts = []
-    for scope, src in (("overall", df), (f"excl_{exclude}", df.where(F.col(gt) != F.lit(exclude)))):
-        m = accuracy_and_f1(src, gt, pred, by)
-        parts.append(m.select(*by, F.lit(scope).alias("scope"), F.inline(F.array(
-            F.struct(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
-            F.struct(F.lit("macro_f1").alias("metric"), F.col("macro_f1").alias("value"))))))
-    return parts[0].unionByName(parts[1])
+    cm = confusion_counts(df, gt, pred, by)
+    outside = F.col("gt") != F.lit(exclude)
+    scopes = F.when(outside, F.array(F.lit("overall"), F.lit(f"excl_{exclude}"))).otherwise(F.array(F.lit("overall")))
+    m = scores(cm.withColumn("scope", F.explode(scopes)), [*by, "scope"])
+    return m.select(*by, "scope", F.inline(F.array(
+        F.struct(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
+        F.struct(F.lit("macro_f1").alias("metric"), F.col("macro_f1").alias("value")))))
 
 
 __all__ = ["accuracy", "macro_f1", "accuracy_and_f1", "metrics_excl_class", "class_report",

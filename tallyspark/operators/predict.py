@@ -1,16 +1,15 @@
 """Pluggable batch prediction (T5).
 
-A predictor is built once per partition on the executor (model weights are
-loaded there, not shipped per row) and applied to Arrow batches through
-``mapInPandas``; the rest of the plan stays in the JVM.
+A predictor is built once per task on the executor (model weights are loaded
+there, not shipped per row) and applied to Arrow batches of its input columns;
+all other columns stay in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,58 +22,31 @@ class BatchPredictor(Protocol):
 
 def predict_table(df: DataFrame, make_predictor: Callable[[], BatchPredictor], out: str,
                   out_type: T.DataType, input_cols: list[str] | None = None) -> DataFrame:
-    """T5: add column ``out`` = predictor(row batch) for every row.
-
-    ``make_predictor`` runs once per partition on the executor.  Only
-    ``input_cols`` are handed to the predictor.
-    """
-    schema = T.StructType(df.schema.fields + [T.StructField(out, out_type, True)])
-    cols = input_cols or df.columns
-
-    def run(batches):
+    """T5: add column ``out`` = predictor(batch of ``input_cols``) for every row."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         model = make_predictor()
-        for pdf in batches:
-            pdf[out] = model.predict(pdf[cols]).to_numpy() if len(pdf) else pd.Series([], dtype=object)
-            yield pdf
-
-    return df.mapInPandas(run, schema)
+        for batch in batches:
+            yield model.predict(batch) if len(batch) else pd.Series([], dtype=object)
 
+    run.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
+    predict = F.pandas_udf(run, out_type)
+    return df.withColumn(out, predict(F.struct(*(input_cols or df.columns))))
 
-class NearestCentroid:
-    """Label of the nearest class centroid (squared Euclidean distance)."""
 
-    def __init__(self, labels: list, centroids: list[list[float]], col: str):
-        self.labels = np.asarray(labels)
-        self.c = np.asarray(centroids, dtype=np.float64)
-        self.col = col
-
-    def predict(self, batch: pd.DataFrame) -> pd.Series:
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in batch[self.col]])
-        d = (x * x).sum(1)[:, None] - 2 * x @ self.c.T + (self.c * self.c).sum(1)[None, :]
-        return pd.Series(self.labels[np.argmin(d, axis=1)])
+def class_centroids(df: DataFrame, vec: str, label: str) -> DataFrame:
+    """(label, centroid): the mean vector of each class, one row per class; sums
+    are combined map-side per (class, position)."""
+    cells = (df.select(label, F.posexplode(vec).alias("pos", "x"))
+             .groupBy(label, "pos").agg(F.avg("x").alias("mean")))
+    return cells.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("pos", "mean"))).alias("_c")).select(
+        label, F.col("_c.mean").alias("centroid"))
 
 
-def class_centroids(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """Mean vector per class: (label, pos, mean) — classes × dimensions rows."""
-    return (df.select(label, F.posexplode(vec).alias("pos", "x"))
-            .groupBy(label, "pos").agg(F.avg("x").alias("mean")))
-
-
-def centroid_predictor(train: DataFrame, vec: str, label: str, max_cells: int = 10_000_000):
-    """Fit centroids on Spark, return a factory for executors.
-
-    The centroid table is classes × dimensions (checked against
-    ``max_cells``) and travels inside the factory's closure.
-    """
-    cells = class_centroids(train, vec, label).limit(max_cells + 1).collect()
-    if len(cells) > max_cells:
-        raise ValueError("centroid table too large to ship to executors")
-    by_label: dict = {}
-    for r in cells:
-        by_label.setdefault(r[label], {})[r["pos"]] = r["mean"]
-    labels = sorted(by_label)
-    dim = 1 + max(p for d in by_label.values() for p in d)
-    cent = [[by_label[lab].get(i, 0.0) for i in range(dim)] for lab in labels]
+def centroid_predictor(train: DataFrame, vec: str, label: str) -> Callable[[], BatchPredictor]:
+    """Fit centroids on Spark, return a factory for executors: the label of the
+    nearest centroid (squared Euclidean distance; ties: smaller label).  The model
+    — one vector per class, whatever the number of rows — travels in its closure."""
+    model = sorted((r[label], list(r["centroid"])) for r in class_centroids(train, vec, label).collect())
 
     def make():
         # Defined here so the factory ships by value: executors need numpy
@@ -82,15 +54,14 @@ def centroid_predictor(train: DataFrame, vec: str, label: str, max_cells: int =
         import numpy as np
         import pandas as pd
 
-        class _Nearest:
-            def __init__(self):
-                self.labels = np.asarray(labels)
-                self.c = np.asarray(cent, dtype=np.float64)
+        class Nearest:
+            labels = np.asarray([m[0] for m in model])
+            centres = np.asarray([m[1] for m in model], dtype=np.float64)
 
             def predict(self, batch):
                 x = np.stack([np.asarray(v, dtype=np.float64) for v in batch[vec]])
-                d = (x * x).sum(1)[:, None] - 2 * x @ self.c.T + (self.c * self.c).sum(1)[None, :]
+                d = ((x[:, None, :] - self.centres[None, :, :]) ** 2).sum(2)
                 return pd.Series(self.labels[np.argmin(d, axis=1)])
 
-        return _Nearest()
+        return Nearest()
     return make

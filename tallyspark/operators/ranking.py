@@ -23,9 +23,14 @@ from tallyspark.session import ensure_checkpoint_dir
 
 
 def row_number_within(df: DataFrame, group: list[str], order: list[str], out: str = "rn",
-                      partitions: int | None = None) -> DataFrame:
-    """Exact 1-based row number per ``group`` in ``order`` (a total order
-    within the group, as for ``row_number``)."""
+                      partitions: int | None = None, total: str | None = None) -> DataFrame:
+    """Exact 1-based row number (BIGINT) per ``group`` in ``order`` (a total
+    order within the group, as for ``row_number``); with ``total`` also the
+    group's row count in that column.
+
+    Only groups that cross a partition edge have an offset: at most two per
+    partition, whatever the number of groups, so that table is broadcast.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -34,9 +39,17 @@ def row_number_within(df: DataFrame, group: list[str], order: list[str], out: st
     # the numbering and the offsets read the very same assignment.
     ranged = (df.repartitionByRange(n, *[F.col(c) for c in group + order])
               .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
-    local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid", *group).orderBy(*order)))
-    counts = local.groupBy("_pid", *group).agg(F.max("_lrn").alias("_cnt"))
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", *group, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    j = join_keys(local, offsets, ["_pid", *group])
-    return j.select(*df.columns, (F.col("_lrn") + F.col("_off")).cast("int").alias(out))
+    here = Window.partitionBy("_pid", *group)
+    local = ranged.withColumn("_lrn", F.row_number().over(here.orderBy(*order)).cast("long"))
+    if total:
+        local = local.withColumn("_lc", F.count(F.lit(1)).over(here))
+    counts = ranged.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_cnt"))
+    edges = Window.partitionBy(*group)
+    before = edges.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (counts.withColumn("_off", F.sum("_cnt").over(before)).withColumn("_all", F.sum("_cnt").over(edges))
+               .where("_all > _cnt").select("_pid", *group, F.coalesce("_off", F.lit(0)).alias("_off"), "_all"))
+    j = join_keys(local, F.broadcast(offsets), ["_pid", *group], "left")
+    cols = [*df.columns, (F.col("_lrn") + F.coalesce("_off", F.lit(0))).alias(out)]
+    if total:
+        cols.append(F.coalesce("_all", "_lc").alias(total))
+    return j.select(*cols)

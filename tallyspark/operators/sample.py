@@ -1,17 +1,20 @@
 """Exact, reproducible sampling, label noise and splits.
 
 Row order is a seeded hash of a unique row key: ``(H(key, seed), key)``.
-"The first k rows" is found without sorting the table and without a window
-over a whole group (a hot class or the whole table would land on one task):
+"The first k rows" is found without sorting the table, without moving its rows
+and without a window over a whole group (a hot class or the whole table would
+land on one task):
 
 1. bucket = top ``BUCKET_BITS`` bits of the hash; count rows per
    (group, bucket) — a hash aggregate with map-side combine, at most
    groups × 2^BUCKET_BITS rows;
 2. running counts per group over its buckets (a window over the small
-   count table) give every bucket's first rank;
-3. a bucket lies wholly before or after each cut, except at most one
-   "edge" bucket per cut; only rows of edge buckets are ranked exactly
-   (row_number inside the bucket).
+   count table) give the one bucket in which each cut falls, and how many of
+   its rows are still in;
+3. only that bucket's keys are ranked, which gives the cut itself: the hash
+   and key of the last row in (one row per group and cut);
+4. a row is in if its hash and key are not above the cut: a comparison
+   against a broadcast row.
 
 The result is identical to ``row_number() over (partition by group order by
 hash, key)`` — which is what the SQL oracles compute.
@@ -24,9 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tallyspark.functions.hashing import hash32
-from tallyspark.functions.joins import join_keys
+from tallyspark.functions.joins import checked_broadcast, join_keys
 
 BUCKET_BITS = 18
+SWEEP_DEALS = 64
 
 
 def row_key(cols: list[str]) -> Column:
@@ -46,11 +50,14 @@ def rank_flags(df: DataFrame, key_cols: list[str], seed, cuts, group_cols: list[
     or a DataFrame with columns group_cols + ``_cut_<i>`` (per-group cuts).
     Adds ``_h`` (order hash) as a by-product.
     """
-    g = list(group_cols or [])
+    given = list(group_cols or [])
+    g = given or ["_g"]
     shift = 32 - bucket_bits
     base = df.withColumn("_h", order_hash(key_cols, seed)).withColumn("_b", F.shiftright("_h", shift))
+    if not given:
+        base = base.withColumn("_g", F.lit(0))
     counts = base.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    wg = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
+    wg = Window.partitionBy(*g)
     w = wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cum = (counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
            .withColumn("_n", F.sum("_c").over(wg)))
@@ -59,34 +66,30 @@ def rank_flags(df: DataFrame, key_cols: list[str], seed, cuts, group_cols: list[
         cum = cum.select("*", *[c.alias(f"_cut_{i}") for i, c in enumerate(cut_cols)])
         k = len(cut_cols)
     else:
-        if not g:
+        if not given:
             raise ValueError("per-group cuts need group columns; pass a callable otherwise")
         k = len([c for c in cuts.columns if c.startswith("_cut_")])
         cum = join_keys(cum, cuts, g)
-    edge = F.lit(False)
-    for i in range(k):
-        c = F.col(f"_cut_{i}")
-        edge = edge | ((F.col("_before") < c) & (F.col("_before") + F.col("_c") > c))
-    cum = cum.withColumn("_edge", edge)
-    table = cum.select(*g, "_b", "_before", "_c", "_edge", *[f"_cut_{i}" for i in range(k)])
-    # One row per (group, bucket): bounded by groups x 2^bucket_bits.
-    joined = base.join(F.broadcast(table), ["_b"], "inner") if not g else join_keys(base, table, g + ["_b"])
-    inner = Window.partitionBy(*g, "_b").orderBy("_h", *key_cols)
-    exact = (joined.where(F.col("_edge"))
-             .withColumn("_rank", F.col("_before") + F.row_number().over(inner)))
-    rest = joined.where(~F.col("_edge")).withColumn("_rank", F.lit(None).cast("long"))
-    both = exact.unionByName(rest)
-    flags = []
-    for i in range(k):
-        c = F.col(f"_cut_{i}")
-        flags.append(F.when(F.col("_rank").isNotNull(), F.col("_rank") <= c)
-                     .otherwise(F.col("_before") + F.col("_c") <= c).alias(f"_in_{i}"))
-    return both.select(*df.columns, "_h", *flags)
+    each = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_cut_{i}").cast("long").alias("_cut")) for i in range(k)])
+    # the bucket in which a cut falls: one row per group and cut
+    edges = (cum.select(*g, "_b", "_before", "_c", F.inline(each))
+             .where((F.col("_cut") > F.col("_before")) & (F.col("_cut") <= F.col("_before") + F.col("_c")))
+             .select(*g, "_b", "_i", (F.col("_cut") - F.col("_before")).alias("_need")))
+    near = join_keys(base.select(*g, "_b", "_h", *[F.col(c).alias(f"_key_{j}") for j, c in enumerate(key_cols)]),
+                     F.broadcast(edges) if not given else checked_broadcast(edges), [*g, "_b"])
+    place = ["_h", *[f"_key_{j}" for j in range(len(key_cols))]]
+    rank = F.row_number().over(Window.partitionBy(*g, "_b", "_i").orderBy(*place))
+    last = near.withColumn("_rank", rank).where("_rank = _need")
+    limits = last.groupBy(*g).agg(*[F.max(F.when(F.col("_i") == i, F.struct(*place))).alias(f"_last_{i}") for i in range(k)])
+    flagged = join_keys(base, F.broadcast(limits) if not given else checked_broadcast(limits), g, "left")
+    mine = F.struct("_h", *[F.col(c).alias(f"_key_{j}") for j, c in enumerate(key_cols)])
+    flags = [F.coalesce(mine <= F.col(f"_last_{i}"), F.lit(False)).alias(f"_in_{i}") for i in range(k)]
+    return flagged.select(*df.columns, "_h", *flags)
 
 
 def floor_pct(n: Column, pct: int) -> Column:
     """⌊n·pct/100⌋ in exact integer arithmetic."""
-    return ((n * F.lit(int(pct)) - (n * F.lit(int(pct))) % 100) / 100).cast("long")
+    return F.call_function("div", n.cast("long") * F.lit(int(pct)), F.lit(100))
 
 
 def ceil_pct(n: Column, pct: int) -> Column:
@@ -141,16 +144,21 @@ def random_split(df: DataFrame, key_cols: list[str], test_pct: int, val_pct: int
 
 
 def stratified_quotas(df: DataFrame, strat: str, test_pct: int) -> DataFrame:
-    """Per-class test quota by largest remainder: T = ⌈n·test%⌉ rows split
+    """Per-class test quota (see :func:`quotas_from_counts`)."""
+    return quotas_from_counts(df.groupBy(strat).agg(F.count(F.lit(1)).alias("_nc")), strat, test_pct)
+
+
+def quotas_from_counts(c: DataFrame, strat: str, test_pct: int) -> DataFrame:
+    """Quotas by largest remainder from (strat, _nc): T = ⌈n·test%⌉ rows split
     in proportion to class sizes; the leftover seats go to the largest
     fractional parts (ties: smaller class value).  Classes are few; the
     windows run over the per-class count table only."""
-    c = df.groupBy(strat).agg(F.count(F.lit(1)).alias("_nc"))
     wall = Window.partitionBy(F.lit(0))
     c = c.withColumn("_n", F.sum("_nc").over(wall))
     c = c.withColumn("_t", ceil_pct(F.col("_n"), test_pct))
-    num = F.col("_nc") * F.col("_t")
-    c = c.withColumn("_base", ((num - num % F.col("_n")) / F.col("_n")).cast("long")).withColumn("_rem", num % F.col("_n"))
+    num = F.col("_nc").cast("decimal(19,0)") * F.col("_t").cast("decimal(19,0)")  # 38 digits hold any product
+    n = F.col("_n").cast("decimal(19,0)")
+    c = c.withColumn("_base", F.call_function("div", num, n)).withColumn("_rem", num % n)
     c = c.withColumn("_left", F.col("_t") - F.sum("_base").over(wall))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("_rem").desc(), F.col(strat).asc_nulls_last())
     c = c.withColumn("_extra", (F.row_number().over(order) <= F.col("_left")).cast("long"))
@@ -176,16 +184,21 @@ def class_weights(df: DataFrame, col: str, k: int | None = None) -> DataFrame:
 
 def with_class_weights(df: DataFrame, col: str, out: str = "weight", k: int | None = None) -> DataFrame:
     w = class_weights(df, col, k).select(F.col("label").alias(col), F.col("weight").alias(out))
-    return df.join(F.broadcast(w), col, "left")
+    return df.join(checked_broadcast(w), col, "left")
 
 
 def limit_sweep(df: DataFrame, order_cols: list[str], sizes: list[int]) -> DataFrame:
     """Training sets of the first n rows for each n in ``sizes``.
 
-    One top-max(n) (per-partition top-k, merged on one task of max(n)
-    rows), numbered, then fanned out per size.
+    The first max(n) rows are found in two steps, per deal of partitions and then
+    over ``SWEEP_DEALS`` deals, so what one task merges does not grow with the
+    number of splits; they are numbered, then fanned out per size.
     """
-    top = df.orderBy(*order_cols).limit(max(sizes))
+    most = max(sizes)
+    deal = Window.partitionBy("_deal").orderBy(*order_cols)
+    few = (df.withColumn("_deal", F.spark_partition_id() % SWEEP_DEALS)
+           .withColumn("_rn", F.row_number().over(deal)).where(F.col("_rn") <= most).drop("_deal", "_rn"))
+    top = few.orderBy(*order_cols).limit(most)
     numbered = top.withColumn("pos", F.row_number().over(Window.orderBy(*order_cols)))
     fan = numbered.select("*", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size"))
     return fan.where(F.col("pos") <= F.col("size")).select("size", "pos", *df.columns)

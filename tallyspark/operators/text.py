@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyspark.functions.codes import FOCUS_TEXT, SYMBOL_LETTERS
+from tallyspark.functions.codes import CRASHCAT_NAMES, FOCUS_TEXT, MANCOLL_NAMES, SYMBOL_LETTERS
+from tallyspark.functions.joins import checked_broadcast
 
 WS = r"[\t\n\x0B\f\r ]"  # ASCII whitespace, same set in Java and RE2
 
@@ -20,8 +21,9 @@ WS = r"[\t\n\x0B\f\r ]"  # ASCII whitespace, same set in Java and RE2
 # -- T1 -----------------------------------------------------------------------
 
 def focus_pattern(vehno: Column) -> Column:
-    """Per-row regex matching V5, V#5, Vehicle 5, Vehicle #5 (any case, whole word)."""
-    return F.format_string(r"(?i)\b(V#%1$d|V%1$d|Vehicle #%1$d|Vehicle %1$d)\b", vehno.cast("int"))
+    """Per-row regex: the letter V or the word Vehicle and one space, an optional
+    hash sign, the number; a whole word, any case."""
+    return F.format_string(r"(?i)\bV(?:ehicle\x20)?#?%d\b", vehno.cast("int"))
 
 
 def focus_vehicle(df: DataFrame, text_col: str = "summary", vehno_col: str = "vehno",
@@ -36,11 +38,11 @@ def focus_vehicle(df: DataFrame, text_col: str = "summary", vehno_col: str = "ve
 def split_by_vehicle(df: DataFrame, text_col: str = "summary", key: str = "caseid") -> DataFrame:
     """Segments that start at each 'Vehicle N'; text before the first is dropped.
 
-    A marker is inserted before every 'Vehicle N', the text is split on it
-    and the first piece dropped; segments are stripped.
+    The text is split where a 'Vehicle N' follows and the part before the first
+    is dropped; segments are stripped.
     """
-    marked = F.regexp_replace(F.col(text_col), r"(Vehicle\s*\d+)", "\u0001$1")
-    parts = df.select(key, F.posexplode(F.split(marked, "\u0001")).alias("pos", "segment"))
+    cut = F.split(F.concat(F.lit(" "), F.col(text_col)), r"(?=Vehicle\s*\d)")
+    parts = df.select(key, F.posexplode(cut).alias("pos", "segment"))
     seg = F.regexp_replace(F.col("segment"), rf"^{WS}+|{WS}+$", "")
     return parts.where(F.col("pos") > 0).select(
         key, F.col("pos").cast("int").alias("pos"), seg.alias("segment"),
@@ -98,6 +100,67 @@ def options_text(names: dict) -> str:
     return "\n".join(f"{k}: {v}" for k, v in names.items())
 
 
+# -- T4 -----------------------------------------------------------------------
+
+def sft_manner(cases: DataFrame, text_col: str = "summary", label: str = "mancoll") -> DataFrame:
+    """T4, manner of collision: (caseid, prompt, answer) for every case with a
+    text and a label."""
+    ok = cases.where(F.col(text_col).isNotNull() & F.col(label).isNotNull())
+    p = build_prompts(ok.withColumn("options", F.lit(options_text(MANCOLL_NAMES))), "manner",
+                      {"options": "options", "text": text_col})
+    return p.select("caseid", "prompt", F.col(label).cast("string").alias("answer"))
+
+
+def _vehicle_rows(cases: DataFrame, gv: DataFrame, order: list[str], text_col: str) -> DataFrame:
+    from tallyspark.operators.relate import explode_vehicles, lookup_truth
+    rows = lookup_truth(explode_vehicles(cases), gv, order)
+    return focus_vehicle(rows, text_col, "vehno", out="focus_text")
+
+
+def sft_category(cases: DataFrame, gv: DataFrame, order: list[str], text_col: str = "summary") -> DataFrame:
+    """T4, crash category: (caseid, vehno, prompt, answer) for vehicles with a
+    known category."""
+    ok = _vehicle_rows(cases, gv, order, text_col).where(F.col("crashcat").isin(list(CRASHCAT_NAMES)))
+    p = build_prompts(ok.withColumn("options", F.lit(options_text(CRASHCAT_NAMES))), "category",
+                      {"vehno": "vehno", "options": "options", "text": "focus_text"})
+    return p.select("caseid", "vehno", "prompt", F.col("crashcat").cast("string").alias("answer"))
+
+
+def sft_configuration(cases: DataFrame, gv: DataFrame, options: DataFrame, codebook: DataFrame, order: list[str],
+                      text_col: str = "summary") -> DataFrame:
+    """T4, configuration: for vehicles with a known category and a configuration
+    of the codebook.  ``options``: (category, option_text, note) as R6 makes
+    them; the notes follow the options."""
+    from tallyspark.operators.relate import CHECKS, eligible
+    ok = eligible(_vehicle_rows(cases, gv, order, text_col), codebook, CHECKS[:3])
+    o = checked_broadcast(options.select(F.col("category").alias("crashcat"), F.concat_ws(
+        "\n", F.col("option_text"), F.when(F.col("note") != "", F.col("note"))).alias("options")))
+    named = F.create_map(*[x for k, v in CRASHCAT_NAMES.items() for x in (F.lit(k), F.lit(v))])
+    rows = ok.join(o, "crashcat", "left").withColumn("category", F.try_element_at(named, F.col("crashcat")))
+    p = build_prompts(rows, "configuration", {"vehno": "vehno", "category": "category", "options": "options",
+                                              "text": "focus_text"})
+    return p.select("caseid", "vehno", "prompt", F.col("crashconf").alias("answer"))
+
+
+def sft_type(cases: DataFrame, gv: DataFrame, options: DataFrame, codebook: DataFrame, order: list[str],
+             text_col: str = "summary") -> DataFrame:
+    """T4, crash type: for vehicles with a type and a configuration of the
+    codebook, whatever their category; the answer is the configuration's local
+    symbol.  ``options``: (conf, options)."""
+    from tallyspark.operators.codes import encode_local
+    from tallyspark.operators.relate import eligible
+    ok = eligible(_vehicle_rows(cases, gv, order, text_col), codebook, ("unknown_configuration", "missing_label"))
+    o = checked_broadcast(options.select(F.col("conf").alias("crashconf"), "options"))
+    p = build_prompts(ok.join(o, "crashconf", "left"), "type", {"vehno": "vehno", "options": "options", "text": "focus_text"})
+    return encode_local(p, codebook, out="answer").select("caseid", "vehno", "prompt", "answer")
+
+
+def first_examples(examples: DataFrame, order: list[str], n: int) -> DataFrame:
+    """T4's limited variant: the first ``n`` examples in ``order``."""
+    from tallyspark.sources.io import head_n
+    return head_n(examples, order, n)
+
+
 # -- T6 -----------------------------------------------------------------------
 
 def with_cache(prompts: DataFrame, cache: DataFrame, prompt_col: str = "prompt") -> DataFrame:
@@ -108,11 +171,8 @@ def with_cache(prompts: DataFrame, cache: DataFrame, prompt_col: str = "prompt")
     """
     keyed = prompts.select(F.md5(F.col(prompt_col)).alias("prompt_key"), F.col(prompt_col).alias("prompt"))
     distinct = keyed.groupBy("prompt_key").agg(F.min("prompt").alias("prompt"))
-    c = cache.groupBy("prompt_key").agg(F.min("answer").alias("answer"))
-    hits = distinct.join(c, "prompt_key", "inner").withColumn("cached", F.lit(True))
-    misses = (distinct.join(c, "prompt_key", "left_anti")
-              .withColumn("answer", F.lit(None).cast("string")).withColumn("cached", F.lit(False)))
-    return hits.unionByName(misses)
+    c = cache.groupBy("prompt_key").agg(F.min("answer").alias("answer"), F.lit(True).alias("cached"))
+    return distinct.join(c, "prompt_key", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
 
 
 # -- T7–T10 ---------------------------------------------------------------------
@@ -191,22 +251,19 @@ def build_vocab(df: DataFrame, text_col: str = "text", k: int = 20000, first_id:
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str = "text", out: str = "token_ids",
                   key: str = "doc_id", unknown_id: int = 1) -> DataFrame:
-    """Text → list of word ids in text order (unknown → 1).
+    """(key, out) — text → list of word ids in text order (unknown → 1, no
+    words → empty list); ``key`` names a document.
 
-    Documents are hash-partitioned by ``key`` once; tokens are exploded with
-    their position, looked up with a broadcast hash join against the
-    vocabulary (bounded by its top-k ``k``) and regrouped per document on the
-    same partitioning, so the plan has a single exchange (of the raw text).
+    Tokens leave the scan with their position and are looked up before anything
+    moves; only (key, position, id) is shuffled, once, to be put together per
+    document.  The vocabulary is broadcast if its size allows.
     """
-    docs = df.repartition(key)
-    toks = docs.select(key, F.posexplode(words(F.col(text_col))).alias("pos", "word"))
-    v = F.broadcast(vocab.select("word", F.col("id").cast("int").alias("id")))
+    toks = df.select(key, F.posexplode_outer(words(F.col(text_col))).alias("pos", "word"))
+    v = checked_broadcast(vocab.select("word", F.col("id").cast("int").alias("id")))
     j = toks.join(v, "word", "left").select(key, "pos", F.coalesce("id", F.lit(unknown_id)).alias("id"))
-    per_doc = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_t"))
-    ids = per_doc.select(key, F.col("_t.id").alias(out))
-    empty = F.array().cast("array<int>")
-    return (docs.join(ids, key, "left")
-            .withColumn(out, F.coalesce(F.col(out), empty)))
+    token = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))  # an empty text has one row without a position
+    per_doc = j.groupBy(key).agg(F.sort_array(F.collect_list(token)).alias("_t"))
+    return per_doc.select(key, F.col("_t.id").alias(out))
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n != "string"]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators.ranking import row_number_within
+from tallyspark.operators.relate import first_per_key
 
 VALUES = ("crashcat", "crashconf", "crashtype")
 MODES = ("cat", "conf", "type")
@@ -28,22 +29,26 @@ def _ratio(num: Column, den: Column) -> Column:
 
 
 def pair_vehicles(truth: DataFrame, pred: DataFrame, case: str = "caseid", veh: str = "vehno",
-                  values: tuple[str, ...] = VALUES) -> DataFrame:
+                  values: tuple[str, ...] = VALUES, order: tuple[str, ...] = ()) -> DataFrame:
     """One row per key in truth ∪ prediction with both sides' values.
 
-    Columns: case, veh, in_truth, in_pred, t_<v>, p_<v> for each value.
-    Each side must hold one row per key (dedupe with ``first_per_key``).
+    Columns: case, veh, in_truth, in_pred, t_<v>, p_<v> for each value.  A
+    key that one side repeats counts with its first row: the smallest by
+    ``order`` (columns of that side, if it has them) and then by the values,
+    null first.  The row is taken as a whole, so values of two rows never mix.
     """
     cols = [case, veh, *values]
-    t = truth.select(*cols, F.lit(True).alias("_t"))
-    p = pred.select(*cols, F.lit(False).alias("_t"))
-    u = t.unionByName(p)
-    aggs = [F.max(F.col("_t").cast("int")).cast("boolean").alias("in_truth"),
-            F.max((~F.col("_t")).cast("int")).cast("boolean").alias("in_pred")]
-    for v in values:
-        aggs.append(F.max(F.when(F.col("_t"), F.col(v))).alias(f"t_{v}"))
-        aggs.append(F.max(F.when(~F.col("_t"), F.col(v))).alias(f"p_{v}"))
-    return u.groupBy(case, veh).agg(*aggs)
+
+    def side(df: DataFrame) -> Column:
+        return F.struct(*[F.col(c) for c in order if c in df.columns], *[F.col(v) for v in values])
+    t = truth.select(case, veh, side(truth).alias("_tr"))
+    p = pred.select(case, veh, side(pred).alias("_pr"))
+    # One aggregate for both sides; the least whole row keeps its values together.
+    both = t.unionByName(p, allowMissingColumns=True)
+    g = both.groupBy(case, veh).agg(F.min("_tr").alias("_tr"), F.min("_pr").alias("_pr"))
+    return g.select(case, veh, F.col("_tr").isNotNull().alias("in_truth"), F.col("_pr").isNotNull().alias("in_pred"),
+                    *[F.col(f"_tr.{v}").alias(f"t_{v}") for v in values],
+                    *[F.col(f"_pr.{v}").alias(f"p_{v}") for v in values])
 
 
 def correctness_flags(pairs: DataFrame) -> DataFrame:
@@ -94,12 +99,12 @@ def vehicle_eval(truth: DataFrame, pred: DataFrame, mode: str = "type", case: st
 
 def missed_vehicles(truth: DataFrame, pred: DataFrame, keys=("caseid", "vehno")) -> DataFrame:
     """V5: truth keys with no prediction."""
-    return truth.select(*keys).join(pred.select(*keys), list(keys), "left_anti")
+    return truth.select(*keys).distinct().join(pred.select(*keys), list(keys), "left_anti")
 
 
 def extra_predictions(truth: DataFrame, pred: DataFrame, keys=("caseid", "vehno")) -> DataFrame:
     """V6: predicted keys that are not in the truth."""
-    return pred.select(*keys).join(truth.select(*keys), list(keys), "left_anti")
+    return pred.select(*keys).distinct().join(truth.select(*keys), list(keys), "left_anti")
 
 
 def vehicle_text(prefix: str) -> Column:
@@ -117,6 +122,7 @@ def gt_pred_lines(truth: DataFrame, pred: DataFrame, case: str = "caseid") -> Da
     positions come from :func:`row_number_within`, so it is not one task either.
     """
     def side(df, tag):
+        df = first_per_key(df, [case, "vehno"], [], list(VALUES))
         rows = df.select(case, "vehno", vehicle_text("").alias("txt"))
         return row_number_within(rows, [case], ["vehno"], "pos").select(
             case, "pos", "txt", F.lit(tag).alias("_side"))
@@ -127,49 +133,54 @@ def gt_pred_lines(truth: DataFrame, pred: DataFrame, case: str = "caseid") -> Da
     return g.select(case, "pos", "truth_text", "pred_text", line.alias("line"))
 
 
-def gt_pred_string(lines: DataFrame, case: str = "caseid", max_lines: int = 10_000) -> DataFrame:
-    """Display helper: join a case's lines into one text (newline separated).
-
-    Only for reports on bounded cases: cases with more than ``max_lines``
-    lines make the job fail instead of building an unbounded value.
-    """
-    agg = lines.groupBy(case).agg(F.count(F.lit(1)).alias("_n"),
-                                  F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_l"))
-    checked = F.when(F.col("_n") > max_lines, F.raise_error(F.lit("case too large for a display string")))
-    return agg.select(case, F.coalesce(checked.cast("string"),
-                                       F.array_join(F.col("_l.line"), "\n")).alias("gt_pred"))
-
-
 def case_accuracy(cases: DataFrame, truth: DataFrame, pred: DataFrame,
-                  label: str = "crashtype", case: str = "caseid") -> DataFrame:
+                  label: str = "crashtype", case: str = "caseid", case_order: tuple[str, ...] = ()) -> DataFrame:
     """V8: per case, correct vehicles ÷ VEHICLES of the case row (0 when
-    VEHICLES ≤ 0); cases without a case row are dropped."""
-    t = truth.select(case, "vehno", F.col(label).alias("_t")).where(F.col("_t").isNotNull())
-    p = pred.select(case, "vehno", F.col(label).alias("_p"))
-    hit = t.join(p, [case, "vehno"], "left").groupBy(case).agg(
-        F.sum(F.coalesce((F.col("_t") == F.col("_p")).cast("int"), F.lit(0))).alias("_correct"))
-    c = cases.select(case, "vehicles", "summary")
-    j = hit.join(c, case, "inner")
+    VEHICLES ≤ 0).
+
+    Every case with a truth row is scored: a vehicle without a truth label or a
+    prediction counts as not correct.  Cases without a case row are dropped; of
+    several case rows the first by ``case_order`` counts.
+    """
+    pairs = pair_vehicles(truth, pred, case).where("in_truth")
+    right = F.coalesce(F.col(f"t_{label}") == F.col(f"p_{label}"), F.lit(False))
+    hit = pairs.groupBy(case).agg(F.count_if(right).alias("_correct"))
+    c = first_per_key(cases, [case], list(case_order), ["vehicles", "summary"])
     acc = F.when(F.col("vehicles") > 0, F.col("_correct") / F.col("vehicles")).otherwise(F.lit(0.0))
-    return j.select(case, "vehicles", "summary", _r6(acc).alias("case_accuracy"))
+    return hit.join(c, case).select(case, "vehicles", "summary", _r6(acc).alias("case_accuracy"))
 
 
 def vehicle_overall(truth: DataFrame, pred: DataFrame, label: str = "crashtype") -> DataFrame:
     """V9: accuracy and macro-F1 of the label over matched vehicles."""
     from tallyspark.operators.metrics import accuracy_and_f1
-    j = (truth.select("caseid", "vehno", F.col(label).alias("gt"))
-         .join(pred.select("caseid", "vehno", F.col(label).alias("pred")), ["caseid", "vehno"], "inner"))
-    return accuracy_and_f1(j, "gt", "pred")
+    j = pair_vehicles(truth, pred).where("in_truth and in_pred")
+    return accuracy_and_f1(j.select(F.col(f"t_{label}").alias("gt"), F.col(f"p_{label}").alias("pred")), "gt", "pred")
 
 
 def case_report(cases: DataFrame, truth: DataFrame, pred: DataFrame, mode: str = "type",
-                case: str = "caseid") -> DataFrame:
-    """One row per scored case: narrative, the metrics side by side and
-    the number of missed and extra vehicles (their keys: V5/V6)."""
+                case: str = "caseid", case_order: tuple[str, ...] = ()) -> DataFrame:
+    """One row per scored case: narrative (first case row by
+    ``case_order``), the metrics side by side and the number of missed and extra
+    vehicles; :func:`case_report_detail` lists them."""
     ev = vehicle_eval(truth, pred, mode, case)
-    c = cases.select(case, "summary")
+    c = first_per_key(cases, [case], list(case_order), ["summary"])
     return (ev.join(c, case, "left")
             .select(case, "summary", "n_truth", "n_pred", "matched", "cat_acc", "conf_acc", "type_acc",
                     "exact_acc", "recall", "precision", "f1",
                     (F.col("n_truth") - F.col("matched")).alias("n_missed"),
                     (F.col("n_pred") - F.col("matched")).alias("n_extra")))
+
+
+def case_report_detail(truth: DataFrame, pred: DataFrame, case: str = "caseid", veh: str = "vehno") -> DataFrame:
+    """V10's details as rows: every vehicle of a case with its status (matched,
+    missed, extra) and both sides as text, so a huge case is never one value."""
+    pairs = pair_vehicles(truth, pred, case, veh)
+    status = (F.when(F.col("in_truth") & F.col("in_pred"), "matched").when(F.col("in_truth"), "missed")
+              .otherwise("extra"))
+
+    def said(side: str, present: str) -> Column:
+        parts = [F.coalesce(F.col(f"{side}_{v}").cast("string"), F.lit("nan")) for v in VALUES]
+        return F.when(F.col(present), F.concat(F.lit("("), F.concat_ws(
+            ", ", F.col(case).cast("string"), F.col(veh).cast("string"), *parts), F.lit(")")))
+    return pairs.select(case, veh, status.alias("status"), said("t", "in_truth").alias("truth_text"),
+                        said("p", "in_pred").alias("pred_text"))

@@ -27,17 +27,20 @@ def _sql(body: str, extra=None) -> str:
 
 
 def _pairs_sql(src: str, keys: list[str]) -> str:
-    on = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    """Cells of raters that have a vote in the group, with what they share."""
     by = [k for k in keys if k != "sid"]
-    sel = "".join(f"a.{k} AS {k}, " for k in by)
-    grp = "".join(f"a.{k}, " for k in by)
-    return (f"SELECT {sel}CAST(a.rater AS VARCHAR) AS rater_a, CAST(b.rater AS VARCHAR) AS rater_b, "
-            f"{big('count(*)')} AS n_both, "
-            f"{big('sum(CASE WHEN a.pred = b.pred THEN 1 ELSE 0 END)')} AS n_equal, "
-            f"CASE WHEN a.rater = b.rater THEN 1.0::DOUBLE ELSE "
-            f"{r6('sum(CASE WHEN a.pred = b.pred THEN 1 ELSE 0 END) / count(*)')} END AS agreement "
-            f"FROM {src} a JOIN {src} b ON {on} "
+    sel, grp = "".join(f"{k}, " for k in by), "".join(f"a.{k}, " for k in by)
+    same = " AND ".join(["TRUE", *(f"a.{k} = b.{k}" for k in by)])
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    voters = f"(SELECT DISTINCT {sel}CAST(rater AS VARCHAR) AS rater FROM {src} WHERE pred IS NOT NULL)"
+    both = (f"SELECT {grp}CAST(a.rater AS VARCHAR) AS ra, CAST(b.rater AS VARCHAR) AS rb, count(*) AS nb, "
+            f"count(*) FILTER (WHERE a.pred = b.pred) AS ne FROM {src} a JOIN {src} b ON {on} "
             f"WHERE a.pred IS NOT NULL AND b.pred IS NOT NULL GROUP BY {grp}a.rater, b.rater")
+    hit = " AND ".join(["c.ra = a.rater", "c.rb = b.rater", *(f"c.{k} = a.{k}" for k in by)])
+    return (f"SELECT {grp}a.rater AS rater_a, b.rater AS rater_b, coalesce(c.nb, 0) AS n_both, "
+            f"coalesce(c.ne, 0) AS n_equal, CASE WHEN a.rater = b.rater THEN 1.0::DOUBLE "
+            f"WHEN c.nb > 0 THEN {r6('c.ne / c.nb')} END AS agreement "
+            f"FROM {voters} a JOIN {voters} b ON {same} LEFT JOIN ({both}) c ON {hit}")
 
 
 # A1 -----------------------------------------------------------------------------
@@ -69,7 +72,7 @@ def q_accuracy_vs_gt(spark, sf_dir):
 
 
 # A5 / A6 / A7 / A12 -------------------------------------------------------------------
-_PL = ("pl", "SELECT sid, gt, pred, count(*) AS n FROM r WHERE pred IS NOT NULL GROUP BY ALL")
+_PL = ("pl", "SELECT sid, gt, pred, count(pred) AS n FROM r GROUP BY ALL")
 _SC = ("sc", "SELECT sid, gt, sum(n) AS tv, max(n) AS top, "
              "max(CASE WHEN pred = gt THEN n + 1 ELSE n END) AS top_gt FROM pl GROUP BY ALL")
 _SCV = ("scv", "SELECT sid, gt, tv, CASE WHEN tv > 1 THEN top / tv END AS c, "
@@ -80,7 +83,7 @@ _SCV = ("scv", "SELECT sid, gt, tv, CASE WHEN tv > 1 THEN top / tv END AS c, "
 
 @register("sample_consistency", sql=_sql(
     f"SELECT sid, {big('sum(n)')} AS n_votes, CASE WHEN sum(n) > 1 THEN {r6('max(n) / sum(n)')} END "
-    "AS sample_consistency FROM (SELECT sid, pred, count(*) AS n FROM r WHERE pred IS NOT NULL GROUP BY ALL) "
+    "AS sample_consistency FROM (SELECT sid, pred, count(pred) AS n FROM r GROUP BY ALL) "
     "GROUP BY sid"))
 def q_sample_consistency(spark, sf_dir):
     return agree.sample_consistency(cross_long(spark, sf_dir), ["sid"], "pred")

@@ -145,8 +145,8 @@ _STAR_SQL = ("p", "SELECT model, run, sid, gt, CASE WHEN model = 'm2' THEN '*' E
 
 @register("sample_id_occurrence", sql=with_views("pred_long",
     "SELECT model, run, sid, sh || '#' || CAST(row_number() OVER (PARTITION BY model, run, sh ORDER BY sid) "
-    "AS VARCHAR) AS sample_id FROM (SELECT *, substr(md5(coalesce(summary, '') || '||' || "
-    "coalesce(CAST(gt AS VARCHAR), '')), 1, 10) AS sh FROM p)", [_STAR_SQL]),
+    "AS VARCHAR) AS sample_id FROM (SELECT *, md5(coalesce(summary, '') || '||' || "
+    "coalesce(CAST(gt AS VARCHAR), '')) AS sh FROM p)", [_STAR_SQL]),
     note="model m2 writes '*' as every summary: ids stay unique via occurrence numbers")
 def q_sample_id_occurrence(spark, sf_dir):
     p = Views(spark, sf_dir).pred_long
@@ -154,3 +154,13 @@ def q_sample_id_occurrence(spark, sf_dir):
                    F.when(F.col("model") == "m2", F.lit("*"))
                     .otherwise(F.concat(F.lit("Case "), F.col("sid").cast("string"))).alias("summary"))
     return C.with_sample_id(src, "summary", "gt", ["model", "run"], ["sid"]).select("model", "run", "sid", "sample_id")
+
+
+@register("apply_encoding_strict", sql=with_views("gv",
+    "SELECT g.caseid, g.vehno, g.crashtype, m.id AS label_id FROM gv g LEFT JOIN (SELECT crashtype, CAST(row_number() OVER "
+    "(ORDER BY crashtype) - 1 AS INTEGER) AS id FROM (SELECT DISTINCT crashtype FROM gv WHERE crashtype IS NOT NULL)) m "
+    "USING (crashtype)"),
+    note="C3 raise mode: every label is known here; tests feed it an unseen one")
+def q_apply_encoding_strict(spark, sf_dir):
+    g = Views(spark, sf_dir).gv.select("caseid", "vehno", "crashtype")
+    return C.apply_encoding(g, "crashtype", C.label_mapping(g, "crashtype"), "raise")

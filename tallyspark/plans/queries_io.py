@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.functions.codes import RUN_FILE_PREFIX
+from tallyspark.functions.codes import METRIC_ROWS, RUN_FILE_PREFIX
 from tallyspark.functions.hashing import hash32, sql_hash32
 from tallyspark.operators import metrics as M
 from tallyspark.plans.queries_agree import cross_long
@@ -30,31 +30,46 @@ def q_read_cases(spark, sf_dir):
                          types={"caseid": "bigint", "summary": "string"})
 
 
-@register("read_vehicles", sql="SELECT l_orderkey AS caseid, CAST(l_linenumber AS INTEGER) AS vehno FROM lineitem")
+@register("read_vehicles", sql="SELECT l_orderkey AS caseid, CAST(l_linenumber AS INTEGER) AS vehno, "
+                               "CAST(l_suppkey AS INTEGER) AS crashcat, l_returnflag AS crashconf, "
+                               "CAST(l_partkey AS INTEGER) AS crashtype FROM lineitem")
 def q_read_vehicles(spark, sf_dir):
-    return IO.read_vehicles(spark, f"{sf_dir}/lineitem.parquet", {"caseid": ["CASEID", "l_orderkey"],
-                            "vehno": ["VEHNO", "l_linenumber"]})
+    return IO.read_vehicles(spark, f"{sf_dir}/lineitem.parquet", {
+        "caseid": ["CASEID", "l_orderkey"], "vehno": ["VEHNO", "l_linenumber"], "crashcat": ["CRASHCAT", "l_suppkey"],
+        "crashconf": ["CRASHCONF", "l_returnflag"], "crashtype": ["CRASHTYPE", "l_partkey"]})
 
 
 EVENT_CSV_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
-    T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+    T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()),
+    T.StructField("ts", T.TimestampNTZType()), T.StructField("props", T.StringType())])
+
+
+def stored(df, name: str, by: str):
+    """``df`` written once, a folder per value of ``by``, and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 YEARS = list(range(2017, 2024))
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 @register("read_yearly_csv", sql=(
     f"SELECT CAST(2017 + {sql_hash32('event_id', repr('year'))} % 7 AS INTEGER) AS year, event_id, user_id, "
-    "event_type, value FROM events"),
+    "event_type, value, ts, props FROM events"),
     note="events written as one CSV folder per year (.CSV up to 2019, .csv after), read back in one scan")
 def q_read_yearly_csv(spark, sf_dir):
     root = scratch_path(spark, "yearly-csv")
-    ev = Views(spark, sf_dir).table("events").select(
-        (2017 + hash32("event_id", "year") % 7).cast("int").alias("year"), "event_id", "user_id", "event_type", "value")
+    ev = stored(Views(spark, sf_dir).table("events").select(
+        (2017 + hash32("event_id", "year") % 7).cast("int").alias("year"), "event_id", "user_id", "event_type", "value",
+        "ts", "props"), "yearly-in", "year")
     for y in YEARS:
         ext = "CSV" if y <= 2019 else "csv"
         (ev.where(F.col("year") == y).drop("year").write.mode("overwrite").option("header", "true")
-         .option("lineSep", "\r\n").csv(f"{root}/SURVEY_{y}_CSV_files/EVENTS.{ext}"))
-    return IO.read_yearly_csv(spark, root, "EVENTS", EVENT_CSV_SCHEMA)
+         .option("timestampFormat", MICROS).option("timestampNTZFormat", MICROS).option("lineSep", "\r\n").csv(f"{root}/SURVEY_{y}_CSV_files/EVENTS.{ext}"))
+    return IO.read_yearly_csv(spark, root, "EVENTS", EVENT_CSV_SCHEMA, timestampNTZFormat=MICROS)
 
 
 # Alias style per model: (summary, label, prediction) column names.
@@ -65,18 +80,18 @@ STYLES = {"m1": ("SUMMARY", "MANCOLL", "collision_type"), "m2": ("summary", "lab
 def _write_runs(spark, sf_dir):
     """Each (model, run) as its own Parquet folder with that model's column names."""
     root = scratch_path(spark, "pred-runs")
-    p = Views(spark, sf_dir).pred_long
-    paths = []
+    p = stored(Views(spark, sf_dir).pred_long, "pred-in", "model")
+    # Narratives may begin like a metric row; real ones end each file.
+    named = F.when(F.col("sid") % 53 == 0, F.lit("Metrics Road ")).otherwise(F.lit("Case "))
+    metric = spark.createDataFrame([(m, "accuracy", "0.9") for m in METRIC_ROWS], "s string, g string, p string")
     for m, _ in MODELS:
         s, g, pr = STYLES[m]
         for r in RUNS:
-            path = f"{root}/{RUN_FILE_PREFIX}{m}-{r}"
             (p.where((F.col("model") == m) & (F.col("run") == r))
-             .select(F.concat(F.lit("Case "), F.col("sid").cast("string")).alias(s),
-                     F.col("gt").alias(g), F.col("pred").alias(pr))
-             .write.mode("overwrite").parquet(path))
-            paths.append(path)
-    return paths
+             .select(F.concat(named, F.col("sid").cast("string")).alias("s"), F.concat(F.lit(" "), F.col("gt")).alias("g"),
+                     F.col("pred").cast("string").alias("p")).unionByName(metric).toDF(s, g, pr)
+             .write.mode("overwrite").parquet(f"{root}/{RUN_FILE_PREFIX}{m}-{r}"))
+    return [f"{root}/{RUN_FILE_PREFIX}m1-*", f"{root}/{RUN_FILE_PREFIX}m2-*", *(f"{root}/{RUN_FILE_PREFIX}m3-{r}" for r in RUNS)]
 
 
 def _runs_folder_tag(df):
@@ -85,11 +100,12 @@ def _runs_folder_tag(df):
 
 
 @register("read_prediction_runs", sql=with_views("pred_long",
-    "SELECT 'Case ' || CAST(sid AS VARCHAR) AS summary, CAST(gt AS VARCHAR) AS gt, CAST(pred AS VARCHAR) AS pred, "
-    "model AS model_key, run AS run_id FROM pred_long"))
+    "SELECT CASE WHEN sid % 53 = 0 THEN 'Metrics Road ' ELSE 'Case ' END || CAST(sid AS VARCHAR) AS summary, CAST(gt AS VARCHAR) AS gt, CAST(pred AS VARCHAR) AS pred, "
+    "model AS model_key, CAST(run AS BIGINT) AS run_id FROM pred_long"))
 def q_read_prediction_runs(spark, sf_dir):
-    df = IO.read_prediction_runs(spark, _write_runs(spark, sf_dir))
-    return _runs_folder_tag(df).select("summary", "gt", "pred", "model_key", "run_id")
+    df = _runs_folder_tag(IO.read_prediction_runs(spark, _write_runs(spark, sf_dir)))
+    IO.assert_unique(df, ["model_key", "run_id", "summary"], "prediction runs")
+    return df.select("summary", "gt", "pred", "model_key", "run_id")
 
 
 _TAG_SQL = ("CASE WHEN model = 'm3' THEN model || '_final' ELSE '" + RUN_FILE_PREFIX + "' || model || '-' || "
@@ -100,7 +116,7 @@ _TAG_SQL = ("CASE WHEN model = 'm3' THEN model || '_final' ELSE '" + RUN_FILE_PR
     f"SELECT sid, model, run, file, regexp_replace(regexp_replace(regexp_replace(file, '\\.[^.]*$', ''), "
     "'^" + RUN_FILE_PREFIX + "', ''), '-(\\d+)$', '') AS model_key, "
     "CASE WHEN regexp_extract(regexp_replace(file, '\\.[^.]*$', ''), '-(\\d+)$', 1) <> '' THEN "
-    "CAST(regexp_extract(regexp_replace(file, '\\.[^.]*$', ''), '-(\\d+)$', 1) AS INTEGER) ELSE -1 END AS run_id "
+    "CAST(regexp_extract(regexp_replace(file, '\\.[^.]*$', ''), '-(\\d+)$', 1) AS BIGINT) ELSE -1 END AS run_id "
     f"FROM (SELECT sid, model, run, {_TAG_SQL} AS file FROM pred_long)"))
 def q_parse_run_tag(spark, sf_dir):
     p = Views(spark, sf_dir).pred_long
@@ -110,7 +126,17 @@ def q_parse_run_tag(spark, sf_dir):
     return IO.with_run_tag(p.select("sid", "model", "run", file.alias("file")))
 
 
-PROFILED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+@register("model_tag_by_prefix", sql=with_views("pred_long",
+    "SELECT sid, model, run, '0' || CAST(run AS VARCHAR) || model || '_final.xlsx' AS file, model || '_final' AS model_tag "
+    "FROM pred_long"))
+def q_model_tag_by_prefix(spark, sf_dir):
+    p = Views(spark, sf_dir).pred_long
+    file = F.concat(F.lit("0"), F.col("run").cast("string"), "model", F.lit("_final.xlsx"))
+    return IO.model_tag_by_prefix(p.select("sid", "model", "run", file.alias("file")))
+
+
+PROFILED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+            "pages", "benchmark", "labels", "conversations"]
 
 
 def _profile_sql() -> str:
@@ -156,7 +182,7 @@ def q_write_report(spark, sf_dir):
     note="one append per run; the table read back holds every run")
 def q_append_scored(spark, sf_dir):
     path = scratch_path(spark, "scored")
-    p = Views(spark, sf_dir).pred_long
+    p = stored(Views(spark, sf_dir).pred_long, "scored-in", "run").withColumn("run", F.col("run").cast("int"))
     for r in RUNS:  # one scored batch per run; run 1 is written twice, as a retry would
         IO.append_scored(M.accuracy(p.where(F.col("run") == r), "gt", "pred", ["model", "run"]), path, batch_col="run")
     IO.append_scored(M.accuracy(p.where(F.col("run") == RUNS[0]), "gt", "pred", ["model", "run"]), path,

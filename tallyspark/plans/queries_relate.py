@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallyspark.functions.codes import CRASHCAT_NAMES
 from tallyspark.operators import relate as R
-from tallyspark.plans.queries_text import _focus_sql
+from tallyspark.plans.queries_text import CONF_CO, CONF_OPTIONS_SQL, _focus_sql, category_letters
 from tallyspark.plans.registry import register
 from tallyspark.sources.fixtures import GV_ORDER, Views, with_views
 
@@ -51,7 +51,7 @@ def q_lookup_truth_text_key(spark, sf_dir):
     "FROM gv g JOIN narr n USING (caseid) WHERE n.summary IS NOT NULL AND g.crashtype IS NOT NULL"))
 def q_vehicle_examples(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return R.vehicle_examples(v.narr, v.gv)
+    return R.vehicle_examples(v.narr, v.gv, [])
 
 
 _REASON = ("rs", "SELECT l.*, CASE WHEN crashcat IS NULL THEN 'missing_category' "
@@ -88,18 +88,25 @@ def q_category_options(spark, sf_dir):
     return R.with_category_options(v.gv, R.category_codebook(spark))
 
 
+@register("configuration_options", sql=with_views("gv", CONF_OPTIONS_SQL, [CONF_CO]),
+          note="letters that each category allows, with the remarks some of them carry")
+def q_configuration_options(spark, sf_dir):
+    return R.configuration_options(category_letters(spark, sf_dir))
+
+
 @register("truth_list", sql=with_views("gv",
-    "SELECT g.*, n.n_vehicles FROM gv g JOIN (SELECT caseid, count(*) AS n_vehicles FROM gv GROUP BY caseid) n "
-    "USING (caseid)"))
+    "SELECT g.*, row_number() OVER (PARTITION BY caseid ORDER BY vehno) AS pos, "
+    "count(*) OVER (PARTITION BY caseid) AS n_vehicles FROM gv g"))
 def q_truth_list(spark, sf_dir):
     return R.truth_list(Views(spark, sf_dir).gv)
 
 
-@register("single_vehicle_detail", sql=with_views(["cases", "gv", "vpred"],
+@register("single_vehicle_detail", sql=with_views(["cases", "gv", "vp1", "codebook"],
     "SELECT c.caseid, t.crashcat AS gt_cat, t.crashconf AS gt_conf, t.crashtype AS gt_type, p.crashtype AS pred_type, "
     "coalesce(CAST(p.crashtype = t.crashtype AS INTEGER), 0) AS correct "
-    "FROM cases c JOIN gv t ON t.caseid = c.caseid AND t.vehno = 1 "
-    "JOIN vpred p ON p.caseid = c.caseid AND p.vehno = 1 WHERE c.vehicles = 1"))
+    "FROM cases c JOIN gv t ON t.caseid = c.caseid AND t.vehno = 1 JOIN codebook k ON k.conf = t.crashconf "
+    "JOIN vp1 p ON p.caseid = c.caseid AND p.vehno = 1 "
+    "WHERE c.vehicles = 1 AND t.crashcat IS NOT NULL AND t.crashcat <> 9"))
 def q_single_vehicle_detail(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return R.single_vehicle_detail(v.cases, v.gv, v.vpred)
+    return R.single_vehicle_detail(v.cases, v.gv, v.vpred, v.codebook)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.functions.codes import FOCUS_TEXT, MANCOLL_NAMES
+from tallyspark.functions.codes import CRASHCAT_NAMES, FOCUS_TEXT, MANCOLL_NAMES
 from tallyspark.functions.hashing import hash32, sql_hash32
 from tallyspark.operators import relate as R
 from tallyspark.operators import text as T
-from tallyspark.operators.codes import encode_local
+from tallyspark.operators.sample import random_split
 from tallyspark.plans.queries_codes import _CB_SQL, _symbol_sql, codebook_from_gv
 from tallyspark.plans.registry import register
-from tallyspark.sources.fixtures import Views, with_views
+from tallyspark.sources.fixtures import GV_ORDER, Views, with_views
 
 WS = r"[\t\n\x0B\f\r ]"
 NW = r"[^\pL\p{Nd}_]"  # a non-word character under Java's default \b rules
@@ -74,33 +74,75 @@ def q_build_prompts(spark, sf_dir):
     return T.build_prompts(n, "manner", {"options": "options", "text": "summary"}).select("caseid", "prompt")
 
 
-def sft_examples(spark, sf_dir):
-    """T4: vehicle fan-out → first truth row → eligibility → focus text →
-    type prompt with the configuration's options → local answer symbol."""
+CONF_CO = ("co", "SELECT DISTINCT crashcat AS category, crashconf AS conf FROM gv WHERE crashcat IS NOT NULL")
+CONF_OPTIONS_SQL = (
+    "SELECT category, string_agg(conf || ': Configuration ' || conf, chr(10) ORDER BY conf) AS option_text, "
+    "coalesce(string_agg('Note on ' || conf || ': check the trafficway', chr(10) ORDER BY conf) "
+    "FILTER (WHERE conf IN ('C', 'K')), '') AS note FROM co GROUP BY category")
+
+
+def category_letters(spark, sf_dir):
+    """(category, conf, meaning, remark): codebook rows derived from the labels."""
+    g = Views(spark, sf_dir).gv.where("crashcat is not null").select(
+        F.col("crashcat").alias("category"), F.col("crashconf").alias("conf")).distinct()
+    return g.select("category", "conf", F.concat(F.lit("Configuration "), "conf").alias("meaning"),
+                    F.when(F.col("conf").isin("C", "K"), F.lit("check the trafficway")).alias("remark"))
+
+
+_LK = ("lk", "SELECT ex.*, g.crashcat, g.crashconf, g.crashtype FROM ex LEFT JOIN gv g USING (caseid, vehno)")
+_FOCUS = _focus_sql("summary", "vehno")
+_CAT_OPTIONS = T.options_text(CRASHCAT_NAMES)
+_CAT_CASE = "CASE crashcat " + " ".join(f"WHEN {k} THEN {_lit(v)}" for k, v in CRASHCAT_NAMES.items()) + " END"
+
+
+@register("sft_examples_manner", sql=with_views("narr",
+    f"SELECT caseid, {_template_sql('manner', {'options': _lit(MANNER_OPTIONS), 'text': 'summary'})} AS prompt, "
+    "CAST(mancoll AS VARCHAR) AS answer FROM narr WHERE summary IS NOT NULL AND mancoll IS NOT NULL"))
+def q_sft_manner(spark, sf_dir):
+    return T.sft_manner(Views(spark, sf_dir).narr)
+
+
+@register("sft_examples_category", sql=with_views(["narr", "gv"],
+    f"SELECT caseid, vehno, {_template_sql('category', {'vehno': 'vehno', 'options': _lit(_CAT_OPTIONS), 'text': _FOCUS})} "
+    "AS prompt, CAST(crashcat AS VARCHAR) AS answer FROM lk WHERE crashcat BETWEEN 1 AND 6", [_EX, _LK]))
+def q_sft_category(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return T.sft_category(v.narr, v.gv_raw, GV_ORDER)
+
+
+@register("sft_examples_configuration", sql=with_views(["narr", "gv", "codebook"],
+    "SELECT caseid, vehno, " + _template_sql("configuration", {
+        "vehno": "vehno", "category": _CAT_CASE, "text": _FOCUS,
+        "options": "concat_ws(chr(10), o.option_text, nullif(o.note, ''))"})
+    + " AS prompt, crashconf AS answer FROM lk JOIN codebook c ON lk.crashconf = c.conf "
+      "LEFT JOIN opt o ON o.category = lk.crashcat WHERE crashcat IS NOT NULL AND crashcat <> 9",
+    [_EX, _LK, CONF_CO, ("opt", CONF_OPTIONS_SQL)]))
+def q_sft_configuration(spark, sf_dir):
     v = Views(spark, sf_dir)
-    ex = R.explode_vehicles(v.narr)
-    lk = ex.join(v.gv, ["caseid", "vehno"], "left")
-    ok = R.eligible(lk, v.codebook)
-    focused = T.focus_vehicle(ok, "summary", "vehno", out="focus_text")
-    opts = codebook_from_gv(spark, sf_dir).select(F.col("conf").alias("crashconf"), "options")
-    withopt = focused.join(F.broadcast(opts), "crashconf", "left")
-    prompts = T.build_prompts(withopt, "type", {"vehno": "vehno", "options": "options", "text": "focus_text"})
-    enc = encode_local(prompts, v.codebook, out="answer")
-    return enc.select("caseid", "vehno", "prompt", "answer")
-
-
-@register("sft_examples", sql=with_views(["narr", "gv", "codebook"],
-    "SELECT el.caseid, el.vehno, "
+    return T.sft_configuration(v.narr, v.gv_raw, R.configuration_options(category_letters(spark, sf_dir)), v.codebook, GV_ORDER)
+
+
+_TYPE_SQL = ("SELECT el.caseid, el.vehno, "
     + _template_sql("type", {"vehno": "el.vehno", "options": "o.options", "text": _focus_sql("el.summary", "el.vehno")})
     + " AS prompt, CASE WHEN el.crashtype - el.code_offset < 10 THEN CAST(el.crashtype - el.code_offset AS VARCHAR) "
       "ELSE chr(CAST(el.crashtype - el.code_offset + 55 AS INTEGER)) END AS answer "
-      "FROM el LEFT JOIN opt o ON el.crashconf = o.conf",
-    [_EX, ("lk", "SELECT ex.*, g.crashcat, g.crashconf, g.crashtype FROM ex LEFT JOIN gv g USING (caseid, vehno)"),
-     ("el", "SELECT lk.*, c.code_offset FROM lk JOIN codebook c ON lk.crashconf = c.conf "
-            "WHERE lk.crashcat IS NOT NULL AND lk.crashcat <> 9 AND lk.crashtype IS NOT NULL"),
-     ("opt", _CB_SQL)]))
+      "FROM el LEFT JOIN opt o ON el.crashconf = o.conf")
+_TYPE_CTES = [_EX, _LK, ("el", "SELECT lk.*, c.code_offset FROM lk JOIN codebook c ON lk.crashconf = c.conf "
+                               "WHERE lk.crashtype IS NOT NULL"), ("opt", _CB_SQL)]
+
+
+@register("sft_examples", sql=with_views(["narr", "gv", "codebook"], _TYPE_SQL, _TYPE_CTES))
 def q_sft_examples(spark, sf_dir):
-    return sft_examples(spark, sf_dir)
+    """T4, crash type."""
+    v = Views(spark, sf_dir)
+    return T.sft_type(v.narr, v.gv_raw, codebook_from_gv(spark, sf_dir), v.codebook, GV_ORDER)
+
+
+@register("sft_examples_first", sql=with_views(["narr", "gv", "codebook"],
+    f"SELECT * FROM ({_TYPE_SQL}) ORDER BY caseid, vehno LIMIT 200", _TYPE_CTES),
+    note="the limited variant: the first 200 examples (the limit is the feature)")
+def q_sft_examples_first(spark, sf_dir):
+    return T.first_examples(q_sft_examples(spark, sf_dir), ["caseid", "vehno"], 200)
 
 
 _PROMPT_SQL = _template_sql("manner", {"options": _lit(MANNER_OPTIONS), "text": "summary"})
@@ -149,6 +191,14 @@ def q_parse_failure_rate(spark, sf_dir):
     return T.parse_failure_rate(Views(spark, sf_dir).resp, "answer", "digit")
 
 
+@register("parse_failure_by_model", sql=with_views("resp",
+    "SELECT id % 3 AS model, count(*) AS n, round(avg(CASE WHEN regexp_extract(answer, '\\b([A-Z])\\b', 1) = '' "
+    "THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS failure_rate FROM resp GROUP BY 1"))
+def q_parse_failure_by_model(spark, sf_dir):
+    r = Views(spark, sf_dir).resp.withColumn("model", F.col("id") % 3)
+    return T.parse_failure_rate(r, "answer", "letter", ["model"])
+
+
 @register("argmax_class", sql=with_views("emb",
     "SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred_index "
     "FROM emb"))
@@ -158,12 +208,22 @@ def q_argmax_class(spark, sf_dir):
 
 _VOCAB = ("vocab", "SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) + 1 AS INTEGER) AS id, n FROM ("
           f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '{WS}+')) AS word "
-          "FROM docs) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 20000)")
+          "FROM train) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 20000)")
 
 
-@register("build_vocab", sql=with_views("docs", "SELECT word, id, n FROM vocab", [_VOCAB]))
+_TRAIN = ("train", "SELECT * FROM docs QUALIFY row_number() OVER (ORDER BY "
+          f"{sql_hash32('doc_id', repr('seed42'))}, doc_id) > (20 * count(*) OVER () + 99) // 100")
+
+
+def train_vocab(spark, sf_dir):
+    """Words of the training split (N3, 80 %) only."""
+    d = Views(spark, sf_dir).docs
+    return T.build_vocab(random_split(d, ["doc_id"], 20, 0, 42).where("split = 'train'"), "text", 20000)
+
+
+@register("build_vocab", sql=with_views("docs", "SELECT word, id, n FROM vocab", [_TRAIN, _VOCAB]))
 def q_build_vocab(spark, sf_dir):
-    return T.build_vocab(Views(spark, sf_dir).docs, "text", 20000)
+    return train_vocab(spark, sf_dir)
 
 
 @register("encode_tokens", sql=with_views("docs",
@@ -171,8 +231,6 @@ def q_build_vocab(spark, sf_dir):
     "SELECT t.doc_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids FROM ("
     "SELECT doc_id, unnest(range(1, len(arr) + 1)) AS pos, unnest(arr) AS word FROM ("
     f"SELECT doc_id, regexp_split_to_array(lower(text), '{WS}+') AS arr FROM docs)) t "
-    "LEFT JOIN vocab v USING (word) WHERE t.word <> '' GROUP BY t.doc_id) e USING (doc_id)", [_VOCAB]))
+    "LEFT JOIN vocab v USING (word) WHERE t.word <> '' GROUP BY t.doc_id) e USING (doc_id)", [_TRAIN, _VOCAB]))
 def q_encode_tokens(spark, sf_dir):
-    d = Views(spark, sf_dir).docs
-    vocab = T.build_vocab(d, "text", 20000)
-    return T.encode_tokens(d, vocab, "text").select("doc_id", "token_ids")
+    return T.encode_tokens(Views(spark, sf_dir).docs, train_vocab(spark, sf_dir), "text")

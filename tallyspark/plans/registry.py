@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,14 +35,12 @@ def register(key: str, sql: str | None = None, note: str = ""):
     return deco
 
 
+MODULES = ("queries_agree", "queries_metrics", "queries_codes", "queries_relate", "queries_text", "queries_sample",
+           "queries_vehicle", "queries_io", "queries_ml")
+
+
 def load_all() -> dict[str, Entry]:
-    """Import every module that registers queries."""
-    from tallyspark.plans import queries_agree, queries_metrics  # noqa: F401
-    for mod in ("queries_codes", "queries_relate", "queries_text", "queries_sample",
-                "queries_vehicle", "queries_io", "queries_ml"):
-        try:
-            __import__(f"tallyspark.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    """Import every module that registers queries; one that is missing raises."""
+    for mod in MODULES:
+        import_module(f"tallyspark.plans.{mod}")
     return REGISTRY

@@ -68,24 +68,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_dir(path: str) -> str:
-    """Strip a ``file:`` scheme for local helpers that need an OS path."""
-    if path.startswith("file:"):
-        path = path[5:]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
-
-
-def spread(df, min_partitions: int | None = None):
-    """Repartition a scan that yields fewer partitions than the session can
-    run at once (e.g. one small single-row-group file), so the row-wise work
-    that follows uses every core.  Large inputs (many splits) pass through
-    untouched: no shuffle is added where the scan already parallelises."""
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
-    return df
+#: Bytes below which a table is spread over all cores: reading so little again
+#: costs less than leaving cores idle.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df, partitions: int | None = None, most: int = SPREAD_BYTES):
+    """Repartition a table of at most ``most`` bytes (by Spark's own estimate of
+    its files), so that the row-wise work that follows uses every core even if it
+    is one row group.  Larger tables pass through: their scan has splits
+    enough, and no shuffle is added."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > most:
+        return df
+    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
 
 
 def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict:

@@ -74,8 +74,12 @@ class Views:
         pred = F.when(hash32("sid", F.concat(F.lit("e"), tag)) % 100 < F.col("err"),
                       pick(hash32("sid", F.concat(F.lit("p"), tag)), MANCOLL_CODES)
                       ).otherwise(F.col("gt")).cast("int")
+        # No vote: every run of some samples, and some single runs; m3 has no run 3.
+        no_vote = (F.col("sid") % 37 == 0) | (hash32("sid", F.concat(F.lit("n"), tag)) % 40 == 0)
         return (base.where(hash32("sid", F.concat(F.lit("d"), tag)) % 50 != 0)
-                .select("sid", "model", F.col("run").cast("int").alias("run"), "gt", pred.alias("pred")))
+                .where("not (model = 'm3' and run = 3)")
+                .select("sid", "model", F.col("run").cast("int").alias("run"), "gt",
+                        F.when(~no_vote, pred).alias("pred")))
 
     @cached_property
     def pred_text(self) -> DataFrame:
@@ -99,6 +103,15 @@ class Views:
             _vehicles("o_orderkey").alias("vehicles"),
             _code7("o_orderkey", "gt").alias("mancoll"))
 
+    @cached_property
+    def cases_dup(self) -> DataFrame:
+        """Cases of which some have a second row with other values."""
+        c = self.cases
+        again = c.where(F.col("caseid") % 29 == 0).select(
+            "caseid", F.concat(F.lit("Second row of "), "summary").alias("summary"),
+            (F.col("vehicles") + 1).alias("vehicles"), "mancoll")
+        return c.unionByName(again)
+
     @cached_property
     def gv_raw(self) -> DataFrame:
         """Vehicle labels with duplicate keys and the declared order columns."""
@@ -112,7 +125,9 @@ class Views:
             F.col("l_linenumber").cast("int").alias("vehno"),
             F.when(x == 0, F.lit(None)).when(x == 1, F.lit(9)).otherwise(1 + x % 6).cast("int").alias("crashcat"),
             F.substring(F.lit(CONF_LETTERS), (conf_idx + 1).cast("int"), 1).alias("crashconf"),
-            (7 * conf_idx + hash32(k, "type") % 7).cast("int").alias("crashtype"),
+            # some vehicles, and all of some cases, have no type label
+            F.when((hash32(k, "tnull") % 30 != 0) & (F.col("l_orderkey") % 41 != 0),
+                   7 * conf_idx + hash32(k, "type") % 7).cast("int").alias("crashtype"),
             *GV_ORDER)
 
     @cached_property
@@ -125,9 +140,10 @@ class Views:
         below the aggregate and deriving the truth twice.
         """
         c = F.concat_ws("-", F.col("caseid").cast("string"), F.col("vehno").cast("string"))
-        raw = self.gv_raw.withColumn("_pd", hash32(c, "pd") % 20).withColumn("_pe", hash32(c, "pe") % 10)
+        raw = (self.gv_raw.withColumn("_pd", hash32(c, "pd") % 20).withColumn("_pe", hash32(c, "pe") % 10)
+               .withColumn("_pp", hash32(c, "pp") % 25))
         return first_per_key(raw, ["caseid", "vehno"], GV_ORDER,
-                             ["crashcat", "crashconf", "crashtype", "_pd", "_pe"])
+                             ["crashcat", "crashconf", "crashtype", "_pd", "_pe", "_pp"])
 
     @cached_property
     def gv(self) -> DataFrame:
@@ -136,10 +152,15 @@ class Views:
 
     @cached_property
     def vpred(self) -> DataFrame:
-        kept = self._gv_first.where(F.col("_pd") != 0).select(
-            "caseid", "vehno", "crashcat", "crashconf",
-            F.when(F.col("_pe") < 3, (F.col("crashtype") + 1) % 98)
-             .otherwise(F.col("crashtype")).cast("int").alias("crashtype"))
+        own = F.when(F.col("_pe") == 9, None).when(F.col("_pe") < 3, (F.col("crashtype") + 1) % 98).otherwise(F.col("crashtype"))
+
+        def row(cat, conf, kind):
+            return F.struct(cat.cast("int").alias("crashcat"), conf.alias("crashconf"), kind.cast("int").alias("crashtype"))
+        one = row(F.col("crashcat"), F.col("crashconf"), own)
+        # a second, different prediction for some keys
+        other = row((F.coalesce("crashcat", F.lit(0)) + 5) % 7, F.lit("B"), (F.coalesce("crashtype", F.lit(0)) + 2) % 98)
+        rows = F.when(F.col("_pp") == 0, F.array(one, other)).otherwise(F.array(one))
+        kept = self._gv_first.where(F.col("_pd") != 0).select("caseid", "vehno", F.inline(rows))
         # One extra (wrong) vehicle for every order key divisible by 50.
         extra = (self.table("orders", spread_rows=False).where(F.col("o_orderkey") % 50 == 0)
                  .select(F.col("o_orderkey").alias("caseid"), F.lit(99).alias("vehno"), F.lit(1).alias("crashcat"),
@@ -201,12 +222,13 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {}
 
 VIEW_SQL["pred_long"] = ([], f"""
 SELECT sid, model, run, gt,
-       CAST(CASE WHEN {_H('sid', "'e' || tag")} % 100 < err
+       CAST(CASE WHEN sid % 37 = 0 OR {_H('sid', "'n' || tag")} % 40 = 0 THEN NULL
+            WHEN {_H('sid', "'e' || tag")} % 100 < err
             THEN {sql_pick(_H('sid', "'p' || tag"), MANCOLL_CODES)} ELSE gt END AS INTEGER) AS pred
 FROM (SELECT o.o_orderkey AS sid, g.model, CAST(g.run AS INTEGER) AS run, g.err,
              g.model || CAST(g.run AS VARCHAR) AS tag, {_sql_code7('o.o_orderkey', "'gt'")} AS gt
       FROM orders o CROSS JOIN (VALUES {_models_values()}) g(model, run, err)) b
-WHERE {_H('sid', "'d' || tag")} % 50 <> 0""")
+WHERE {_H('sid', "'d' || tag")} % 50 <> 0 AND NOT (model = 'm3' AND run = 3)""")
 
 VIEW_SQL["pred_text"] = (["pred_long"], f"""
 SELECT sid, model, run, CAST(gt AS VARCHAR) AS gt_raw,
@@ -228,7 +250,8 @@ SELECT l_orderkey AS caseid, CAST(l_linenumber AS INTEGER) AS vehno,
        CAST(CASE {_H(_GVK, "'cat'")} % 20 WHEN 0 THEN NULL WHEN 1 THEN 9
             ELSE 1 + ({_H(_GVK, "'cat'")} % 20) % 6 END AS INTEGER) AS crashcat,
        substr('{CONF_LETTERS}', CAST({_H(_GVK, "'conf'")} % 14 + 1 AS INTEGER), 1) AS crashconf,
-       CAST(7 * ({_H(_GVK, "'conf'")} % 14) + {_H(_GVK, "'type'")} % 7 AS INTEGER) AS crashtype,
+       CAST(CASE WHEN {_H(_GVK, "'tnull'")} % 30 <> 0 AND l_orderkey % 41 <> 0 THEN
+            7 * ({_H(_GVK, "'conf'")} % 14) + {_H(_GVK, "'type'")} % 7 END AS INTEGER) AS crashtype,
        {", ".join(GV_ORDER)}
 FROM lineitem""")
 
@@ -241,12 +264,26 @@ SELECT caseid, vehno, crashcat, crashconf, crashtype FROM (
 _VC = "CAST(caseid AS VARCHAR) || '-' || CAST(vehno AS VARCHAR)"
 VIEW_SQL["vpred"] = (["gv"], f"""
 SELECT caseid, vehno, crashcat, crashconf,
-       CAST(CASE WHEN {_H(_VC, "'pe'")} % 10 < 3 THEN (crashtype + 1) % 98 ELSE crashtype END AS INTEGER) AS crashtype
+       CAST(CASE WHEN {_H(_VC, "'pe'")} % 10 = 9 THEN NULL WHEN {_H(_VC, "'pe'")} % 10 < 3 THEN (crashtype + 1) % 98
+            ELSE crashtype END AS INTEGER) AS crashtype
 FROM gv WHERE {_H(_VC, "'pd'")} % 20 <> 0
 UNION ALL
+SELECT caseid, vehno, CAST((coalesce(crashcat, 0) + 5) % 7 AS INTEGER), 'B', CAST((coalesce(crashtype, 0) + 2) % 98 AS INTEGER)
+FROM gv WHERE {_H(_VC, "'pd'")} % 20 <> 0 AND {_H(_VC, "'pp'")} % 25 = 0
+UNION ALL
 SELECT o_orderkey AS caseid, 99 AS vehno, 1 AS crashcat, 'A' AS crashconf, 1 AS crashtype
 FROM orders WHERE o_orderkey % 50 = 0""")
 
+# The prediction that counts for a key: the first by its values, null first.
+VIEW_SQL["vp1"] = (["vpred"], """
+SELECT caseid, vehno, crashcat, crashconf, crashtype FROM (
+  SELECT *, row_number() OVER (PARTITION BY caseid, vehno ORDER BY crashcat NULLS FIRST, crashconf NULLS FIRST,
+         crashtype NULLS FIRST) AS rn_ FROM vpred) WHERE rn_ = 1""")
+
+VIEW_SQL["cases_dup"] = (["cases"], """
+SELECT caseid, summary, vehicles, mancoll FROM cases
+UNION ALL SELECT caseid, 'Second row of ' || summary, vehicles + 1, mancoll FROM cases WHERE caseid % 29 = 0""")
+
 VIEW_SQL["codebook"] = ([], "SELECT * FROM (VALUES " + ", ".join(
     f"('{ch}', {7 * i})" for i, ch in enumerate(CODEBOOK_LETTERS)) + ") t(conf, code_offset)")
 

@@ -6,47 +6,46 @@ read time (case-insensitively) and nothing downstream guesses.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyspark.functions.codes import RUN_FILE_PREFIX
+from tallyspark.functions.codes import METRIC_ROWS, PRED_ALIASES, RUN_FILE_PREFIX
+
 
-# Accepted source names per canonical column, in priority order.
-PRED_ALIASES = {
-    "summary": ["SUMMARY", "summary"],
-    "gt": ["MANCOLL", "mancoll", "label", "labels"],
-    "pred": ["collision_type", "pred", "prediction", "output"],
-}
 
+def canonical_columns(columns: list[str], aliases: dict[str, list[str]]) -> dict[str, str]:
+    """canonical name → column of ``columns``.
 
-def resolve(df: DataFrame, candidates: list[str]) -> str | None:
-    """First candidate present in ``df`` (exact name first, then case-insensitive)."""
-    names = df.columns
-    lower = {c.lower(): c for c in names}
-    for c in candidates:
-        if c in names:
-            return c
-        if c.lower() in lower:
-            return lower[c.lower()]
-    return None
+    Every accepted name, folded to lower case, belongs to one canonical name, so
+    a column says itself what it is.  A column spelled as the canonical name or as
+    an accepted one settles it; two columns that claim one name otherwise raise.
+    """
+    owner = {name.casefold(): canon for canon, names in aliases.items() for name in names}
+    claims: dict[str, list[str]] = {}
+    for column in columns:
+        if (canon := owner.get(column.casefold())) is not None:
+            claims.setdefault(canon, []).append(column)
+    for canon, found in claims.items():
+        if len(found) > 1:
+            exact = [c for c in found if c in aliases[canon]]
+            if len(exact) != 1:
+                raise ValueError(f"columns {found} all claim {canon!r}")
+            claims[canon] = exact
+    return {canon: found[0] for canon, found in claims.items()}
 
 
 def project_aliases(df: DataFrame, aliases: dict[str, list[str]], types: dict[str, str] | None = None,
                     source: str = "input") -> DataFrame:
     """Rename aliased columns to canonical names; raise when one is missing."""
     types = types or {}
-    cols, missing = [], []
-    for canon, cands in aliases.items():
-        found = resolve(df, cands)
-        if found is None:
-            missing.append(canon)
-            continue
-        c = F.col(f"`{found}`")
-        cols.append((c.cast(types[canon]) if canon in types else c).alias(canon))
-    if missing:
+    found = canonical_columns(df.columns, aliases)
+    if missing := [c for c in aliases if c not in found]:
         raise ValueError(f"{source}: missing column(s) {missing}; found {df.columns}")
-    return df.select(*cols)
+    return df.select(*[(F.col(f"`{found[c]}`").cast(types[c]) if c in types else F.col(f"`{found[c]}`")).alias(c)
+                       for c in aliases])
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, **options) -> DataFrame:
@@ -80,7 +79,8 @@ def read_vehicles(spark: SparkSession, path: str, columns: dict[str, str | list[
 YEAR_FOLDER = r"_(\d{4})_CSV_files"
 
 
-def read_yearly_csv(spark: SparkSession, root: str, table: str, schema, year_pattern: str = YEAR_FOLDER) -> DataFrame:
+def read_yearly_csv(spark: SparkSession, root: str, table: str, schema, year_pattern: str = YEAR_FOLDER,
+                    **options) -> DataFrame:
     """S3: ``<root>/<prefix>_<year>_CSV_files/<TABLE>.csv`` for every year
     (extension in any case: ``.CSV`` up to 2019, ``.csv`` after), with a
     header row and CRLF or LF line ends, as one table plus ``year``.
@@ -89,42 +89,56 @@ def read_yearly_csv(spark: SparkSession, root: str, table: str, schema, year_pat
     file path.  A ``<TABLE>.csv`` entry may also be a folder of part files.
     """
     glob = f"{root.rstrip('/')}/*_CSV_files/{table}.[cC][sS][vV]"
-    df = spark.read.schema(schema).option("header", "true").option("mode", "FAILFAST").csv(glob)
+    df = spark.read.schema(schema).options(header="true", mode="FAILFAST", **options).csv(glob)
     year = F.regexp_extract(F.input_file_name(), year_pattern, 1).cast("int")
     return df.select(year.alias("year"), *[F.col(f"`{c}`") for c in schema.fieldNames()])
 
 
-def write_yearly_csv(df: DataFrame, root: str, table: str, years: list[int], year_col: str = "year",
-                     prefix: str = "SURVEY") -> None:
-    """Write ``df`` as ``<root>/<prefix>_<year>_CSV_files/<TABLE>.csv/`` (header,
-    CRLF line ends), one folder per year in ``years``."""
-    for y in years:
-        (df.where(F.col(year_col) == y).drop(year_col).write.mode("overwrite")
-         .option("header", "true").option("lineSep", "\r\n")
-         .csv(f"{root.rstrip('/')}/{prefix}_{y}_CSV_files/{table}.csv"))
+def is_metric_row(summary: Column, gt: Column, pred: Column) -> Column:
+    """Rows that a scorer wrote below its predictions: exactly one of the fixed
+    markers, with text instead of a number in a label column."""
+    number = r"^\s*-?\d+(\.\d+)?\s*$"
+    text = ~F.coalesce(gt.rlike(number), F.lit(True)) | ~F.coalesce(pred.rlike(number), F.lit(True))
+    return F.coalesce(summary.isin(METRIC_ROWS), F.lit(False)) & text
 
 
 def read_prediction_runs(spark: SparkSession, paths: list[str], fmt: str = "parquet",
-                         aliases: dict[str, list[str]] | None = None) -> DataFrame:
+                         aliases: dict[str, list[str]] | None = None, unique: list[str] | None = None) -> DataFrame:
     """Prediction files → one long table (summary, gt, pred, file).
 
-    Each path (a file or a folder of same-schema files) is read once with
-    its own alias resolution; the parts are unioned by name.  Labels are
-    kept as text (normalise with C1).  Trailing metric rows written into a
-    label column (``METRICS…``) are rejected.
+    A path may be a file, a folder or a glob.  Files are grouped by their
+    columns, read from one footer each, so thousands of runs are a few scans
+    and not a union of thousands.  Labels are trimmed text (normalise with C1).  Metric rows
+    (see :func:`is_metric_row`) are left out; narratives that merely begin
+    alike stay.  With ``unique`` a repeated key raises.
     """
     aliases = aliases or PRED_ALIASES
+    groups: dict[tuple, list[str]] = {}
+    for path in expand(spark, paths):
+        groups.setdefault(tuple(read_table(spark, path, fmt).dtypes), []).append(path)
     parts = []
+    for same in groups.values():
+        df = spark.read.format(fmt).load(same).withColumn("_file", F.input_file_name())
+        cols = project_aliases(df, {**aliases, "file": ["_file"]},
+                               {"summary": "string", "gt": "string", "pred": "string"}, same[0])
+        parts.append(cols.withColumns({c: F.trim(c) for c in ("gt", "pred")}))
+    out = reduce(DataFrame.unionByName, parts).where(~is_metric_row(F.col("summary"), F.col("gt"), F.col("pred")))
+    if unique:
+        assert_unique(out, unique, "prediction runs")
+    return out
+
+
+def expand(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths that globs stand for, in order; a path that matches nothing raises."""
+    jvm = spark.sparkContext._jvm
+    out = []
     for p in paths:
-        df = read_table(spark, p, fmt)
-        proj = project_aliases(df.withColumn("_file", F.input_file_name()),
-                               {**aliases, "file": ["_file"]},
-                               {"summary": "string", "gt": "string", "pred": "string"}, p)
-        parts.append(proj)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(~F.upper(F.coalesce(F.col("summary"), F.lit(""))).startswith("METRICS"))
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        if not found:
+            raise FileNotFoundError(p)
+        out += sorted(f.getPath().toString() for f in found)
+    return out
 
 
 def with_run_tag(df: DataFrame, file_col: str = "file", prefix: str = RUN_FILE_PREFIX) -> DataFrame:
@@ -137,7 +151,7 @@ def with_run_tag(df: DataFrame, file_col: str = "file", prefix: str = RUN_FILE_P
     name = F.regexp_replace(stem, "^" + prefix, "")
     run = F.regexp_extract(name, r"-(\d+)$", 1)
     return df.withColumn("model_key", F.regexp_replace(name, r"-(\d+)$", "")) \
-             .withColumn("run_id", F.when(run != "", run.cast("int")).otherwise(F.lit(-1)))
+             .withColumn("run_id", F.when(run != "", run.cast("bigint")).otherwise(F.lit(-1)))
 
 
 def model_tag_by_prefix(df: DataFrame, file_col: str = "file", drop: int = 2) -> DataFrame:
@@ -150,26 +164,22 @@ def model_tag_by_prefix(df: DataFrame, file_col: str = "file", drop: int = 2) ->
 def profile_tables(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
     """One row per table × column: rows, nulls, distinct non-null values.
 
-    One aggregate per table (all its columns at once), unpivoted.  Exact
-    distinct counts over many columns expand each row once per column;
-    ``exact=False`` uses HyperLogLog sketches (one pass, ~1 % error).
+    Exact distinct counts take one aggregate per column over a scan that reads
+    that column only, so no row is multiplied by the number of columns; counts
+    of rows and nulls come along.  ``exact=False`` uses HyperLogLog sketches (one
+    pass per table, ~1 % error).  Maps, which Spark cannot group, count as text.
     """
-    out = None
+    parts = []
     for name, df in tables.items():
-        aggs = [F.count(F.lit(1)).alias("_rows")]
-        for i, c in enumerate(df.columns):
-            aggs.append(F.count(F.col(f"`{c}`")).alias(f"_nn{i}"))
-            nd = F.count_distinct(F.col(f"`{c}`")) if exact else F.approx_count_distinct(F.col(f"`{c}`"), 0.01)
-            aggs.append(nd.alias(f"_nd{i}"))
-        a = df.agg(*aggs)
-        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("ordinal"),
-                                   (F.col("_rows") - F.col(f"_nn{i}")).alias("n_null"),
-                                   F.col(f"_nd{i}").alias("n_distinct")) for i, c in enumerate(df.columns)])
-        t = a.select(F.lit(name).alias("table_name"), F.col("_rows").alias("n_rows"), F.inline(cells))
-        out = t if out is None else out.unionByName(t)
-    return out.select("table_name", "column_name", F.col("ordinal").cast("int").alias("ordinal"),
-                      F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n_null").cast("bigint").alias("n_null"),
-                      F.col("n_distinct").cast("bigint").alias("n_distinct"))
+        for i, (c, kind) in enumerate(df.dtypes):
+            v = F.col(f"`{c}`")
+            v = F.to_json(v) if kind.startswith("map") else v
+            parts.append(df.select(v.alias("v")).agg(
+                F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("v").isNull()).alias("n_null"),
+                (F.count_distinct("v") if exact else F.approx_count_distinct("v", 0.01)).alias("n_distinct")).select(
+                F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.lit(i).alias("ordinal"),
+                "n_rows", "n_null", "n_distinct"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
@@ -201,12 +211,13 @@ def append_scored(df: DataFrame, path: str, fmt: str = "parquet", batch_col: str
 def head_n(df: DataFrame, order: list[str], n: int, by: list[str] | None = None) -> DataFrame:
     """First ``n`` rows (per group ``by``) in the declared order.
 
-    Without groups: a top-k (``TakeOrderedAndProject``).  With groups:
+    Without groups: a top-k in two steps (see N6).  With groups:
     ``row_number() <= n``, which Spark plans with a per-partition group
     limit before the shuffle, so a hot group ships at most n rows per task.
     """
     if not by:
-        return df.orderBy(*order).limit(n)
+        from tallyspark.operators.sample import limit_sweep
+        return limit_sweep(df, order, [n]).drop("size", "pos")
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 

@@ -23,11 +23,10 @@ PRED_SCHEMA = T.StructType([
 
 
 def score_stream(spark: SparkSession, pred_dir: str, truth: DataFrame, out: str, checkpoint: str,
-                 mode: str = "type", schema: T.StructType = PRED_SCHEMA, files_per_batch: int = 1):
-    """Start the stream over every file present now (``availableNow``) and
-    return the query handle."""
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-              .parquet(pred_dir))
+                 mode: str = "type", schema: T.StructType = PRED_SCHEMA, batch_bytes: int = 1 << 30):
+    """Start the stream over every file present now (``availableNow``), in
+    micro-batches of about ``batch_bytes`` of files, and return the query handle."""
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(pred_dir)
 
     def score(batch: DataFrame, batch_id: int) -> None:
         cases = batch.select("caseid").distinct()
@@ -40,12 +39,8 @@ def score_stream(spark: SparkSession, pred_dir: str, truth: DataFrame, out: str,
 
 
 def run_to_completion(spark: SparkSession, pred_dir: str, truth: DataFrame, out: str, checkpoint: str,
-                      mode: str = "type", timeout_s: int = 600) -> DataFrame:
-    q = score_stream(spark, pred_dir, truth, out, checkpoint, mode)
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("scoring stream did not finish")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+                      mode: str = "type", batch_bytes: int = 1 << 30) -> DataFrame:
+    """Run the stream until every file is scored, however long that takes."""
+    q = score_stream(spark, pred_dir, truth, out, checkpoint, mode, batch_bytes=batch_bytes)
+    q.awaitTermination()
     return spark.read.parquet(out)

@@ -77,11 +77,18 @@ def test_class_report_rows(spark):
     assert rep["accuracy"]["f1"] == pytest.approx(0.666667) and rep["accuracy"]["support"] == 3
 
 
-def test_pairwise_blocks_match_single_aggregate(spark):
-    rows = [(s, f"r{i}", (s * (i + 3)) % 4 if (s + i) % 5 else None) for s in range(60) for i in range(7)]
-    df = spark.createDataFrame(rows, "sid long, rater string, pred long")
-    one = A.pairwise_from_wide(A.merge_predictions(df, ["sid"], "rater", "pred"), [f"r{i}" for i in range(7)])
-    many = A.pairwise_from_wide(A.merge_predictions(df, ["sid"], "rater", "pred"), [f"r{i}" for i in range(7)],
-                                block=3)
-    assert sorted(tuple(r) for r in one.collect()) == sorted(tuple(r) for r in many.collect())
-    assert one.count() == 49
+def test_pairwise_of_many_raters(spark):
+    k = 30
+    vote = {(s, i): ((s * (i + 3)) % 4 if (s + i) % 5 else None) for s in range(40) for i in range(k)}
+    vote.update({(s, 7): None for s in range(40)})  # a rater without a vote has no cells
+    df = spark.createDataFrame([(s, f"r{i}", v) for (s, i), v in vote.items()], "sid long, rater string, pred long")
+    wide = A.merge_predictions(df, ["sid"], "rater", "pred", [f"r{i}" for i in range(k)])
+    got = {(r["rater_a"], r["rater_b"]): (r["n_both"], r["n_equal"]) for r in A.pairwise_from_wide(
+        wide, [f"r{i}" for i in range(k)]).collect()}
+    want = {}
+    for i in range(k):
+        for j in range(k):
+            both = [s for s in range(40) if vote[s, i] is not None and vote[s, j] is not None]
+            if i != 7 and j != 7:
+                want[f"r{i}", f"r{j}"] = (len(both), sum(vote[s, i] == vote[s, j] for s in both))
+    assert got == want

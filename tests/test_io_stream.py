@@ -32,7 +32,7 @@ def test_read_yearly_csv_crlf_and_extension_case(spark):
 
 def test_read_prediction_runs_aliases(spark):
     root = scratch_path(spark, "runs-test")
-    spark.createDataFrame([("a", 1, 1), ("METRICS accuracy", None, None)], "SUMMARY string, MANCOLL int, collision_type int") \
+    spark.createDataFrame([("a", "1", "1"), ("METRICS (ALL)", "accuracy", "0.91")], "SUMMARY string, MANCOLL string, collision_type string") \
         .write.parquet(f"{root}/bert_test_results_x-1")
     spark.createDataFrame([("a", "1", "2")], "summary string, labels string, output string") \
         .write.parquet(f"{root}/bert_test_results_x-2")

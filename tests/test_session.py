@@ -16,8 +16,7 @@ def test_cluster_conf_scales_with_input():
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
 
 
-def test_spread_only_small_scans(spark):
-    one = spark.range(0, 1000, 1, 1)
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, 1, 64)
-    assert spread(many).rdd.getNumPartitions() == 64
+def test_spread_only_small_tables(spark):
+    few = spark.range(0, 100, 1, 1)
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(few, most=10).rdd.getNumPartitions() == 1

@@ -1,0 +1,406 @@
+"""The training-data operators against plain versions of their contracts, on
+rows that are null, empty, long, repeated, tied or nameless."""
+
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tallyspark.llm import decontam, exact, html, langid, minhash, mixing, pii, suffix, tokens, toxicity
+from tests.llm import brute
+
+SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size long, count long, key string, "
+          "start int, found string, size_b int")
+PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
+BASE = ["Mail a.b+c@x-y.co.uk or x@y.z_w@q.de, now", "1.2.3.4 300.1.1.1.1 0001.2.3.4.5 9.9.9",
+        "4111 1111-1111 1111 and 4111111111111112 and 1-2", "+1 (974) 555-3436 +49 30.1234567 +1 2 +",
+        "😀 a@b.cd 😀 1.2.3.4", "token = \"24be64439e3e49cf46b2d7c90f36\" My name is Maria Lopez. ssn 123-45-6789"]
+
+
+def rows():
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)] + ["the", "of", "É", "a"]
+    long_text = " ".join(r.choice(words) for _ in range(4000))
+    base = [" ".join(r.choice(words) for _ in range(n)) for n in (3, 12, 40, 80, 150)]
+    texts = [None, "", " \n\t", "one", "One two", "one  two", "onetwo", *BASE, long_text, long_text + " tail"]
+    for b in base:
+        w = b.split(" ")
+        texts += [b, b.upper(), b.replace(" ", "\n")]
+        for k in (1, 2, 4):
+            c = list(w)
+            for _ in range(max(1, len(c) * k // 40)):
+                c[r.randrange(len(c))] = r.choice(words)
+            texts.append(" ".join(c))
+    out = [(i, t, ["en", "fr", None][i % 3], ["b", "a", None, "É", "c"][i % 5], len(t or "")) for i, t in enumerate(texts)]
+    return out
+
+
+def frame(spark, data, repeat=True):
+    data = list(data)
+    extra = data + [data[3], data[5], (None, "no id " * 40, "en", "a", 5)] if repeat and data else data
+    return spark.createDataFrame([(*x, 1, 2, "k", 3, "f", 4) for x in extra], SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, rows()).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return frame(spark, [])
+
+
+TEXTS = [(r[0], r[1]) for r in rows()]
+
+
+def test_personal_data(spark, docs, none):
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    assert sorted(got) == [i for i, _ in TEXTS]
+    for i, t in TEXTS:
+        base = brute.base_spans(t)
+        assert got[i]["base"] == [f"{k}:{a}:{b}" for k, a, b in base], t
+        assert set(got[i]["base"]) <= set(got[i]["spans"])
+        assert [got[i][f"n_{k}"] for k in pii.BASE] == [sum(x[0] == k for x in base) for k in pii.BASE]
+    assert any(s.startswith("secret:") for s in got[12]["spans"])
+    assert pii.find_personal_data(none).count() == 0
+
+
+def test_personal_data_on_random_text(spark):
+    r = random.Random(1)
+    bits = ["a", "B9", "@", ".", "-", "+", " ", "1", "23", "4111111111111111", "255", "é", "\n", "(", ")", "x.y", "_"]
+    texts = [(i, "".join(r.choice(bits) for _ in range(r.randrange(0, 40)))) for i in range(1500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for row in pii.find_personal_data(df).collect():
+        want = [f"{k}:{a}:{b}" for k, a, b in brute.base_spans(texts[row["doc_id"]][1])]
+        assert row["base"] == want, texts[row["doc_id"]]
+
+
+def test_em_tells_reliable_labelers(spark):
+    r = random.Random(2)
+    data = []
+    for i in range(2000):
+        truth = r.random() < 0.4
+        v = [(1 if truth else -1) if r.random() < q else (-1 if truth else 1) for q in (0.95, 0.9, 0.6)]
+        data.append((i, 0, v, truth))
+    df = spark.createDataFrame(data, "doc_id long, kind int, votes array<int>, truth boolean")
+    p = {tuple(x["votes"]): x["p"] for x in pii.reliabilities(df).collect()}
+    assert p[1, 1, 1] > 0.9 and p[-1, -1, -1] < 0.1 and p[1, 1, -1] > 0.8 and p[-1, -1, 1] < 0.2
+    right = sum((p[tuple(v)] >= 0.5) == t for _, _, v, t in data)
+    assert right / len(data) > 0.9
+
+
+def test_suffix_arrays_and_common_prefixes():
+    r = random.Random(3)
+    for _ in range(400):
+        alphabet = r.choice([b"a", b"ab", b"abc", bytes(range(256))])
+        segs = []
+        for _ in range(r.randint(1, 8)):
+            s = bytes(r.choice(alphabet) for _ in range(r.randint(1, 40)))
+            if segs and r.random() < 0.5:
+                o = r.choice(segs)
+                s = s[:5] + o[r.randint(0, len(o)):][:20] + s[5:9]
+            segs.append(s)
+        text = np.concatenate([np.r_[np.frombuffer(s, np.uint8).astype(int) + 1, 0] for s in segs])
+        flat = text.tolist()
+        sa = suffix.suffix_array(text)
+        assert sorted(sa) == list(range(len(text)))
+        order = [flat[i:flat.index(0, i) + 1] for i in sa]
+        assert all(a <= b for a, b in zip(order, order[1:]))
+        n = r.randint(1, 8)
+        seen = [s[i:i + n] for s in segs for i in range(len(s) - n + 1)]
+        want = [[i for i in range(len(s) - n + 1) if seen.count(s[i:i + n]) > 1] for s in segs]
+        assert [x.tolist() for x in suffix.repeated_windows(segs, n)] == want
+
+
+@pytest.mark.parametrize("length,anchor", [(200, 48), (24, 10)])
+def test_repeated_bytes(spark, docs, none, length, anchor):
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"]))
+           for r in suffix.remove_repeats(docs, length, anchor).collect()}
+    want = brute.repeats(TEXTS, length)
+    assert sorted(got) == sorted(want)
+    for i, (n, gone, spans, kept) in got.items():
+        assert (n, gone, spans, brute.hashlib.sha256(kept).hexdigest()) == want[i]
+    assert suffix.remove_repeats(none, length, anchor).count() == 0
+
+
+def test_repeated_bytes_in_one_text(spark):
+    texts = [(1, "ab" * 400), (2, "x" * 199), (3, "y" * 201), (4, "é" * 150 + "z")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"])) for r in suffix.remove_repeats(df).collect()}
+    assert got == {i: v[:3] for i, v in brute.repeats(texts).items()}
+
+
+def test_windows_of_a_crowd_are_counted_alike(spark):
+    segs = [(k, h, bytes([65 + (h + i) % 3 for i in range(12)])) for k in range(3) for h in range(20)]
+    df = spark.createDataFrame([(k, h, bytearray(s)) for k, h, s in segs], "key long, hash long, bytes binary")
+
+    def places(out):
+        return {(r["key"], r["hash"], p) for r in out.collect() for p in range(r["lo"], r["hi"] + 1)}
+    one = places(suffix._by_suffix_array(df.filter("key = 1"), 6))
+    assert one == places(suffix._by_window_hash(df.filter("key = 1"), 6)) and one
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(spark, docs, none, k):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"])
+           for r in minhash.near_duplicates(docs, shingle=k).collect()}
+    assert got == brute.near(TEXTS, k)
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_near_duplicates_of_a_family(spark):
+    """Copies at every distance of one text: some linked, some only by others."""
+    r = random.Random(9)
+    base = [f"v{i}" for i in range(70)]
+    texts = []
+    for i in range(160):
+        c = list(base)
+        for _ in range(r.randrange(0, 14)):
+            c[r.randrange(len(c))] = f"n{r.randrange(10**6)}"
+        texts.append((i, " ".join(c)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(df, shingle=2).collect()}
+    assert got == brute.near(texts, 2)
+
+
+def test_pigeonhole_finds_every_pair_within_the_radius():
+    r = np.random.default_rng(4)
+    sig = r.integers(0, 256, (40, 55), dtype=np.uint8)
+    other = sig.copy()
+    for i in range(40):  # 21 errors: fewer than 11 * (1 + 1)
+        places = r.choice(55, 21, replace=False)
+        other[i, places] ^= r.integers(1, 256, 21, dtype=np.uint8)
+    a, b = minhash.chunk_keys(sig, 11, 5, 1), minhash.chunk_keys(other, 11, 5, 1)
+    assert ((a == b).any(1)).all()
+
+
+def test_components_of_long_chains(spark):
+    links = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(5, 5), (100, 40)]
+    got = {r["id"]: r["comp"] for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got[19] == 0 and got[39] == 20 and got[100] == 40 and got[59] == 40
+    assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_exact_duplicates(spark, docs, none):
+    got = {r["doc_id"]: r for r in exact.exact_dedup(docs).collect()}
+    want = brute.exact(TEXTS)
+    assert {i: (r["keep_id"], r["group_size"], r["kept"]) for i, r in got.items()} == {i: v[:3] for i, v in want.items()}
+    assert all(r["text_sha256"] in (None, want[i][3]) for i, r in got.items())
+    assert all(r["text_sha256"] for r in got.values() if r["group_size"] > 1)
+    assert exact.exact_dedup(none).count() == 0
+
+
+def test_token_blocks_round_trip():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 127, 128, 129, 3000):
+        for top in (1, 2, 300, 50_000, 2**32 - 1):
+            a = r.integers(0, top, n)
+            if n > 10:
+                a[r.integers(0, n, 5)] = top
+            data = tokens.pack(a)
+            assert (tokens.unpack(data) == a).all()
+            i, j = sorted(r.integers(0, n + 1, 2))
+            assert (tokens.unpack(data, i, j) == a[i:j]).all()
+    small = tokens.pack(np.r_[np.full(127, 1000), 49_999])
+    assert len(small) < 16 + 8 + 7 + 6 + 1  # one exception, width 0
+    with pytest.raises(ValueError):
+        tokens.unpack(b"nonsense")
+
+
+def test_encoder_equals_the_library():
+    enc = tokens.Encoder(PATH, pieces=50)
+    r = random.Random(1)
+    bits = ["a", "B c", "'s", " ", "\n", "\t", "1 2", ".", ",", "é", " ", "<|endoftext|>", "　", " x", "\r", "word."]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(0, 12))) for _ in range(3000)]
+    want = [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    for i in range(0, len(texts), 500):  # the cache is full after the first
+        assert [x.tolist() for x in enc.encode(texts[i:i + 500])] == want[i:i + 500]
+
+
+def test_token_files(spark, docs, none, tmp_path):
+    lib = tokens.Encoder(PATH).tok
+    giant = (10_000, "ab cd " * 150_000 + "end", "en", "a", 1)  # several segments long
+    data = [*rows(), giant, (10_001, "after", "en", "a", 1)]
+    tokens.write_tokens(frame(spark, data), str(tmp_path / "t"), PATH, parts=3)
+    at, want = 0, {}
+    for i, t in sorted((r[0], r[1]) for r in data):
+        ids = lib.encode(t or "", add_special_tokens=False).ids + [2]
+        want[i] = (at, ids)
+        at += len(ids)
+    assert len(want[10_000][1]) > tokens.SEGMENT_IDS
+    got = {r["doc_id"]: (r["start"], r["ids"]) for r in tokens.read_tokens(spark, str(tmp_path / "t")).collect()}
+    assert got == want
+    digest = {r["doc_id"]: r[1:] for r in tokens.token_digest(spark, str(tmp_path / "t")).collect()}
+    assert digest == {i: (s, len(x), brute.ids_crc(x)) for i, (s, x) in want.items()}
+    tokens.write_tokens(none, str(tmp_path / "e"), PATH)
+    assert tokens.token_digest(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_sainte_lague_equals_one_seat_at_a_time(spark):
+    r = random.Random(6)
+    cells, want = [], {}
+    for g in range(12):
+        n, seats = r.randrange(1, 12), r.choice([0, 1, 7, 50, 400])
+        weights = {k: r.choice([0, 1, 2, 5, 30, 1000, 1000]) for k in range(n)}
+        held = dict.fromkeys(weights, 0)
+        for _ in range(seats if sum(weights.values()) else 0):
+            k = max((k for k in weights if weights[k]), key=lambda k: (weights[k] / (2 * held[k] + 1), -k))
+            held[k] += 1
+        want |= {(g, k): held[k] for k in weights}
+        cells += [(g, k, w, seats) for k, w in weights.items()]
+    df = spark.createDataFrame(cells, "g int, k int, w long, seats long")
+    got = {(x["g"], x["k"]): x["quota"] for x in mixing.sainte_lague(df, ["g"], ["k"], "w", "seats").collect()}
+    assert got == want
+
+
+def test_mixing(spark, docs, none):
+    plan = mixing.mix_sources(docs, shards=3)
+    got = plan.collect()
+    source = {r[0]: r[3] for r in rows()}
+    size = {i: len(brute.WORDS.findall(t or "")) for i, t in TEXTS}
+    per = {}
+    for i, s in source.items():
+        per[s] = per.get(s, 0) + size[i]
+    target = brute.targets(per)
+    assert sorted(r["doc_id"] for r in got) == sorted(size)
+    taken = dict.fromkeys(per, 0)
+    for r in got:
+        s = source[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], per[s])
+        assert abs(r["target"] - target[s]) < 1e-6 and 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 3 * mixing.BLOCK * 2 for s in per)
+    again = mixing.mix_sources(docs.repartition(2), shards=3).collect()
+    assert {r["doc_id"]: r["taken"] for r in again} == {r["doc_id"]: r["taken"] for r in got}
+    mixed = {r["doc_id"]: r["text"] for r in mixing.take(docs, plan).collect()}
+    assert {i: len(brute.WORDS.findall(t)) for i, t in mixed.items()} == {r["doc_id"]: r["taken"] for r in got if r["taken"]}
+    assert mixing.take(docs, plan).columns == docs.columns
+    assert mixing.mix_sources(none).count() == 0
+    blank = frame(spark, [(1, None, "en", "a", 0), (2, " ", "en", "b", 1)], repeat=False)
+    assert [r["taken"] for r in mixing.mix_sources(blank).collect()] == [0, 0]
+
+
+ITEMS = [(1, " ".join(f"w{i}" for i in range(20))), (2, "one TWO"), (3, None), (4, "!!"), (10, "w3 w4 w5"),
+         (11, "w3, w4. w5"), (12, "é É the of the of the of the of the of the of"), (13, "never seen words")]
+
+
+def test_decontamination(spark, docs, none):
+    r = random.Random(8)
+    data = [x for x in rows()]
+    line = " ".join(f"W{i}" for i in range(20))
+    data += [(900, f"lead {line} tail", "en", "a", 1), (901, "x " * 300 + "w3-w4;w5", "en", "a", 1), (902, line[:40], "en", "a", 1),
+             (903, "é É the of the of the of the of the of the of the of", "en", "a", 1), (904, "one, two one two", "en", "a", 1)]
+    data += [(1000 + i, " ".join(r.choice(["w3", "w4", "w5", "one", "two"]) for _ in range(60)), "en", "a", 1) for i in range(30)]
+    items = spark.createDataFrame([*ITEMS, (None, "w3 w4 w5")], "item_id long, text string")
+    got = {x["doc_id"]: (x["n_words"], x["n_hit"], len(x["items"]), brute.sha(",".join(x["items"])), x["contaminated"])
+           for x in decontam.decontaminate(frame(spark, data), items).collect()}
+    want = brute.contaminated([(x[0], x[1]) for x in data], ITEMS)
+    assert got == want and sum(v[4] for v in want.values()) > 5
+    assert decontam.decontaminate(none, items).count() == 0
+    clean = decontam.decontaminate(docs, items.limit(0)).collect()
+    assert len(clean) == len(TEXTS) and not any(x["contaminated"] for x in clean)
+    near = decontam.proximity_matches(frame(spark, [(1, "w3 x w4 w5", "en", "a", 1)], repeat=False), items, slop=1).collect()
+    assert {x["phrase"] for x in near} == {"w3 w4 w5"}
+
+
+def labelled(spark, n=300):
+    r = random.Random(7)
+    bad, words = ["vile", "scumbag", "nasty"], [f"w{i}" for i in range(200)]
+    data, labels = [], []
+    for i in range(n):
+        t = [r.choice(words) for _ in range(60)]
+        grade = i % 3
+        for _ in range(3 * grade):
+            t[r.randrange(60)] = r.choice(bad)
+        data.append((i, " ".join(t), "en", "a", 1))
+        labels.append((i, int(grade > 0)))
+    return data, spark.createDataFrame([*labels, (3, None), (None, 1), (0, 0)], "doc_id long, toxic int")
+
+
+def test_ordinal_regression(spark, docs, none):
+    data, labels = labelled(spark)
+    fitted = toxicity.fit(toxicity.binary_grades(frame(spark, data), labels))
+    assert (np.diff(fitted.theta) > 0).all()
+    held = [(10_000 + x[0], x[1], "en", "a", 1) for x in labelled_again()]
+    got = {r["doc_id"]: r for r in toxicity.severity(frame(spark, held, repeat=False), fitted).collect()}
+    right = sum(got[10_000 + i]["toxic"] == (g > 0) for i, _, g in labelled_again())
+    assert right == len(held)
+    mean = [np.mean([got[10_000 + i]["severity"] for i, _, g in labelled_again() if g == k]) for k in range(3)]
+    assert mean[0] < 0.5 < mean[1] < mean[2] <= 2
+    odd = {r["doc_id"]: r for r in toxicity.severity(docs, fitted).collect()}
+    assert odd[0]["severity"] == odd[1]["severity"] == 0 and not odd[0]["toxic"]
+    assert toxicity.severity(docs, fitted).count() == docs.count()
+    assert toxicity.fit(toxicity.binary_grades(none, labels)) is None
+    assert toxicity.severity(none, fitted).count() == 0
+    assert not any(r["toxic"] for r in toxicity.severity(docs, None).collect())
+
+
+def labelled_again():
+    r = random.Random(70)
+    words = [f"w{i}" for i in range(200)]
+    out = []
+    for i in range(90):
+        t = [r.choice(words) for _ in range(60)]
+        for j in range(3 * (i % 3)):
+            t[5 * j] = r.choice(["vile", "scumbag", "nasty"])
+        out.append((i, " ".join(t), i % 3))
+    return out
+
+
+def test_ordinal_gradient_reaches_the_optimum():
+    r = np.random.default_rng(1)
+    x = r.integers(0, 5, 600)
+    grades = np.searchsorted([1.2, 2.9], np.log1p(x) * 2 + r.logistic(size=600) * 0.3)
+    w, theta = toxicity.fit_ordinal([np.array([0])] * 600, [np.array([float(v)]) for v in x], grades, 1, steps=800)
+    assert theta[0] < theta[1] and w[0] > 2
+    assert abs(theta[0] / w[0] - 0.6) < 0.15 and abs(theta[1] / w[0] - 1.45) < 0.2  # what the grades were drawn from
+
+
+def test_languages(spark, docs, none):
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = langid.fit(sf.filter(~held))
+    assert model.languages == {"germanic": ["de", "en"], "romance": ["es", "fr"]}
+    got = langid.identify(sf.filter(held), model).join(sf, "doc_id")
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] >= 0.95
+    odd = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert [odd[i]["lang_pred"] for i in (0, 1, 2, 8)] == ["und"] * 4 and odd[0]["score"] == 0
+    assert all(0 <= r["score"] <= 1 for r in odd.values()) and langid.identify(docs, model).count() == docs.count()
+    assert langid.identify(none, model).count() == 0
+    nothing = langid.fit(none)
+    assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
+    one = langid.fit(docs.filter("lang = 'en'"))
+    assert {r["lang_pred"] for r in langid.identify(docs, one).collect()} == {"und", "en"}
+
+
+PAGES = [
+    ("<p>a<p>b <b>c</b>  d", "a\n\nb c d"), ("x<br>y<br><br>z", "x\ny\n\nz"),
+    ("<ul><li>x<li>y<ol start=3><li>1<li>2</ol></ul>after", "- x\n- y\n  3. 1\n  4. 2\n\nafter"),
+    ("<table><tr><th>Name<th>Val<tr><td>longer name<td align=right>1<tr><td colspan=2>all of it</table>end",
+     "Name         Val\nlonger name    1\nall of it\n\nend"),
+    ("<div hidden>no</div><script>if (a<b) x</script><p style='display: none'>no</p><!-- no --><title>no</title>yes", "yes"),
+    ("<pre> k\n  l</pre>", " k\n  l"), ("a &amp; b &lt;c&gt; &copy;", "a & b <c> ©"), ("", ""), (None, ""), ("plain\n text", "plain text"),
+    ("<head><title>t</title><body><h1>H</h1>text", "H\n\ntext"), ("<dl><dt>t<dd>d</dl>", "t\n  d"), ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
+    ("<p>open <b>bold<p>next</b>", "open bold\n\nnext"), ("<img alt='pic'> <hr>x", "pic\n---\nx"),
+]
+
+
+@pytest.mark.parametrize("page,text", PAGES)
+def test_html(page, text):
+    assert html.html_to_text(page) == text
+
+
+def test_html_pages(spark):
+    r = random.Random(2)
+    bits = ["<p>", "</p>", "<div>", "</div>", "<table>", "</table>", "<tr>", "<td>", "x", "y ", "<li>", "<ul>", "</ul>", "<b", "<!--",
+            "-->", "<br>", "&amp;", "<script>", "</script>", "<body>", "<pre>", "\n", "<td colspan=3 align=right>", "\0", "<"]
+    odd = ["<div>" * 20_000 + "deep", "".join(r.choice(bits) for _ in range(3000)), "<table>" * 300 + "x"]
+    data = [(i, "u", p) for i, p in enumerate([p for p, _ in PAGES] + odd)] + [(0, "again", "<p>z"), (None, None, "<p>w")]
+    df = spark.createDataFrame([(*x, "clash") for x in data], "page_id long, url string, html string, text string")
+    got = html.render_pages(df).collect()
+    assert len(got) == len(data) and all(x["n_chars"] == len(x["text"]) for x in got)
+    assert {x["text"] for x in got if x["page_id"] == len(PAGES)} == {"deep"}
+    assert html.render_pages(df.limit(0)).count() == 0

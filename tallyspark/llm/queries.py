@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontam, exact, html, langid, minhash, mixing, pii, suffix, tokens, toxicity
-from tallyspark.llm.common import read, scratch_path
+from tallyspark.llm.common import LOWER, UPPER, read, scratch_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,7 +48,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, model)
 
 
-@query("op4_near_dedup")
+@query("op4_near_dedup", sql=rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'),
+                             lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w
+         ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+one AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+link AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.seen)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(seen) AS component_id, min(seen) = doc_id AS kept
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, as its contract fixes them."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=2)
@@ -90,12 +102,64 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.render_pages(read(spark, sf_dir, "pages"))
 
 
-@query("op9_mix_sources")
+#: Targets by filling up, then quotas and words taken, seat by seat.
+MIX_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size FROM documents),
+c AS (SELECT greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT) // 10) AS shards, CAST(sum(size) AS BIGINT) AS total FROM d),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight, 3 * source_size AS cap FROM s0),
+s2 AS (SELECT *, (SELECT total FROM c) - coalesce(sum(cap) OVER b, 0) AS rest, sum(weight) OVER a AS free,
+         row_number() OVER (ORDER BY cap / weight, source IS NULL, source) AS place FROM s1
+       WINDOW b AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+              a AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+lv AS (SELECT arg_min(rest / free, place) AS level FROM s2 WHERE rest / free * weight <= cap),
+s3 AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), level * weight) AS target,
+         CAST(round((SELECT total FROM c) / {mixing.BLOCK}) AS BIGINT) AS seats FROM s2, lv),
+q1 AS (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source IS NULL, source, k) AS r
+       FROM (SELECT *, unnest(range(0, CAST(target / {mixing.BLOCK} AS BIGINT) + 1000)) AS k FROM s3 WHERE target > 0)),
+s4 AS (SELECT s3.source, source_size, target, coalesce(held, 0) AS blocks FROM s3 LEFT JOIN
+         (SELECT source, count(*) AS held FROM q1 WHERE r <= seats GROUP BY source) h ON h.source IS NOT DISTINCT FROM s3.source),
+e AS (SELECT d.*, CAST('0x' || substr(md5('{mixing.SEED}:shard:' || doc_id), 1, 15) AS BIGINT) % (SELECT shards FROM c) AS shard,
+        CAST('0x' || substr(md5('{mixing.SEED}:draw:' || doc_id), 1, 15) AS BIGINT) AS draw FROM d),
+f AS (SELECT e.source, shard, sum(size) AS held, any_value(blocks) AS blocks, any_value(source_size) AS source_size,
+        any_value(target) AS target FROM e JOIN s4 ON e.source IS NOT DISTINCT FROM s4.source GROUP BY e.source, shard),
+q2 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY held / (2 * k + 1) DESC, shard, k) AS r
+       FROM (SELECT *, unnest(range(0, CAST(blocks AS BIGINT) + 1)) AS k FROM f WHERE held > 0)),
+g AS (SELECT f.source, f.shard, f.held, source_size, target, least(coalesce(h.n, 0) * {mixing.BLOCK}, 3 * f.held) AS words FROM f LEFT JOIN
+        (SELECT source, shard, count(*) AS n FROM q2 WHERE r <= blocks GROUP BY source, shard) h
+        ON h.source IS NOT DISTINCT FROM f.source AND h.shard = f.shard),
+t AS (SELECT e.doc_id, e.size, source_size, target, words, held,
+        sum(e.size) OVER (PARTITION BY e.source, e.shard ORDER BY draw, doc_id) - e.size AS before
+      FROM e JOIN g ON g.source IS NOT DISTINCT FROM e.source AND g.shard = e.shard)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN held = 0 THEN 0 ELSE (words // held) * size
+  + greatest(0, least(words - (words // held) * held - before, size)) END AS BIGINT) AS taken FROM t"""
+
+
+@query("op9_mix_sources", sql=MIX_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).drop("source")
 
 
-@query("op10_decontaminate")
+def _terms_sql(text: str) -> str:
+    return (f"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), "
+            r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")
+
+
+@query("op10_decontaminate", sql=f"""
+WITH d AS (SELECT doc_id, {_terms_sql('text')} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_terms_sql('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(list_slice(w, p, p + least(13, len(w)) - 1), ' ') AS phrase
+        FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+g AS (SELECT doc_id, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS phrase
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM win))),
+occ AS (SELECT doc_id, p, g.n, item FROM g JOIN win USING (phrase)),
+hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM occ) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 import corpus_pipeline
 from tests.llm import brute
+from tests.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,3 +91,9 @@ def test_pipeline_stage_by_stage(spark, items, tmp_path):
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 50
+
+
+@pytest.mark.parametrize("key", ["op4_near_dedup", "op5_exact_dedup", "op9_mix_sources", "op10_decontaminate"])
+def test_sql(spark, key):
+    r = compare(spark, key, E.queries()[key], E.oracle_sql()[key], SF, duck(SF))
+    assert r["ok"], r

@@ -7,7 +7,9 @@ import __spark_entry__ as E
 
 JVM_ONLY = ["self_consistency", "pairwise_agreement", "fleiss_kappa", "macro_f1", "lookup_truth",
             "vehicle_eval_type", "focus_vehicle", "build_vocab", "inject_label_noise", "random_split",
-            "stratified_split", "noise_ladder", "confusion_matrix", "majority_vote", "encode_tokens"]
+            "stratified_split", "noise_ladder", "confusion_matrix", "majority_vote", "encode_tokens",
+            "vehicle_overall", "metrics_table", "metrics_excl_class", "accuracy", "case_accuracy", "class_report",
+            "run_pairwise", "accuracy_vs_gt", "sample_consistency_gt", "truth_list", "sft_examples", "apply_encoding"]
 
 
 def plan(df):

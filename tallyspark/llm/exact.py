@@ -18,9 +18,9 @@ def normalised(name: str = "text"):
 
 
 def _shared(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose keys occur more than once (partial counts before the
-    shuffle; the rows follow by a join that Spark splits where a key is hot)."""
-    twice = df.groupBy(*keys).count().filter("count > 1").drop("count")
+    """Rows whose keys occur more than once (partial counts before the shuffle;
+    as a table of their own, so that Spark splits the join where a key is hot)."""
+    twice = table(df.groupBy(*keys).count().filter("count > 1").drop("count"), "twice")
     return df.join(twice, list(keys), "left_semi")
 
 
@@ -45,8 +45,8 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     left = _shared(_shared(sizes, "size"), "size", "prefix")
     full = table(rows.join(left.select("doc_id", "points"), "doc_id")
                  .select("doc_id", "points", F.sha2(norm, 256).alias("text_sha256")), "full")
-    groups = full.groupBy("text_sha256").agg(
-        F.min(F.struct(-F.col("points"), "doc_id"))["doc_id"].alias("keep_id"), F.count("*").alias("group_size"))
+    groups = table(full.groupBy("text_sha256").agg(
+        F.min(F.struct(-F.col("points"), "doc_id"))["doc_id"].alias("keep_id"), F.count("*").alias("group_size")), "groups")
     found = full.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
     return (sizes.select("doc_id").join(found, "doc_id", "left")
             .select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"),

@@ -18,8 +18,9 @@ SHINGLE = 5
 PERCENT = 80
 #: Signature: CHUNKS x WIDTH positions of 8 bits; ERRORS positions of a chunk may differ.
 CHUNKS, WIDTH, ERRORS = 11, 5, 1
-#: Positions in which two signatures may differ before sets are compared.
-DISTANCE = 30
+#: Positions in which two signatures may differ at most if their sets are to be
+#: compared (a pair of similarity 0.8 differs in more with a probability of 3e-7).
+DISTANCE = 27
 #: Ids up to which the documents to compare are broadcast to their texts; above, texts are shuffled.
 BROADCAST_IDS = 200_000
 _U = np.uint64
@@ -122,14 +123,19 @@ def full_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("doc_id", "text").mapInPandas(run, "id long, members array<long>")
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked."""
+def compared(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) with the number of shingles that their full sets share."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = table(full_sets(rows.join(hinted(ids, BROADCAST_IDS), "doc_id", "left_semi"), shingle), "sets")
     both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a"))
-    common = F.size(F.array_intersect("ma", "mb"))
-    return both.filter(100 * common >= percent * (F.size("ma") + F.size("mb") - common)).select("a", "b")
+    return both.select("a", "b", F.size("ma").alias("n_a"), F.size("mb").alias("n_b"),
+                       F.size(F.array_intersect("ma", "mb")).alias("common"))
+
+
+def linked(common: Column, percent: int) -> Column:
+    """Whether sets of n_a and n_b shingles, ``common`` of them shared, are similar."""
+    return 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -171,12 +177,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     indexed under every choice of positions that remains when ``errors`` of them
     are wrong, so every pair that differs in fewer than chunks * (errors + 1)
     positions shares a bucket.  With the defaults a pair of similarity 0.8 shares
-    none with a probability below 1e-6.  A bucket's members are compared with
-    its smallest first; where that leaves several components in a bucket, all
-    its pairs across them that differ in at most ``distance`` positions (6
-    standard deviations above what 0.8 gives) are compared too.  Every comparison
-    is on full sets.  So no pair within a component is listed, and none across
-    two is left out.
+    none with a probability below 1e-6.
+
+    A bucket's members are first compared with its centre, the member that
+    meets most others over all its buckets.  That puts a group of copies of one
+    text together without listing its pairs.  What is then in another component
+    than the centre is compared with the bucket's members of other components,
+    unless their sizes, their signatures or what either shares with the centre
+    rule a link out: two sets cannot share more than the lesser of what
+    they share with the centre and the lesser of what they do not.  A pair is
+    listed in one of the buckets it shares.  Every comparison is on full sets.  So
+    no pair within a component is listed, and none across two that could be a
+    link is left out.
 
     Returns doc_id, n_shingles (size of the set), component_id (smallest id
     reachable), kept.  Null, empty or blank text has no shingles and is linked
@@ -191,36 +203,52 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
                    .select("doc_id", "rep"), "members")
     reps = member.filter("doc_id = rep").select("doc_id")
     known = table(seen.join(reps, "doc_id", "left_semi").select("doc_id", "n", "sig", "keys"), "known")
+
+    index = table(known.select(F.posexplode("keys").alias("k", "key"), F.col("doc_id").alias("id")), "index")
+    shared = index.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    near = table(index.join(shared, "key"), "near")
+    meets = near.groupBy("id").agg(F.sum("m").alias("met"))
+    near = near.join(meets, "id").select("key", "k", "id", F.struct("met", (-F.col("id")).alias("id")).alias("rank"))
+    centre = near.groupBy("key").agg((-F.max("rank")["id"]).alias("centre"))
+    placed = table(near.drop("rank").join(centre, "key"), "placed")
+    stars = placed.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+
     size = known.select("doc_id", "n", "sig")
-    index = table(known.select(F.explode("keys").alias("key"), "doc_id"), "index")
-    shared = index.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    near = index.join(shared, "key").select("key", "a", F.col("doc_id").alias("b"))
-    stars = near.filter("a <> b").select("a", "b").distinct()
-
-    def plausible(pairs):
-        x = size.select(*(F.col(c).alias(f"{c}_a") for c in size.columns)).withColumnRenamed("doc_id_a", "a")
-        y = size.select(*(F.col(c).alias(f"{c}_b") for c in size.columns)).withColumnRenamed("doc_id_b", "b")
-        return pairs.join(x, "a").join(y, "b").filter(_alike(percent, distance, longs)).select("a", "b")
-
-    tested = table(plausible(stars), "stars")
-    links = table(confirmed(tested, rows, shingle, percent), "links")
+    a = size.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
+    b = size.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+    stars = stars.join(a, "a").join(b, "b").filter(_alike(percent, distance, longs)).select("a", "b")
+    tested = table(compared(table(stars, "stars"), rows, shingle), "tested")
+    links = tested.filter(linked(F.col("common"), percent)).select("a", "b")
     comp = components(links)
 
-    with_comp = near.select("key", F.col("b").alias("id")).join(comp, "id", "left").select(
-        "key", "id", F.coalesce("comp", "id").alias("comp"))
-    with_comp = table(with_comp, "placed")
-    mixed = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    rest = with_comp.join(mixed.select("key"), "key", "left_semi")
-    rest = rest.join(size.withColumnRenamed("doc_id", "id"), "id")
-    x = rest.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "comp", "n", "sig")))
-    y = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "comp", "n", "sig")))
-    across = (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & _alike(percent, distance, longs)
-    cond = (x["key"] == y["key"]) & across
-    other = (x.join(y, cond).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-             .join(tested, ["a", "b"], "left_anti"))
-    other = table(other, "others")
+    # what each member of a bucket shares with its centre; null if that was ruled out
+    with_centre = tested.select(F.col("a").alias("centre"), F.col("b").alias("id"), "common")
+    home = comp.select(F.col("id").alias("centre"), F.col("comp").alias("home"))
+    there = (placed.join(comp, "id", "left").join(home, "centre", "left")
+             .withColumn("comp", F.coalesce("comp", "id")).withColumn("home", F.coalesce("home", "centre")))
+    strays = there.filter("comp <> home")
+    there = table(there.join(strays.select("key").distinct(), "key", "left_semi")
+                  .join(with_centre, ["centre", "id"], "left")
+                  .join(known.withColumnRenamed("doc_id", "id"), "id")
+                  .withColumn("common", F.when(F.col("id") == F.col("centre"), F.col("n")).otherwise(F.col("common"))), "there")
+    cols = ("id", "comp", "n", "sig", "keys", "common")
+    x = there.filter("comp <> home").select("key", "k", *(F.col(c).alias(f"{c}_a") for c in cols))
+    y = there.select(F.col("key").alias("key_b"), (F.col("comp") == F.col("home")).alias("at_home"),
+                     *(F.col(c).alias(f"{c}_b") for c in cols))
+    most = (F.least("common_a", "common_b")
+            + F.least(F.col("n_a") - F.col("common_a"), F.col("n_b") - F.col("common_b")))
+    possible = F.col("common_a").isNull() | F.col("common_b").isNull() | linked(most, percent)
+    # the first key that both have is this bucket's
+    once = F.expr("not exists(slice(zip_with(keys_a, keys_b, (p, q) -> p = q), 1, k), e -> e)")
+    across = ((F.col("comp_a") != F.col("comp_b")) & (F.col("at_home") | (F.col("id_a") < F.col("id_b")))
+              & possible & _alike(percent, distance, longs) & once)
+    other = x.join(y, (F.col("key") == F.col("key_b")) & across).select(
+        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    other = table(other.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"],
+                             "left_anti"), "others")
     if not other.isEmpty():
-        comp = components(links.unionByName(confirmed(other, rows, shingle, percent)))
+        more = compared(other, rows, shingle).filter(linked(F.col("common"), percent)).select("a", "b")
+        comp = components(links.unionByName(more))
     return (seen.select("doc_id", "n").join(member, "doc_id", "left")
             .join(comp.withColumnRenamed("id", "rep"), "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),

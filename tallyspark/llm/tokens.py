@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import hinted, one_per_id, whole_text
+from tallyspark.llm.common import hinted, one_per_id, table, whole_text
 
 BLOCK = 128
 PERCENTILE = 90
@@ -18,12 +21,50 @@ END_ID = 2
 #: Ids a segment of a file holds before the next begins.
 SEGMENT_IDS = 1 << 18
 #: Distinct pieces whose ids a worker keeps.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
 MAGIC = b"TPF1"
 
 # --- patched frame of reference ------------------------------------------------
 
 
+def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of numbers (a multiple of 8) of ``width`` low bits as rows of bytes, low bits first."""
+    n, m = values.shape
+    if width > 16:
+        bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(n, m, 4), axis=2, bitorder="little")[:, :, :width]
+        return np.packbits(bits.reshape(n, -1), axis=1, bitorder="little")
+    w = np.uint64(width)
+    v = (values.astype(np.uint64) & np.uint64((1 << width) - 1)).reshape(n * m // 8, 8)
+    v = v[:, 0::2] | v[:, 1::2] << w
+    v = v[:, 0::2] | v[:, 1::2] << 2 * w  # four numbers each
+    out = np.empty((len(v), 2), "<u8")
+    out[:, 0] = v[:, 0] | (v[:, 1] << 4 * w if width < 16 else np.uint64(0))
+    out[:, 1] = v[:, 1] >> (np.uint64(64) - 4 * w) if width < 16 else v[:, 1]
+    return np.ascontiguousarray(out.view(np.uint8)[:, :width]).reshape(n, m * width // 8)
+
+
+def _unpack_bits(raw: np.ndarray, m: int, width: int) -> np.ndarray:
+    """The reverse: rows of bytes as rows of ``m`` numbers."""
+    n = len(raw)
+    if width > 16:
+        bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : m * width]
+        packed = np.packbits(bits.reshape(n * m, width), axis=1, bitorder="little")
+        wide = np.zeros((n * m, 4), np.uint8)
+        wide[:, : packed.shape[1]] = packed
+        return wide.view("<u4").reshape(n, m)
+    w = np.uint64(width)
+    wide = np.zeros((n * m // 8, 16), np.uint8)
+    wide[:, :width] = raw.reshape(-1, width)
+    word = wide.view("<u8")
+    low, high = word[:, 0], word[:, 1] if width == 16 else word[:, 0] >> 4 * w | word[:, 1] << (np.uint64(64) - 4 * w)
+    out = np.empty((len(word), 8), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for k in range(4):
+        out[:, k] = low >> np.uint64(k) * w & mask
+        out[:, k + 4] = high >> np.uint64(k) * w & mask
+    return out.reshape(n, m)
+
+
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
     """One segment: header, block starts, blocks.
 
@@ -34,6 +75,8 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> b
     whole difference of each exception.  Width: what ``percentile`` % of the
     block's differences fit in.
     """
+    if block % 8:
+        raise ValueError("a block is a multiple of 8 ids")
     ids = np.asarray(ids, np.uint32)
     n = len(ids)
     count = -(-n // block)
@@ -60,10 +103,7 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> b
     out[at[:, None] + np.arange(7)] = head
     for w in np.unique(width[width > 0]):  # all blocks of one width at once
         rows = np.flatnonzero(width == w)
-        used = -(-int(w) // 8)
-        raw = diff[rows].view(np.uint8).reshape(len(rows) * block, 4)[:, :used]
-        bits = np.unpackbits(raw, axis=1, bitorder="little")[:, :w]
-        body = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        body = _pack_bits(diff[rows], int(w))
         out[at[rows][:, None] + 7 + np.arange(body.shape[1])] = body
     if len(b):
         rank = np.arange(len(b)) - np.concatenate([[0], np.cumsum(exceptions)])[b]
@@ -95,11 +135,7 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
         size = -(-block * int(w) // 8)
-        bits = np.unpackbits(raw[at[rows][:, None] + 7 + np.arange(size)], axis=1, bitorder="little")[:, : block * w]
-        packed = np.packbits(bits.reshape(len(rows) * block, w), axis=1, bitorder="little")
-        wide = np.zeros((len(packed), 4), np.uint8)
-        wide[:, : packed.shape[1]] = packed
-        out[rows] = wide.view("<u4").reshape(len(rows), block)
+        out[rows] = _unpack_bits(raw[at[rows][:, None] + 7 + np.arange(size)], block, int(w))
     for j in np.flatnonzero(exceptions):
         k, p = int(exceptions[j]), int(at[j]) + 7 + -(-block * int(width[j]) // 8)
         out[j, np.frombuffer(data, "<u2", k, p)] = np.frombuffer(data, "<u4", k, p + 2 * k)
@@ -109,18 +145,26 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 
 # --- tokenizer -------------------------------------------------------------------
 
+_MARKS = frozenset(".,;:!?")
+#: The printable stand-ins of byte-level BPE for the bytes 0x80 to 0xFF (the
+#: others of a letter's bytes stand for themselves).
+_STAND_IN = {b: 256 + 34 + k for k, b in enumerate([*range(0x80, 0xA1), 0xAD])}
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    A byte-level BPE cuts before a space that stands alone and around a line
-    break that does, before it merges.  So texts are parted there, and each
-    distinct piece is encoded once and its ids kept (a bounded number); pieces
-    not seen before are encoded together, a line each.  Texts with runs of
-    spaces or line breaks, and those of any other kind of tokenizer, are encoded
-    whole.
+    A byte-level BPE cuts before a space that stands alone, around a line
+    break that does, and between letters and a mark, before it merges.  So texts
+    are parted there, and each distinct piece is encoded once and its ids kept
+    (the first ``pieces`` of them): words of plain letters by the library's BPE
+    model itself, other pieces by its whole pipeline, many lines at a time.
+    Texts with runs of spaces or line breaks, and those of any other kind of
+    tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str, pieces: int = CACHE_PIECES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
@@ -130,51 +174,80 @@ class Encoder:
         self.by_word = (state.startswith("ByteLevel(") and "add_prefix_space=False" in state
                         and self.tok.normalizer is None and len(line) == 1)
         self.line = line[0] if self.by_word else -1
-        self.first: dict[str, bytes] = {}  # pieces at the front of a text
-        self.later: dict[str, bytes] = {}  # pieces after a space, or with a line break instead
+        self.line_data = np.array(line, "<u4").tobytes()
+        self.bare: dict[str, bytes] = {}  # pieces as they are
+        self.spaced: dict[str, bytes] = {}  # pieces after a space, or with a line break instead
+        if self.by_word:
+            self.bare.update(zip(_MARKS, self._whole(list(_MARKS)), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, kept: dict[str, bytes], pieces: set[str], space: str) -> None:
-        new = list(pieces - kept.keys())
-        lone = [w for w in new if "\n" in w]
-        kept.update(zip(lone, self._whole([w if w[0] == "\n" else space + w for w in lone]), strict=True))
-        new = [w for w in new if "\n" not in w] if lone else new
-        if not new:
-            return
-        flat = np.frombuffer(self._whole([space + ("\n" + space).join(new)])[0], "<u4")
-        cuts = np.flatnonzero(flat == self.line)
-        if len(cuts) != len(new) - 1:
-            kept.update(zip(new, self._whole([space + w for w in new]), strict=True))
-            return
-        data, ends = flat.tobytes(), [*(4 * cuts).tolist(), 4 * len(flat)]
-        starts = [0, *(x + 4 for x in ends[:-1])]
-        kept.update(zip(new, (data[i:j] for i, j in zip(starts, ends, strict=True)), strict=True))
+    def _lines(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without a line break, some thousand characters at a time."""
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 500):
+            own = pieces[i:i + 500]
+            data = self._whole(["\n".join(own)])[0]
+            cuts = np.flatnonzero(np.frombuffer(data, "<u4") == self.line)
+            if len(cuts) != len(own) - 1:
+                out += self._whole(own)
+                continue
+            ends = [*(4 * cuts).tolist(), len(data)]
+            out += [data[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
+        return out
+
+    def _learn(self, kept: dict[str, bytes], new: list[str], space: str) -> None:
+        """Add the ids of ``new`` pieces, behind ``space`` each."""
+        merge, lead = self.tok.model.tokenize, "Ġ" if space else ""
+        marked, other = [], []
+        for w in new:
+            if w in kept:
+                continue
+            if w.isalpha() and max(w) < "\u0250":
+                plain = w if w.isascii() else w.encode().decode("latin-1").translate(_STAND_IN)
+                kept[w] = array("I", [t.id for t in merge(lead + plain)]).tobytes()
+            elif w[-1] in _MARKS and w[:-1].isalpha():
+                marked.append(w)
+            else:
+                other.append(w)
+        if marked:
+            self._learn(kept, [w[:-1] for w in marked], space)
+            kept.update([(w, kept[w[:-1]] + self.bare[w[-1]]) for w in marked])
+        if other:
+            if space:
+                first = [w for w in other if w[0] == "\n" and "\n" not in w[1:] and not w[1].isspace()]
+                if first:
+                    self._learn(self.bare, [w[1:] for w in first], "")
+                    kept.update([(w, self.line_data + self.bare[w[1:]]) for w in first])
+                    other = [w for w in other if w not in kept]
+            broken = [w for w in other if "\n" in w]
+            kept.update(zip(broken, self._whole([w if w[0] == "\n" else space + w for w in broken]), strict=True))
+            other = [w for w in other if "\n" not in w]
+            kept.update(zip(other, self._lines([space + w for w in other]), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.first) + len(self.later) > self.pieces:
-            self.first.clear()
-            self.later.clear()
-        cut: list[list[str] | None] = []
-        firsts: set[str] = set()
-        laters: set[str] = set()
+        if not self.by_word:
+            return [np.frombuffer(x, "<u4") for x in self._whole(texts)]
+        full = len(self.spaced) + len(self.bare) >= self.pieces
+        before = len(self.spaced), len(self.bare)
+        out, get = [], self.spaced.get
         for t in texts:
-            pieces = t.replace("\n", " \n").split(" ") if self.by_word else [""]
-            first, own = pieces[0], set(pieces[1:])
-            if "" in own or "\n" in own or first in ("", "\n"):
-                cut.append(None)
+            first, *rest = t.replace("\n", " \n").split(" ")
+            if first in ("", "\n") or "" in rest or "\n" in rest:  # runs of white space, or some at an edge
+                out.append(np.frombuffer(self._whole([t])[0], "<u4"))
                 continue
-            cut.append(pieces)
-            firsts.add(first)
-            laters |= own
-        self._learn(self.first, firsts, "")
-        self._learn(self.later, laters, " ")
-        whole = iter(self._whole([t for t, p in zip(texts, cut, strict=True) if p is None]))
-        get, out = self.later.__getitem__, []
-        for pieces in cut:
-            data = next(whole) if pieces is None else b"".join([self.first[pieces[0]], *map(get, pieces[1:])])
-            out.append(np.frombuffer(data, "<u4"))
+            found = list(map(get, rest))
+            if None in found:
+                self._learn(self.spaced, [w for w, x in zip(rest, found, strict=True) if x is None], " ")
+                found = [get(w) if x is None else x for w, x in zip(rest, found, strict=True)]
+            if first not in self.bare:
+                self._learn(self.bare, [first], "")
+            out.append(np.frombuffer(self.bare[first] + b"".join(found), "<u4"))
+        if full:  # what was seen first is kept; it holds the frequent pieces
+            for kept, n in zip((self.spaced, self.bare), before, strict=True):
+                for _ in range(len(kept) - n):
+                    kept.popitem()
         return out
 
 
@@ -260,24 +333,31 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
 
 def read_tokens(spark, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids (array) from the
-    files of ``write_tokens``; documents are put together from the segments they
-    run through."""
-    return _read(spark, path, "ids array<long>", lambda a: a.astype(np.int64))
+    """doc_id, start (ids of all documents before it), n_tokens, ids (array) from
+    the files of ``write_tokens``; documents are put together from the segments
+    they run through."""
+    pieces = _pieces(spark, path, "ids array<long>", lambda ids, whole: (ids.astype(np.int64),))
+    part = F.col("p.ids")
+    return _glued(pieces, F.flatten(part).alias("ids"), "ids")
 
 
 def token_digest(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files of ``write_tokens``."""
-    out = _read(spark, path, "ids binary", lambda a: a.astype("<u4").tobytes())
-    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").cast("long").alias("ids_crc32"))
+    def digest(ids: np.ndarray, whole: bool) -> tuple:
+        data = ids.astype("<u4").tobytes()
+        return (zlib.crc32(data), None) if whole else (None, data)
+    # what is decoded is a number per document, and the ids of the few that are cut
+    pieces = table(_pieces(spark, path, "ids_crc32 long, ids binary", digest), "pieces")
+    data = F.aggregate("p", F.lit("").cast("binary"), lambda s, x: F.concat(s, x["ids"]))
+    return _glued(pieces, F.crc32(data).cast("long").alias("ids_crc32"), "ids_crc32")
 
 
-def _read(spark, path, column, encode) -> DataFrame:
-    """One row per document: doc_id, start, n_tokens and its ids.
+def _pieces(spark, path: str, columns: str, encode) -> DataFrame:
+    """doc_id, start, n_tokens, seq and ``columns`` of every document, or part of
+    one that runs through several segments (seq: the segment's number, -1 for a
+    whole document).
 
-    A document that lies in one segment is decoded there; of others the pieces
-    are sorted by segment and joined.  What stands before a part is a running
-    sum over one row per part.
+    What stands before a part is a running sum over one row per part.
     """
     files = spark.read.schema(SEGMENT).parquet(path)
     parts = files.groupBy("part").agg(F.sum("ids").alias("_ids"))
@@ -285,38 +365,33 @@ def _read(spark, path, column, encode) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_base"))
     segs = files.join(hinted(parts, 100_000), "part").select(
         (F.col("_base") + F.col("at")).alias("base"), "seq", "open", "doc_ids", "lengths", "first", "data")
-    name = column.split()[0]
+    names = ["doc_id", "start", "n_tokens", "seq", *(c.split()[0] for c in columns.split(", "))]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 ids = unpack(row.data)
-                first, base = int(row.first), int(row.base)
-                keys, starts, lengths, seqs, cut = [], [], [], [], []
+                first, base, out = int(row.first), int(row.base), []
                 if first:  # the rest of a document that began before
-                    keys.append(int(row.open))
-                    starts.append(base)
-                    lengths.append(first)
-                    seqs.append(row.seq)
-                    cut.append(encode(ids[:first]))
+                    out.append((int(row.open), base, first, row.seq, *encode(ids[:first], False)))
                 p = first
-                for k, n in zip(row.doc_ids, row.lengths, strict=True):
+                for key, n in zip(row.doc_ids, row.lengths, strict=True):
                     q = min(p + int(n), len(ids))
-                    keys.append(int(k))
-                    starts.append(base + p)
-                    lengths.append(q - p)
-                    seqs.append(row.seq if q - p < n else -1)  # -1: whole
-                    cut.append(encode(ids[p:q]))
+                    whole = q - p == n
+                    out.append((int(key), base + p, q - p, -1 if whole else row.seq, *encode(ids[p:q], whole)))
                     p = q
-                yield pd.DataFrame({"doc_id": keys, "start": starts, "n_tokens": lengths, "seq": seqs, name: cut})
+                yield pd.DataFrame(out, columns=names)
+
+    types = f"doc_id long, start long, n_tokens long, seq int, {columns}"
+    return segs.mapInPandas(decode, types)
+
 
-    pieces = segs.mapInPandas(
-        decode, f"doc_id long, start long, n_tokens long, seq int, {column}")
-    whole = pieces.filter("seq < 0").drop("seq")
-    order = F.array_sort(F.collect_list(F.struct("seq", "start", "n_tokens", name)))
-    glued = pieces.filter("seq >= 0").groupBy("doc_id").agg(order.alias("p")).select(
+def _glued(pieces: DataFrame, value, name: str) -> DataFrame:
+    """One row per document: those that lie in one segment as they are, of the
+    others the parts sorted by segment."""
+    whole = pieces.filter("seq < 0").select("doc_id", "start", "n_tokens", name)
+    rows = F.array_sort(F.collect_list(F.struct("seq", *(c for c in pieces.columns if c not in ("doc_id", "seq")))))
+    glued = pieces.filter("seq >= 0").groupBy("doc_id").agg(rows.alias("p")).select(
         "doc_id", F.col("p")[0]["start"].alias("start"),
-        F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["n_tokens"]).alias("n_tokens"),
-        (F.flatten(F.col(f"p.{name}")) if name == "ids" and "array" in column else F.expr(
-            "aggregate(p, cast('' as binary), (s, x) -> concat(s, x.ids))")).alias(name))
+        F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["n_tokens"]).alias("n_tokens"), value)
     return whole.unionByName(glued)

@@ -124,13 +124,15 @@ def full_sets(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) with the number of shingles that their full sets share."""
+    """The pairs (a, b) with the sizes of their full sets, the number of shingles
+    that they share, and the shingles that b has beyond a."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = table(full_sets(rows.join(hinted(ids, BROADCAST_IDS), "doc_id", "left_semi"), shingle), "sets")
     both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a"))
-    return both.select("a", "b", F.size("ma").alias("n_a"), F.size("mb").alias("n_b"),
-                       F.size(F.array_intersect("ma", "mb")).alias("common"))
+    both = both.select("a", "b", F.size("ma").alias("n_a"), F.size("mb").alias("n_b"),
+                       F.array_except("mb", "ma").alias("extra"))
+    return both.withColumn("common", F.col("n_b") - F.size("extra"))
 
 
 def linked(common: Column, percent: int) -> Column:
@@ -183,10 +185,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     meets most others over all its buckets.  That puts a group of copies of one
     text together without listing its pairs.  What is then in another component
     than the centre is compared with the bucket's members of other components,
-    unless their sizes, their signatures or what either shares with the centre
-    rule a link out: two sets cannot share more than the lesser of what
-    they share with the centre and the lesser of what they do not.  A pair is
-    listed in one of the buckets it shares.  Every comparison is on full sets.  So
+    unless their sizes, their signatures or the centre rule a link out: two
+    sets cannot share more than the lesser of what each shares with the centre
+    and what they share beyond it.  A pair is listed in one of the buckets it
+    shares.  Every comparison is on full sets.  So
     no pair within a component is listed, and none across two that could be a
     link is left out.
 
@@ -198,22 +200,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     longs = -(-chunks * width // 8)
     rows = one_per_id(docs, "doc_id", ["text"])
     seen = table(describe(rows, shingle, chunks, width, errors), "described")
-    classes = seen.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # small tables of their own, so that Spark splits the joins where a group is hot
+    classes = table(seen.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     member = table(seen.filter("n > 0").select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"])
                    .select("doc_id", "rep"), "members")
     reps = member.filter("doc_id = rep").select("doc_id")
-    known = table(seen.join(reps, "doc_id", "left_semi").select("doc_id", "n", "sig", "keys"), "known")
-
-    index = table(known.select(F.posexplode("keys").alias("k", "key"), F.col("doc_id").alias("id")), "index")
-    shared = index.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    size = table(seen.select("doc_id", "n", "sig").join(reps, "doc_id", "left_semi"), "sizes")
+    index = table(seen.select("doc_id", "keys").join(reps, "doc_id", "left_semi")
+                  .select(F.posexplode("keys").alias("k", "key"), F.col("doc_id").alias("id")), "index")
+    shared = table(index.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
     near = table(index.join(shared, "key"), "near")
     meets = near.groupBy("id").agg(F.sum("m").alias("met"))
     near = near.join(meets, "id").select("key", "k", "id", F.struct("met", (-F.col("id")).alias("id")).alias("rank"))
-    centre = near.groupBy("key").agg((-F.max("rank")["id"]).alias("centre"))
+    centre = table(near.groupBy("key").agg((-F.max("rank")["id"]).alias("centre")), "centres")
     placed = table(near.drop("rank").join(centre, "key"), "placed")
     stars = placed.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
 
-    size = known.select("doc_id", "n", "sig")
     a = size.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     b = size.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     stars = stars.join(a, "a").join(b, "b").filter(_alike(percent, distance, longs)).select("a", "b")
@@ -221,27 +223,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     links = tested.filter(linked(F.col("common"), percent)).select("a", "b")
     comp = components(links)
 
-    # what each member of a bucket shares with its centre; null if that was ruled out
-    with_centre = tested.select(F.col("a").alias("centre"), F.col("b").alias("id"), "common")
+    # what each member of a bucket shares with its centre, and has beyond it; null if that was ruled out
+    with_centre = tested.select(F.col("a").alias("centre"), F.col("b").alias("id"), "common", "extra")
     home = comp.select(F.col("id").alias("centre"), F.col("comp").alias("home"))
     there = (placed.join(comp, "id", "left").join(home, "centre", "left")
              .withColumn("comp", F.coalesce("comp", "id")).withColumn("home", F.coalesce("home", "centre")))
     strays = there.filter("comp <> home")
     there = table(there.join(strays.select("key").distinct(), "key", "left_semi")
                   .join(with_centre, ["centre", "id"], "left")
-                  .join(known.withColumnRenamed("doc_id", "id"), "id")
-                  .withColumn("common", F.when(F.col("id") == F.col("centre"), F.col("n")).otherwise(F.col("common"))), "there")
-    cols = ("id", "comp", "n", "sig", "keys", "common")
+                  .join(seen.select(F.col("doc_id").alias("id"), "n", "sig", "keys"), "id")
+                  .withColumn("common", F.when(F.col("id") == F.col("centre"), F.col("n")).otherwise(F.col("common")))
+                  .withColumn("extra", F.when(F.col("id") == F.col("centre"), F.array().cast("array<long>"))
+                              .otherwise(F.col("extra"))), "there")
+    cols = ("id", "comp", "n", "sig", "keys", "common", "extra")
     x = there.filter("comp <> home").select("key", "k", *(F.col(c).alias(f"{c}_a") for c in cols))
     y = there.select(F.col("key").alias("key_b"), (F.col("comp") == F.col("home")).alias("at_home"),
                      *(F.col(c).alias(f"{c}_b") for c in cols))
-    most = (F.least("common_a", "common_b")
-            + F.least(F.col("n_a") - F.col("common_a"), F.col("n_b") - F.col("common_b")))
-    possible = F.col("common_a").isNull() | F.col("common_b").isNull() | linked(most, percent)
+    unknown = F.col("common_a").isNull() | F.col("common_b").isNull()
+    inside = F.least("common_a", "common_b")
+    outside = F.least(F.col("n_a") - F.col("common_a"), F.col("n_b") - F.col("common_b"))
+    possible = unknown | linked(inside + outside, percent)
+    likely = unknown | linked(inside + F.size(F.array_intersect("extra_a", "extra_b")), percent)
     # the first key that both have is this bucket's
     once = F.expr("not exists(slice(zip_with(keys_a, keys_b, (p, q) -> p = q), 1, k), e -> e)")
     across = ((F.col("comp_a") != F.col("comp_b")) & (F.col("at_home") | (F.col("id_a") < F.col("id_b")))
-              & possible & _alike(percent, distance, longs) & once)
+              & possible & _alike(percent, distance, longs) & once & likely)
     other = x.join(y, (F.col("key") == F.col("key_b")) & across).select(
         F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
     other = table(other.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"],

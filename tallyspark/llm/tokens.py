@@ -7,6 +7,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ END_ID = 2
 #: Ids a segment of a file holds before the next begins.
 SEGMENT_IDS = 1 << 18
 #: Distinct pieces whose ids a worker keeps.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 700_000
 MAGIC = b"TPF1"
 
 # --- patched frame of reference ------------------------------------------------
@@ -145,7 +146,6 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 
 # --- tokenizer -------------------------------------------------------------------
 
-_MARKS = frozenset(".,;:!?")
 #: The printable stand-ins of byte-level BPE for the bytes 0x80 to 0xFF (the
 #: others of a letter's bytes stand for themselves).
 _STAND_IN = {b: 256 + 34 + k for k, b in enumerate([*range(0x80, 0xA1), 0xAD])}
@@ -155,7 +155,7 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     A byte-level BPE cuts before a space that stands alone, around a line
-    break that does, and between letters and a mark, before it merges.  So texts
+    break that does, and between letters and marks, before it merges.  So texts
     are parted there, and each distinct piece is encoded once and its ids kept
     (the first ``pieces`` of them): words of plain letters by the library's BPE
     model itself, other pieces by its whole pipeline, many lines at a time.
@@ -177,8 +177,6 @@ class Encoder:
         self.line_data = np.array(line, "<u4").tobytes()
         self.bare: dict[str, bytes] = {}  # pieces as they are
         self.spaced: dict[str, bytes] = {}  # pieces after a space, or with a line break instead
-        if self.by_word:
-            self.bare.update(zip(_MARKS, self._whole(list(_MARKS)), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -204,16 +202,19 @@ class Encoder:
         for w in new:
             if w in kept:
                 continue
-            if w.isalpha() and max(w) < "\u0250":
+            if w.isalpha() and (w.isascii() or max(w) < "\u0250"):
                 plain = w if w.isascii() else w.encode().decode("latin-1").translate(_STAND_IN)
                 kept[w] = array("I", [t.id for t in merge(lead + plain)]).tobytes()
-            elif w[-1] in _MARKS and w[:-1].isalpha():
-                marked.append(w)
+                continue
+            letters = w.rstrip(punctuation)
+            if letters and len(letters) < len(w) and letters.isalpha():
+                marked.append((w, letters, w[len(letters):]))
             else:
                 other.append(w)
         if marked:
-            self._learn(kept, [w[:-1] for w in marked], space)
-            kept.update([(w, kept[w[:-1]] + self.bare[w[-1]]) for w in marked])
+            self._learn(kept, [x[1] for x in marked], space)
+            self._learn(self.bare, [x[2] for x in marked if x[2] not in self.bare], "")
+            kept.update([(w, kept[letters] + self.bare[marks]) for w, letters, marks in marked])
         if other:
             if space:
                 first = [w for w in other if w[0] == "\n" and "\n" not in w[1:] and not w[1].isspace()]
@@ -239,8 +240,13 @@ class Encoder:
                 continue
             found = list(map(get, rest))
             if None in found:
-                self._learn(self.spaced, [w for w, x in zip(rest, found, strict=True) if x is None], " ")
-                found = [get(w) if x is None else x for w, x in zip(rest, found, strict=True)]
+                gaps, i = [], -1
+                for _ in range(found.count(None)):
+                    i = found.index(None, i + 1)
+                    gaps.append(i)
+                self._learn(self.spaced, [rest[i] for i in gaps], " ")
+                for i in gaps:
+                    found[i] = get(rest[i])
             if first not in self.bare:
                 self._learn(self.bare, [first], "")
             out.append(np.frombuffer(self.bare[first] + b"".join(found), "<u4"))

@@ -352,12 +352,19 @@ def _by_window_hash(segments: DataFrame, length: int) -> DataFrame:
     counted, so no task holds all segments of an anchor."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for key, h, data in zip(b["key"].tolist(), b["hash"].tolist(), b["bytes"], strict=True):
-                sums, inverse = _sums(np.frombuffer(data, np.uint8))
-                n = len(data) - length + 1
-                yield pd.DataFrame({"key": key, "hash": h, "lo": np.arange(n, dtype=np.int32),
-                                    "window": _hash(sums, inverse, np.arange(n), length).view(np.int64)})
-    windows = segments.mapInPandas(run, "key long, hash long, lo int, window long")
+            sizes = b["bytes"].map(len).to_numpy()
+            group = np.cumsum(sizes) // SLICE
+            for g in np.unique(group):
+                rows = np.flatnonzero(group == g)
+                buf = np.frombuffer(b"".join(b["bytes"].iloc[rows]), np.uint8)
+                sums, inverse = _sums(buf)
+                count = sizes[rows] - length + 1
+                lo = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                at = np.repeat(np.cumsum(sizes[rows]) - sizes[rows], count) + lo
+                yield pd.DataFrame({"key": np.repeat(b["key"].to_numpy()[rows], count),
+                                    "hash": np.repeat(b["hash"].to_numpy()[rows], count), "lo": lo.astype(np.int32),
+                                    "window": _hash(sums, inverse, at, length).view(np.int64)})
+    windows = table(segments.mapInPandas(run, "key long, hash long, lo int, window long"), "windows")
     twice = windows.groupBy("key", "window").count().filter("count > 1").drop("count")
     return windows.join(twice, ["key", "window"], "left_semi").select("key", "hash", "lo", F.col("lo").alias("hi"))
 
@@ -375,7 +382,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     """
     rows = one_per_id(docs, "doc_id", ["text"]).filter("text is not null")
     found = table(anchors(rows, length, anchor), "anchors")
-    again = found.groupBy("key").count().filter("count > 1").drop("count")
+    # a table of its own, so that Spark splits the join where an anchor is hot
+    again = table(found.groupBy("key").count().filter("count > 1").drop("count"), "again")
     member = table(found.join(again, "key", "left_semi"), "repeated_anchors")
     classes = table(member.groupBy("key", "hash").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "windows")).alias("one")), "classes")
@@ -384,10 +392,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     few, crowd = open_.filter(F.col("m") <= CROWD).drop("m"), open_.filter(F.col("m") > CROWD).drop("m")
     ranges = _by_suffix_array(_cut(rows, few, length), length)
     if not crowd.isEmpty():
-        ranges = ranges.unionByName(_by_window_hash(table(_cut(rows, crowd, length), "crowd"), length))
+        ranges = ranges.unionByName(_by_window_hash(_cut(rows, crowd, length), length))
     per = table(ranges, "ranges").groupBy("key", "hash").agg(F.collect_list(F.struct("lo", "hi")).alias("part"))
-    known = classes.join(per, ["key", "hash"], "left").filter("n > 1 or part is not null").select(
-        "key", "hash", F.when(F.col("n") == 1, F.col("part")).alias("part"))
+    known = table(classes.join(per, ["key", "hash"], "left").filter("n > 1 or part is not null").select(
+        "key", "hash", F.when(F.col("n") == 1, F.col("part")).alias("part")), "known")
     places = member.join(known, ["key", "hash"]).select("doc_id", "first", F.explode(F.coalesce(
         "part", F.array(F.struct(F.lit(0).alias("lo"), (F.col("windows") - 1).alias("hi"))))).alias("r"))
     places = places.select("doc_id", F.struct((F.col("first") + F.col("r.lo")).alias("lo"),

@@ -159,14 +159,17 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, n_features: int =
     return OrdinalModel(vocabulary, w, theta)
 
 
-def binary_grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, grade from binary toxic labels: 0 for a clean text; toxic
-    ones are grade 1 or 2 as the share of their words that mark toxic texts is
-    below the median of all toxic ones or not.  Marking words stand in at least
-    ``MIN_TEXTS`` toxic texts and in no clean one.  A document labelled
-    more than once counts by its highest label; null labels do not count."""
+def binary_grades(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """doc_id, text, grade of at most ``max_labelled`` documents with binary
+    toxic labels (smallest hashes of the id): 0 for a clean text; toxic ones are
+    grade 1 or 2 as the share of their words that mark toxic texts is below the
+    median of the toxic ones or not.  Marking words stand in at least
+    ``MIN_TEXTS`` toxic texts and in no clean one.  A document labelled more than
+    once counts by its highest label; null labels do not count."""
     label = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = table(one_per_id(docs, "doc_id", ["text"]).join(label, "doc_id"), "labelled_texts")
+    label = label.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    label = table(label.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_labelled), "labels")
+    rows = table(one_per_id(docs, "doc_id", ["text"]).join(F.broadcast(label), "doc_id"), "labelled_texts")
     words = rows.select("doc_id", "toxic", F.explode(F.regexp_extract_all(F.lower(whole_text()), F.lit(r"\p{L}++"), F.lit(0))).alias("w"))
     marking = (words.groupBy("w").agg(F.countDistinct(F.when(F.col("toxic") > 0, F.col("doc_id"))).alias("bad"),
                                       F.max(F.expr("int(toxic = 0)")).alias("good"))

@@ -54,8 +54,8 @@ def rank_flags(df: DataFrame, key_cols: list[str], seed, cuts, group_cols: list[
     g = given or ["_g"]
     shift = 32 - bucket_bits
     base = df.withColumn("_h", order_hash(key_cols, seed)).withColumn("_b", F.shiftright("_h", shift))
-    if not given:
-        base = base.withColumn("_g", F.lit(0))
+    if not given:  # 0, but no literal: the broadcast of the cut stays a hash join
+        base = base.withColumn("_g", F.shiftright("_h", 32))
     counts = base.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wg = Window.partitionBy(*g)
     w = wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,7 +16,7 @@ LENGTH = 200
 #: Bytes of an anchor: every window's anchor is the least of its strings of that length, by hash.
 ANCHOR = 48
 #: Bytes hashed at once, and bytes of a suffix array.
-SLICE, SHARD = 1 << 19, 1 << 21
+SLICE, SHARD = 1 << 18, 1 << 20
 #: Different segments round one anchor beyond which their windows are counted
 #: by hash instead, spread over all tasks.
 CROWD = 4096

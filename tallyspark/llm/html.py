@@ -26,8 +26,15 @@ CLOSES = {
     "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
-    **{k: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}) for k in ("thead", "tbody", "tfoot")},
+    **{k: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"})
+       for k in ("thead", "tbody", "tfoot", "caption", "colgroup", "col")},
 }
+#: Elements that hold parts of a table only; what else stands there goes before the table.
+FRAME = frozenset("table thead tbody tfoot tr".split())
+PARTS = FRAME - {"table"} | {"td", "th", "caption", "colgroup", "col"}
+#: Where a search for the table around ends.
+APART = frozenset("td th caption template noscript svg math".split())
+UNSEEN = frozenset("script style template noscript".split())
 #: Start tags that end an open paragraph.
 ENDS_P = BLOCK - {"body", "html", "tr", "thead", "tbody", "tfoot", "caption", "legend"} | {"hr"}
 SCOPE = frozenset("table td th caption button object html".split())
@@ -54,7 +61,9 @@ class Node:
 
 def parse(html: str) -> Node:
     """The document's tree; start and end tags that HTML lets authors leave out
-    are implied, what is never closed ends with its parent."""
+    are implied, what is never closed ends with its parent.  A table's part ends
+    all but the table's frame (a form or link round a cell), and what stands in
+    the frame itself goes before the table, as in browsers."""
     root = Node("html")
     stack = [root]
 
@@ -67,23 +76,51 @@ def parse(html: str) -> Node:
                 return False
         return False
 
+    def around() -> int:
+        """Place of the table whose frame is the open element; 0 if none."""
+        if stack[-1].name in FRAME:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name == "table":
+                    return i
+                if stack[i].name in APART:
+                    break
+        return 0
+
+    gap = False  # a part of a table began or ended since something went before it
+
+    def add(kid: Node | str) -> None:
+        nonlocal gap
+        text = isinstance(kid, str)
+        blank = text and not kid.strip(" \t\n\f\r")
+        if stack[-1].name == "colgroup" and not blank and (text or kid.name not in ("col", "template")):
+            stack.pop()
+        i = 0 if not text and (kid.name in PARTS or kid.name in UNSEEN) else around()
+        if not i:
+            stack[-1].kids.append(kid)
+        elif blank:
+            gap = True
+        else:
+            stack[i - 1].kids[-1:-1] = [" ", kid] if gap else [kid]  # the table is the last
+            gap = False
+
     at = 0
     while at < len(html):
         m = _TOKEN.search(html, at)
         if m is None:
-            stack[-1].kids.append(unescape(html[at:]))
+            add(unescape(html[at:]))
             break
         if m.start() > at:
-            stack[-1].kids.append(unescape(html[at:m.start()]))
+            add(unescape(html[at:m.start()]))
         at = m.end()
         if not m[2]:
             continue
         name = m[2].lower()
         if m[1]:
+            gap = gap or name in PARTS
             if name == "br":
-                stack[-1].kids.append(Node("br"))
+                add(Node("br"))
             elif name == "p" and not any(n.name == "p" for n in stack):
-                stack[-1].kids.append(Node("p"))
+                add(Node("p"))
             elif name not in ("html", "body"):
                 pop_to({name}, {"table"} if name not in ("table", "html") else ())
             continue
@@ -98,6 +135,16 @@ def parse(html: str) -> Node:
             stack.pop()
         if name in ENDS_P:
             pop_to({"p"}, SCOPE)
+        if name == "table":
+            gap = True
+            pop_to({"table"}, APART)
+        elif name in PARTS:
+            gap = True
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name in FRAME:
+                    del stack[i + 1:]
+                if stack[i].name in FRAME or stack[i].name in APART:
+                    break
         if name in CLOSES:
             for _ in range(3):
                 if not pop_to(*CLOSES[name]):
@@ -107,7 +154,10 @@ def parse(html: str) -> Node:
             stack[-1].kids.append(row)
             stack.append(row)
         node = Node(name, attrs)
-        stack[-1].kids.append(node)
+        if name == "form" and around():  # holds nothing there
+            gap = True
+            continue
+        add(node)
         if name in VOID:
             continue
         if name in RAW:
@@ -172,7 +222,8 @@ class _Page:
 
 
 def _table_rows(node: Node) -> tuple[list[list[Node]], list[Node]]:
-    rows, other, todo = [], [], [k for k in node.kids]
+    """Rows of cells, and captions; the parser leaves no other text in a table's frame."""
+    rows, captions, todo = [], [], [k for k in node.kids]
     todo.reverse()
     while todo:
         k = todo.pop()
@@ -182,9 +233,9 @@ def _table_rows(node: Node) -> tuple[list[list[Node]], list[Node]]:
             rows.append([c for c in k.kids if isinstance(c, Node) and c.name in ("td", "th") and not c.hidden])
         elif k.name in ("thead", "tbody", "tfoot"):
             todo.extend(reversed(k.kids))
-        elif k.name not in ("colgroup", "col"):
-            other.append(k)
-    return rows, other
+        elif k.name == "caption":
+            captions.append(k)
+    return rows, captions
 
 
 def _span(cell: Node) -> int:
@@ -195,12 +246,9 @@ def _span(cell: Node) -> int:
 def _table(page: _Page, node: Node) -> None:
     """Rows with their cells padded to the width of their column; a cell of
     several lines goes on below, a spanning cell takes its columns together."""
-    rows, other = _table_rows(node)
-    loose = [k for k in node.kids if isinstance(k, str) and k.strip()]
-    for t in loose:
-        page.text(t, False)
+    rows, captions = _table_rows(node)
     page.line(2)
-    for k in other:
+    for k in captions:
         _walk(page, k)
         page.line()
     cells = [[(render(c).split("\n"), _span(c), c.attrs.get("align", "").lower()) for c in row] for row in rows]

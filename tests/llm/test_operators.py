@@ -393,6 +393,22 @@ def test_html(page, text):
     assert html.html_to_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<table><tr><form><td>a</td><td>b</td></form></tr><tr><td>ccc<td>d</table>z", "a    b\nccc  d\n\nz"),
+    ("<table><tr><a href=x><td>a</a><td>b</table>", "a  b"), ("<table><form><tr><td>a<td>b</form></table>", "a  b"),
+    ("x<table><tr>bare<td>a<tr>more <b>bold</b>er<td>b</table>", "x bare more bolder\n\na\nb"),
+    ("<table><tbody>body<tr><div>d1</div><td>a<div>in</div></td><div>d2</div></tr>tail</tbody></table>",
+     "body\nd1\nd2\ntail\n\na\nin"),
+    ("<table><colgroup><col><tr><td>a<tr><form hidden>f<td>b</table>", "f\n\na\nb"),
+    ("<table><tr><caption>c</caption><td>a</table>", "c\na"), ("<table><tr><td>a<table><tr><td>b</table><td>c</table>", "a  c\nb"),
+    ("<table><tr><td>a<tr><table><tr><td>b</table>c", "a\n\nb\n\nc"), ("<tr><b>a</b> <b>b</b>", "a b"),
+    ("<table><tr><template><td>no</template><td>a<tr hidden><td>no</table>", "a"), ("<table>" * 600 + "x", "x"),
+    ("<table><tr hidden>f<td>no</table>", "f"),
+])
+def test_html_keeps_what_stands_between_cells(page, text):
+    assert html.html_to_text(page) == text
+
+
 def test_html_pages(spark):
     r = random.Random(2)
     bits = ["<p>", "</p>", "<div>", "</div>", "<table>", "</table>", "<tr>", "<td>", "x", "y ", "<li>", "<ul>", "</ul>", "<b", "<!--",

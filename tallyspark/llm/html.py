@@ -92,6 +92,8 @@ def parse(html: str) -> Node:
         nonlocal gap
         text = isinstance(kid, str)
         blank = text and not kid.strip(" \t\n\f\r")
+        if stack[-1].name == "head" and not blank and (text or kid.name not in HEAD_ONLY):
+            stack.pop()
         if stack[-1].name == "colgroup" and not blank and (text or kid.name not in ("col", "template")):
             stack.pop()
         i = 0 if not text and (kid.name in PARTS or kid.name in UNSEEN) else around()

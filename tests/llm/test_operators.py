@@ -409,6 +409,15 @@ def test_html_keeps_what_stands_between_cells(page, text):
     assert html.html_to_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<head><title>t</title>Visible text<p>more", "Visible text\n\nmore"), ("<html><head>\n <title>t</title>\nbare &amp; text", "bare & text"),
+    ("<head><meta name=x> a <link rel=y> b", "a b"), ("<head>&nbsp;x", "\xa0x"), ("<head>\n<style>no</style>\n</head>\ny", "y"),
+    ("<head><noscript>no</noscript><template>no</template></br>x", "x"), ("a<head>b", "ab"),
+])
+def test_html_text_ends_an_open_head(page, text):
+    assert html.html_to_text(page) == text
+
+
 def test_html_pages(spark):
     r = random.Random(2)
     bits = ["<p>", "</p>", "<div>", "</div>", "<table>", "</table>", "<tr>", "<td>", "x", "y ", "<li>", "<ul>", "</ul>", "<b", "<!--",

@@ -43,9 +43,15 @@ HEAD_ONLY = frozenset("base link meta title style script noscript template".spli
 #: Elements nested deeper stand beside what they would stand in, as in browsers.
 DEPTH = 512
 
+#: An attribute: a name, and after "=" a value in quotes or up to white space or
+#: the tag's end.  Anywhere else a quote is a character like others; one that is
+#: never closed is part of an unquoted value.
+_NAME = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
+_VALUE = r"[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"{0}\"|'{1}'|{2})"
 _TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|" + _NAME + "(?:"
+    + _VALUE.format('[^"]*+', "[^']*+", r"[^ \t\n\f\r>]++") + r")?+)*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
+_ATTR = re.compile(f"({_NAME})(?:" + _VALUE.format('([^"]*+)', "([^']*+)", r"([^ \t\n\f\r>]++)") + ")?+")
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 
 

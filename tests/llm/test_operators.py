@@ -418,6 +418,17 @@ def test_html_text_ends_an_open_head(page, text):
     assert html.html_to_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<a href=x title=it's>link</a><p>lost words</p><p>don't stop</p>", "link\n\nlost words\n\ndon't stop"),
+    ("<p class='it's hidden'>a</p>b 'c'", "a\n\nb 'c'"), ('<p x="1"">a</p><p>"b"</p>', 'a\n\n"b"'), ('<p "x>a</p>"b"', 'a\n\n"b"'),
+    ("<i title = 'a>b' id=\"c>d\">e</i>", "e"), ('<p id="x>a</p>b', "a\n\nb"), ("<td align=right' x=a'b>y</td>'z'", "y'z'"),
+    ("<p style='display: none'>no</p><p style=display:none>no</p><p hidden>no</p><p title=hidden data-x=\"hidden\">a</p>", "a"),
+    ("<a href=/x/y/>a</a><br/><img alt=b/><img alt = 'c' />", "a\nb/c"), ("</p title='>'>a<p =''>b", "a\n\nb"), ("a <b", "a <b"),
+])
+def test_html_quotes_open_values_only(page, text):
+    assert html.html_to_text(page) == text
+
+
 def test_html_pages(spark):
     r = random.Random(2)
     bits = ["<p>", "</p>", "<div>", "</div>", "<table>", "</table>", "<tr>", "<td>", "x", "y ", "<li>", "<ul>", "</ul>", "<b", "<!--",

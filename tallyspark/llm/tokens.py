@@ -152,7 +152,8 @@ _STAND_IN = {b: 256 + 34 + k for k, b in enumerate([*range(0x80, 0xA1), 0xAD])}
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library.
+    """Ids of whole texts by the tokenizers library, special tokens' strings in a
+    text as ordinary text (``encode_special_tokens``, as public_tokenizers says).
 
     A byte-level BPE cuts before a space that stands alone, around a line
     break that does, and between letters and marks, before it merges.  So texts

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tallyspark.llm import decontam, exact, html, langid, minhash, mixing, pii, suffix, tokens, toxicity
 from tests.llm import brute
@@ -220,6 +221,15 @@ def test_encoder_equals_the_library():
         assert [x.tolist() for x in enc.encode(texts[i:i + 500])] == want[i:i + 500]
 
 
+def test_special_tokens_in_a_text_are_ordinary_text():
+    lib = Tokenizer.from_file(PATH)
+    lib.encode_special_tokens = True  # as the README of public_tokenizers
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>b", " \n<|endoftext|> x", "<|endof text|>", "plain words, here"]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [3826, 1279, 91, 437, 1659, 5239, 91, 29, 994]
+    assert [x.tolist() for x in tokens.Encoder(PATH).encode(texts)] == want
+
+
 def test_token_files(spark, docs, none, tmp_path):
     lib = tokens.Encoder(PATH).tok
     giant = (10_000, "ab cd " * 150_000 + "end", "en", "a", 1)  # several segments long

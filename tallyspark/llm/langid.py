@@ -74,14 +74,18 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
 
 
 def project(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
-    """(len(texts), models): mean weight of each text's n-grams.
-    ``weights``: (2^BITS, models)."""
+    """(len(texts), models): mean weight of each text's n-grams, those of
+    ``histograms`` whatever texts stand beside it.  ``weights``: (2^BITS, models)."""
     out = np.zeros((len(texts), weights.shape[1]))
     size = np.zeros(len(texts))
     for data, at, who in _slices(texts):
-        total = weights[_grams(data)].sum(0) if weights.shape[1] > 1 else weights[:, 0][_grams(data)].sum(0)[:, None]
+        grams, ends = _grams(data), np.r_[at[1:], len(data)]
+        for back in range(1, ORDERS):  # nor does a gram run over into the next text
+            last = ends - back
+            grams[back:, last[last >= at]] = 0
+        total = weights[grams].sum(0) if weights.shape[1] > 1 else weights[:, 0][grams].sum(0)[:, None]
         np.add.at(out, who, np.add.reduceat(total, at, axis=0))
-        np.add.at(size, who, ORDERS * np.diff(np.r_[at, len(data)]))
+        np.add.at(size, who, ORDERS * (ends - at))
     return out / np.maximum(size, 1)[:, None]
 
 

@@ -386,6 +386,17 @@ def test_languages(spark, docs, none):
     assert {r["lang_pred"] for r in langid.identify(docs, one).collect()} == {"und", "en"}
 
 
+def test_language_features_are_the_text_s_own():
+    r = np.random.default_rng(2)
+    texts = ["le", "a", None, "the", "le", "", "x", "Straße 1", "le", "la ñ " * 70_000, "the", "le"]
+    for models in (1, 4):
+        weights = r.normal(size=(1 << langid.BITS, models)).astype(np.float32)
+        got = langid.project(texts, weights)
+        assert (got[[0, 4, 8, 11]] == got[0]).all() and (got[3] == got[10]).all()
+        assert all((langid.project([t], weights)[0] == x).all() for t, x in zip(texts, got, strict=True))
+        assert np.allclose(got, langid.histograms(texts) @ weights, atol=1e-4)  # what the machines are fitted on
+
+
 PAGES = [
     ("<p>a<p>b <b>c</b>  d", "a\n\nb c d"), ("x<br>y<br><br>z", "x\ny\n\nz"),
     ("<ul><li>x<li>y<ol start=3><li>1<li>2</ol></ul>after", "- x\n- y\n  3. 1\n  4. 2\n\nafter"),

@@ -18,7 +18,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20\-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9\-]+[0-9]",
     "id": r"(?=[0-9A-Z])(?<![A-Za-z0-9\-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+)(?![A-Za-z0-9\-])",
-    "secret": r"(?=[PpSsTtAa])(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_\-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9_+/\-]{8,128}+",
+    "secret": r"(?=[PpSsTtAa])(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_\-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9_+/\-]{8,}+",
     "person": r"(?=[NnMDHFS])(?<!\p{L})(?:[Nn]ame is|Mrs?\.?|Ms\.?|Dr\.?|Herr|Frau|Monsieur|Madame|Señora?)"
               r"\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+){0,2}",
 }

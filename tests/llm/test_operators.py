@@ -194,6 +194,17 @@ def test_exact_duplicates(spark, docs, none):
     assert exact.exact_dedup(none).count() == 0
 
 
+def test_secrets_end_where_their_value_ends(spark):
+    sizes = [7, 8, 127, 128, 129, 600, 300_000]
+    texts = [f"my token = '{'aB3_' * (n // 4)}{'x' * (n % 4)}' and more" for n in sizes]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    secret = pii.KINDS.index("secret")
+    got = {r["doc_id"]: (r["start"], r["end"]) for r in pii.candidates(rows).filter(F.col("kind") == secret).collect()}
+    assert got == {i: (3, 12 + n) for i, n in enumerate(sizes) if n >= 8}
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(rows).collect()}
+    assert found[5] == ["secret:3:612"] and found[6] == ["secret:3:300012"]
+
+
 def test_token_blocks_round_trip():
     r = np.random.default_rng(0)
     for n in (0, 1, 127, 128, 129, 3000):

@@ -84,7 +84,7 @@ def candidates(rare: DataFrame, index: DataFrame, rarest: int = RAREST, slop: in
     def at(k):
         return hinted(rare.filter(F.col("k") == k).select("phrase", "term", "off"), BROADCAST_ROWS)
     found = (index.join(hinted(rare.filter("k = 1"), BROADCAST_ROWS), "term")
-             .select("phrase", "n", "doc_id", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0"))
+             .select("phrase", "n", "doc_id", (F.col("pos") - F.col("off")).alias("start")).filter(F.col("start") >= -slop))
     for k in range(2, rarest + 1):
         asked = found.join(at(k), "phrase", "left")
         near = asked.withColumn("pos", F.explode(F.sequence(F.col("start") + F.coalesce("off", F.lit(0)) - slop,
@@ -98,12 +98,21 @@ def candidates(rare: DataFrame, index: DataFrame, rarest: int = RAREST, slop: in
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, window: int = WINDOW,
                       rarest: int = RAREST) -> DataFrame:
-    """phrase, doc_id, start: places where the rarest terms of a benchmark
-    window stand within ``slop`` words of their offsets."""
+    """phrase, doc_id, start: places where all terms of a benchmark window stand
+    within ``slop`` words of their offsets.  The rarest terms' postings give the
+    places; the others are looked for in the document's own words."""
     rows = one_per_id(docs, "doc_id", ["text"]).withColumn("text", whole_text())
     rare = table(rare_terms(phrases(items, window), rows, rarest), "rare")
     index = table(postings(rows, rare.select("term").distinct()), "postings")
-    return candidates(rare, index, rarest, slop).select("phrase", "doc_id", "start").distinct()
+    found = candidates(rare, index, rarest, slop).distinct().withColumn("terms", F.split("phrase", " "))
+    by_doc = table(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "phrase", "terms")).alias("found")), "found")
+    ids = hinted(by_doc.select("doc_id"), BROADCAST_ROWS)
+    words = rows.join(ids, "doc_id", "left_semi").select("doc_id", pieces(F.col("text")).alias("words")).join(by_doc, "doc_id")
+    first, last = f"greatest(f.start + i - {slop}, 0)", f"f.start + i + {slop}"
+    near = F.expr("filter(found, f -> forall(sequence(0, size(f.terms) - 1), i -> "
+                  f"array_contains(slice(words, {first} + 1, greatest({last} - {first} + 1, 0)), f.terms[i])))")
+    return words.select("doc_id", F.explode(near).alias("f")).select(
+        "f.phrase", "doc_id", F.greatest("f.start", F.lit(0)).alias("start")).distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST,

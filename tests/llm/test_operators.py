@@ -327,6 +327,21 @@ def test_decontamination(spark, docs, none):
     assert {x["phrase"] for x in near} == {"w3 w4 w5"}
 
 
+def test_proximity_asks_for_every_term(spark):
+    w = [f"t{i}" for i in range(13)]
+    texts = [" ".join(w), " ".join([*w[:6], "x", "y", *w[6:]]),  # as it is, and with two words between
+             " ".join(t if i in (0, 1, 2, 10, 11, 12) else "x" for i, t in enumerate(w)),  # half of it
+             ". " + " ".join([*w[:4], *w[5:]]), " ".join([w[1], w[0], *w[2:]]), " ".join(["x"] * 4 + [*w[:6], *["y"] * 9, *w[6:]]),
+             "z " + " ".join([*w[:12], w[12] + "s"]), "t12 " * 30 + "t11 " * 30, "", " ".join([*w[8:], *w[:8]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(w)), (2, "z t0 t1")], "item_id long, text string")
+    for slop in (0, 1, 3):
+        got = {(r["doc_id"], r["phrase"]) for r in decontam.proximity_matches(docs, items, slop=slop).collect()}
+        assert (0, " ".join(w)) in got and (6, "z t0 t1") in got
+        assert not {i for i, p in got if p == " ".join(w)} & {2, 3, 5, 6, 7, 8, 9}
+        assert ((1, " ".join(w)) in got) == (slop >= 2) and ((4, " ".join(w)) in got) == (slop >= 1)
+
+
 def labelled(spark, n=300):
     r = random.Random(7)
     bad, words = ["vile", "scumbag", "nasty"], [f"w{i}" for i in range(200)]

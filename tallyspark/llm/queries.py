@@ -3,11 +3,24 @@ their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontam, exact, html, langid, minhash, mixing, pii, suffix, tokens, toxicity
+from tallyspark.llm import (
+    crosstoken,
+    decontam,
+    divergence,
+    exact,
+    html,
+    langid,
+    minhash,
+    mixing,
+    pii,
+    subspace,
+    suffix,
+    tokens,
+    toxicity,
+)
 from tallyspark.llm.common import LOWER, UPPER, read, scratch_path
 
 QUERIES: dict = {}
@@ -23,8 +36,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def tokenizer_path() -> str:
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
 
 
 @query("op1_pii")
@@ -164,3 +178,47 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = crosstoken.align_tokens(read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"),
+                                       keep_groups=False)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op12_source_divergence", sql=rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                               '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+c AS (SELECT g.lang, g.source, term, coalesce(n, 0)::HUGEINT AS n FROM g JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+p AS (SELECT *, 1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM c),
+q AS (SELECT lang, term, 1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+      FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL)),
+two AS (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS v FROM p a JOIN p b
+          ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (SELECT lang, source, 'pair' AS part, item, CAST(coalesce(v, 0) AS BIGINT) AS value FROM two LEFT JOIN apart USING (lang, source, item)
+         UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+@query("op13_near_vectors", sql=f"""
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS (SELECT * FROM e WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         WHERE list_cosine_similarity(a.e, b.e) >= {subspace.COSINE}),
+reach(vec_id, seen) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON l.a = r.seen),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(seen) AS component_id, min(seen) = vec_id AS kept
+FROM reach LEFT JOIN n USING (vec_id) GROUP BY vec_id""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.near_vectors(read(spark, sf_dir, "embeddings"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from tallyspark.functions.codes import INDEX_TO_MANCOLL, SYMBOL_LETTERS
 from tallyspark.functions.joins import checked_broadcast
+from tallyspark.session import scratch_path
 
 
 def _strip(c: Column) -> Column:
@@ -34,6 +35,28 @@ def label_mapping(df: DataFrame, col: str) -> DataFrame:
     return labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("label_id"))
 
 
+def label_mapping_ranged(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
+    """``label_mapping`` for label sets of any size (``label_id`` is a long).
+
+    Distinct labels are range-partitioned and written once with their partition;
+    each partition numbers its own and adds the number of labels before it.  No
+    task sees more than a partition's labels; one row per partition tells the offsets.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "labels")
+    labels = df.select(F.col(col).alias("label")).where(F.col("label").isNotNull()).distinct()
+    labels.repartitionByRange(n, "label").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    every = sizes.agg(F.collect_list(F.struct("part", "n")).alias("all"))  # a row per partition
+    before = F.aggregate(F.filter("all", lambda x: x["part"] < F.col("part")), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    offsets = every.select("all", F.explode("all.part").alias("part")).select("part", before.alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("label"))
+    return (ranged.join(F.broadcast(offsets), "part")
+            .select("label", (F.col("before") + rank - 1).cast("long").alias("label_id")))
+
+
 def apply_encoding(df: DataFrame, col: str, mapping: DataFrame, on_unseen: str = "raise",
                    out: str = "label_id") -> DataFrame:
     """Map ``col`` through a train-time mapping.

@@ -33,6 +33,18 @@ def q_label_mapping(spark, sf_dir):
     return C.label_mapping(Views(spark, sf_dir).gv, "crashtype")
 
 
+@register("encode_labels_ranged", sql=(
+    "WITH m AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_id FROM "
+    "(SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS label FROM lineitem WHERE l_orderkey IS NOT NULL)) "
+    "SELECT l_orderkey, l_linenumber, label_id FROM lineitem JOIN m ON label = CAST(l_orderkey AS VARCHAR)"),
+    note="C2 for a label set that grows with the data: case ids as text labels")
+def q_encode_labels_ranged(spark, sf_dir):
+    rows = Views(spark, sf_dir).table("lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_orderkey").cast("string").alias("label"))
+    mapping = C.label_mapping_ranged(rows, "label")
+    return C.apply_encoding(rows, "label", mapping, "drop").drop("label")
+
+
 @register("encode_labels", sql=with_views("gv",
     "SELECT g.*, m.label_id FROM gv g LEFT JOIN m ON g.crashtype = m.label", [_MAP_GV]))
 def q_encode_labels(spark, sf_dir):

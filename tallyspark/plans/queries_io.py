@@ -190,6 +190,21 @@ def q_append_scored(spark, sf_dir):
     return spark.read.parquet(path).withColumn("run", F.col("run").cast("int"))
 
 
+@register("append_scored_ledger", sql=with_views("pred_long",
+    f"SELECT model, run, count(*) AS n, {r6('avg(CAST(gt = pred AS DOUBLE))')} AS accuracy FROM pred_long "
+    "WHERE gt IS NOT NULL AND pred IS NOT NULL GROUP BY ALL"),
+    note="every run appended without naming a batch, one of them again; a named batch twice")
+def q_append_scored_ledger(spark, sf_dir):
+    path = scratch_path(spark, "ledger")
+    p = stored(Views(spark, sf_dir).pred_long, "scored-in", "run").withColumn("run", F.col("run").cast("int"))
+    scored = {r: M.accuracy(p.where(F.col("run") == r), "gt", "pred", ["model", "run"]) for r in RUNS}
+    for r in [*RUNS[1:], RUNS[1]]:
+        IO.append_once(scored[r], path)
+    for _ in range(2):
+        IO.append_once(scored[RUNS[0]], path, batch_id=f"run-{RUNS[0]}")
+    return IO.read_appended(spark, path).drop("batch")
+
+
 @register("head_n_per_file", sql=with_views("pred_long",
     "SELECT sid, model, run, gt, pred FROM (SELECT *, row_number() OVER (PARTITION BY model, run ORDER BY sid) AS rn "
     "FROM pred_long) WHERE rn <= 200"))

@@ -16,7 +16,7 @@ from tallyspark.plans.queries_vehicle import _eval_sql, _F, _F2, _K
 from tallyspark.plans.registry import register
 from tallyspark.session import scratch_path
 from tallyspark.sources.fixtures import Views, with_views
-from tallyspark.streaming.scoring import run_to_completion
+from tallyspark.streaming.scoring import CaseStore, latest_scores, run_to_completion, score_batch
 
 
 def emb_split(spark, sf_dir):
@@ -110,18 +110,19 @@ def q_noise_training_sizes(spark, sf_dir):
 @register("incremental_scoring", sql=with_views(["gv", "vp1"],
     "SELECT * FROM ev WHERE caseid IN (SELECT caseid FROM vp1)",
     [_K, _F, _F2, ("ev", _eval_sql("exact_ok"))]),
-    note="streamed per file; oracle = V3 over the cases that have predictions")
+    note="predictions of a case arrive over three batches, one of them twice; oracle = V3 over the cases with predictions")
 def q_incremental_scoring(spark, sf_dir):
     v = Views(spark, sf_dir)
-    pred_dir = scratch_path(spark, "stream-in")
-    # A case's predictions share one file: partition the files by case (Spark
-    # sizes the files by the data).
-    v.vpred.repartition("caseid").write.mode("overwrite").parquet(pred_dir)
-    # The static side is written once as a table; batches join against it
-    # instead of re-deriving it per micro-batch.
-    truth_dir = scratch_path(spark, "stream-truth")
-    v.gv.write.mode("overwrite").parquet(truth_dir)
-    truth = spark.read.parquet(truth_dir)
-    out = scratch_path(spark, "stream-out")
-    ckpt = scratch_path(spark, "stream-ckpt")
-    return run_to_completion(spark, pred_dir, truth, out, ckpt).drop("batch_id")
+    # The static side is written once, by bucket; a batch reads the buckets it touches.
+    store = CaseStore(scratch_path(spark, "stream-truth")).write(v.gv)
+    pred_dir, state, out, ckpt = (scratch_path(spark, f"stream-{x}") for x in ("in", "state", "out", "ckpt"))
+    arrivals = v.vpred.withColumn("arrival", F.pmod("vehno", F.lit(3)))
+    path = scratch_path(spark, "arrivals")
+    arrivals.write.partitionBy("arrival").parquet(path)
+    arrived = spark.read.parquet(path)
+    parts = [arrived.where(F.col("arrival") == i).drop("arrival") for i in range(3)]
+    for part in parts:  # a case's vehicles come in different files, at different times
+        part.write.mode("append").parquet(pred_dir)
+        run_to_completion(spark, pred_dir, store, state, out, ckpt)
+    score_batch(parts[0], 0, store, state, out)  # the first batch again, after the others
+    return latest_scores(spark, out).drop("batch_id")

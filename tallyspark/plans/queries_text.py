@@ -8,9 +8,12 @@ from tallyspark.functions.codes import CRASHCAT_NAMES, FOCUS_TEXT, MANCOLL_NAMES
 from tallyspark.functions.hashing import hash32, sql_hash32
 from tallyspark.operators import relate as R
 from tallyspark.operators import text as T
+from tallyspark.operators.heavy import top_words
+from tallyspark.operators.promptcache import PromptCache, prompt_key
 from tallyspark.operators.sample import random_split
 from tallyspark.plans.queries_codes import _CB_SQL, _symbol_sql, codebook_from_gv
 from tallyspark.plans.registry import register
+from tallyspark.session import scratch_path
 from tallyspark.sources.fixtures import GV_ORDER, Views, with_views
 
 WS = r"[\t\n\x0B\f\r ]"
@@ -163,6 +166,33 @@ def q_prompt_dedupe_cache(spark, sf_dir):
     return T.with_cache(p, cache).select("prompt_key", "answer", "cached")
 
 
+@register("prompt_cache_table", sql=with_views("narr",
+    "SELECT md5(prompt) AS prompt_key, min(CAST(mancoll AS VARCHAR)) AS answer, "
+    f"count_if({sql_hash32('caseid', chr(39) + 'cache' + chr(39))} % 3 = 0 AND mancoll IS NOT NULL) > 0 AS known_before "
+    "FROM p GROUP BY 1 HAVING min(mancoll) IS NOT NULL",
+    [("p", f"SELECT caseid, mancoll, {_PROMPT_SQL} AS prompt FROM narr")]),
+    note="a bucketed cache is filled with a third of the answers, then with those of its misses, and asked again")
+def q_prompt_cache_table(spark, sf_dir):
+    n = Views(spark, sf_dir).narr.withColumn("options", F.lit(MANNER_OPTIONS))
+    p = T.build_prompts(n, "manner", {"options": "options", "text": "summary"})
+    path = scratch_path(spark, "prompts")
+    p.select("caseid", "mancoll", "prompt").write.parquet(path)
+    p = spark.read.parquet(path)
+    # answers that a model would give: the label of the prompt's cases, the smallest by text
+    answers = (p.where("mancoll is not null").groupBy(prompt_key()).agg(F.min(F.col("mancoll").cast("string")).alias("answer")))
+    first = p.where((hash32("caseid", "cache") % 3 == 0) & F.col("mancoll").isNotNull()).select(prompt_key())
+    folder = scratch_path(spark, "prompt-cache")
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cache = PromptCache("prompt_cache_" + folder.rsplit("-", 1)[-1], folder, buckets).open(spark)
+    cache.add(answers.join(first, "prompt_key", "left_semi"))
+    before = cache.lookup(p)
+    asked = scratch_path(spark, "prompt-lookup")
+    before.select("prompt_key", F.col("cached").alias("known_before")).write.parquet(asked)
+    before = spark.read.parquet(asked)
+    cache.add(answers.join(before.where("not known_before"), "prompt_key", "left_semi"))
+    return (cache.lookup(p).where("cached").join(before, "prompt_key").select("prompt_key", "answer", "known_before"))
+
+
 _PARSE_SQL = {
     "digit": r"coalesce(CAST(nullif(regexp_extract(answer, '\b([0-9])\b', 1), '') AS INTEGER), 9)",
     "leading_digit": r"coalesce(CAST(nullif(substr(regexp_extract(answer, '(\d+)', 1), 1, 1), '') AS INTEGER), 9)",
@@ -226,6 +256,13 @@ def q_build_vocab(spark, sf_dir):
     return train_vocab(spark, sf_dir)
 
 
+@register("build_vocab_bounded", sql=with_views("docs", "SELECT word, id, n FROM vocab", [_TRAIN, _VOCAB]),
+          note="the same vocabulary by a sketch of counts and an exact second pass")
+def q_build_vocab_bounded(spark, sf_dir):
+    d = Views(spark, sf_dir).docs
+    return top_words(random_split(d, ["doc_id"], 20, 0, 42).where("split = 'train'"), "text", 20000)
+
+
 @register("encode_tokens", sql=with_views("docs",
     "SELECT d.doc_id, coalesce(e.ids, []::INTEGER[]) AS token_ids FROM docs d LEFT JOIN ("
     "SELECT t.doc_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids FROM ("

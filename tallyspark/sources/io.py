@@ -6,6 +6,8 @@ read time (case-insensitively) and nothing downstream guesses.
 
 from __future__ import annotations
 
+import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -208,6 +210,64 @@ def append_scored(df: DataFrame, path: str, fmt: str = "parquet", batch_col: str
      .partitionBy(batch_col).format(fmt).save(path))
 
 
+def _content_id(rows: DataFrame) -> str:
+    """An id of the rows as a multiset, in any order: their number and two sums
+    of hashes of each row (columns by name)."""
+    cols = sorted(rows.columns)
+    row = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    sums = [F.sum(F.xxhash64(F.lit(salt), row).cast("decimal(38,0)")) for salt in (1, 2)]
+    n, a, b = rows.agg(F.count(F.lit(1)), *sums).first()
+    return "-".join(f"{int(x or 0) & (1 << 64) - 1:x}" for x in (n, a, b))
+
+
+def append_once(df: DataFrame, path: str, batch_id: str | None = None) -> str:
+    """Append a batch to a result table exactly once; returns its id.
+
+    A batch is a folder ``batch=<id>`` of Parquet files that counts from the moment
+    its commit marker (``_SUCCESS``) is there, so the ledger of batches is committed with the data: a
+    replay of a committed batch changes nothing, one that failed half-way is
+    written anew, and no earlier file is read or rewritten.
+
+    Without ``batch_id`` the id is taken from the rows themselves: appending the
+    very same rows again is a replay.  They are then written once to a folder aside, and moved
+    into place by one rename.  Give ids where equal batches are to count twice.
+    Two writers may not write the same batch at the same time.
+    """
+    spark = df.sparkSession
+    if batch_id is not None and not re.fullmatch(r"[A-Za-z0-9_.-]+", batch_id):
+        raise ValueError(f"batch_id {batch_id!r} must be of letters, digits and _.-")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if batch_id is not None:
+        folder = f"{path}/batch={batch_id}"
+        if not fs.exists(jvm.Path(f"{folder}/_SUCCESS")):
+            df.write.mode("overwrite").parquet(folder)
+        return batch_id
+    aside = f"{path}/_aside/{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    batch_id = _content_id(spark.read.schema(df.schema).parquet(aside))
+    folder = jvm.Path(f"{path}/batch={batch_id}")
+    if fs.exists(jvm.Path(f"{path}/batch={batch_id}/_SUCCESS")):
+        fs.delete(jvm.Path(aside), True)
+        return batch_id
+    fs.delete(folder, True)  # what a failed attempt left
+    if not fs.rename(jvm.Path(aside), folder):
+        raise OSError(f"could not move {aside} to {folder}")
+    return batch_id
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all committed batches, with their batch id in ``batch``."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = fs.globStatus(jvm.Path(f"{path}/batch=*/_SUCCESS"))
+    if not len(marks):
+        raise FileNotFoundError(f"no committed batch under {path}")
+    folders = [m.getPath().getParent().toString() for m in marks]
+    ids = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(*folders)
+    return ids.withColumn("batch", F.col("batch").cast("string"))
+
+
 def head_n(df: DataFrame, order: list[str], n: int, by: list[str] | None = None) -> DataFrame:
     """First ``n`` rows (per group ``by``) in the declared order.
 

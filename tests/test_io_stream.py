@@ -5,10 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.operators import vehicle as V
 from tallyspark.session import scratch_path
 from tallyspark.sources import io as IO
-from tallyspark.streaming.scoring import run_to_completion
 
 ADAPT = T.StructType([T.StructField("CASEID", T.LongType()), T.StructField("VEHNO", T.IntegerType()),
                       T.StructField("ADAPT", T.IntegerType()), T.StructField("CASEWGT", T.DoubleType())])
@@ -62,18 +60,6 @@ def test_head_n_per_group(spark):
     assert got == [("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1), ("b", 2)]
 
 
-def test_stream_scores_every_case_once(spark):
-    schema = "caseid long, vehno int, crashcat int, crashconf string, crashtype int"
-    truth = spark.createDataFrame([(1, 1, 1, "A", 1), (1, 2, 2, "B", 9), (2, 1, 3, "C", 21)], schema)
-    pred = spark.createDataFrame([(1, 1, 1, "A", 1), (1, 2, 2, "B", 8), (2, 1, 3, "C", 21)], schema)
-    pred_dir = scratch_path(spark, "s-in")
-    pred.repartition(2, "caseid").write.parquet(pred_dir)
-    out = run_to_completion(spark, pred_dir, truth, scratch_path(spark, "s-out"), scratch_path(spark, "s-ck"))
-    got = sorted((r["caseid"], r["exact_acc"]) for r in out.collect())
-    want = sorted((r["caseid"], r["exact_acc"]) for r in V.vehicle_eval(truth, pred).collect())
-    assert got == want == [(1, 0.5), (2, 1.0)]
-
-
 def test_hot_class_exact_split(spark):
     # one class holds a third of all rows; quotas stay exact
     df = spark.range(3000).select(F.col("id").alias("k"),

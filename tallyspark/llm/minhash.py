@@ -12,15 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import hinted, one_per_id, table
+from tallyspark.llm.components import components
 from tallyspark.llm.shingles import mix, shingle_sets
 
 SHINGLE = 5
 PERCENT = 80
-#: Signature: CHUNKS x WIDTH positions of 8 bits; ERRORS positions of a chunk may differ.
-CHUNKS, WIDTH, ERRORS = 11, 5, 1
+#: Signature: CHUNKS x WIDTH positions of 16 bits; ERRORS positions of a chunk may differ.
+CHUNKS, WIDTH, ERRORS = 14, 4, 1
 #: Positions in which two signatures may differ at most if their sets are to be
-#: compared (a pair of similarity 0.8 differs in more with a probability of 3e-7).
-DISTANCE = 27
+#: compared: all that the chunks guarantee to find (a pair of similarity 0.8
+#: differs in more with a probability of 4e-7).
+DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Ids up to which the documents to compare are broadcast to their texts; above, texts are shuffled.
 BROADCAST_IDS = 200_000
 _U = np.uint64
@@ -32,15 +34,15 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
-    """(len(sets), n) bytes: the low byte of each of n minimum hashes.  Every
+    """(len(sets), n) numbers: the low 16 bits of each of n minimum hashes.  Every
     set has at least one member."""
     at = np.cumsum([0, *(len(s) for s in sets)])[:-1]
     flat = np.concatenate(sets)
-    out = np.zeros((len(sets), n), np.uint8)
+    out = np.zeros((len(sets), n), np.uint16)
     for j, (x, m) in enumerate(zip(*_seeds(n), strict=True)):
         h = (flat ^ x) * m
         h ^= h >> _U(32)
-        out[:, j] = (mix(np.minimum.reduceat(h, at)) & _U(255)).astype(np.uint8)
+        out[:, j] = (mix(np.minimum.reduceat(h, at)) & _U(0xFFFF)).astype(np.uint16)
     return out
 
 
@@ -56,19 +58,19 @@ def chunk_keys(sig: np.ndarray, chunks: int, width: int, errors: int) -> np.ndar
     for c in range(chunks):
         for i, places in enumerate(keep):
             key = np.full(len(sig), c * len(keep) + i + 1, _U)
-            for p in places:
-                key = (key << _U(8)) | wide[:, c * width + p]
-            out[:, c * len(keep) + i] = mix(key) if 8 * len(places) <= 48 else mix(mix(key) ^ key)
+            for j, p in enumerate(places):  # three positions and the choice fill a key without loss
+                key = (key if j % 3 or not j else mix(key)) << _U(16) | wide[:, c * width + p]
+            out[:, c * len(keep) + i] = mix(key)
     return out.view(np.int64)
 
 
 def _differing(a: Column, b: Column, longs: int) -> Column:
-    """Positions (bytes) in which two packed signatures differ."""
-    low = F.lit(0x0101010101010101)
+    """Positions (16 bits each) in which two packed signatures differ."""
+    low = F.lit(0x0001000100010001)
     total = F.lit(0)
     for i in range(longs):
         x = a[i].bitwiseXOR(b[i])
-        for s in (4, 2, 1):
+        for s in (8, 4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, s))
         total = total + F.bit_count(x.bitwiseAND(low))
     return total
@@ -77,7 +79,7 @@ def _differing(a: Column, b: Column, longs: int) -> Column:
 def describe(rows: DataFrame, shingle: int, chunks: int, width: int, errors: int) -> DataFrame:
     """doc_id, n, h1, h2 (a 128-bit hash of the set), sig, keys."""
     n = chunks * width
-    longs = -(-n // 8)
+    longs = -(-n // 4)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -85,7 +87,7 @@ def describe(rows: DataFrame, shingle: int, chunks: int, width: int, errors: int
 
             def flush():
                 full = [i for i, s in enumerate(held) if len(s)]
-                sig = np.zeros((len(held), longs * 8), np.uint8)
+                sig = np.zeros((len(held), longs * 4), np.uint16)
                 keys = [None] * len(held)
                 if full:
                     found = signatures([held[i] for i in full], n)
@@ -140,36 +142,6 @@ def linked(common: Column, percent: int) -> Column:
     return 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, comp: the smallest id that each linked id can reach.
-
-    Each round gives every id the smallest of itself and its neighbours, moves
-    the links to those and drops what becomes a loop, until none is left; the
-    rounds' steps are then followed from each id.
-    """
-    steps = []
-    edges = links.select("a", "b").filter("a <> b")
-    while True:
-        edges = table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        if edges.isEmpty():
-            break
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = table(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near"))
-                     .select("id", F.least("id", "near").alias("to")), "step")
-        steps.append(step)
-        to = step.select(F.col("id").alias("a"), F.col("to").alias("a2"))
-        edges = (edges.join(to, "a").select(F.col("a2").alias("a"), "b")
-                 .join(to.select(F.col("a").alias("b"), F.col("a2").alias("b2")), "b")
-                 .select("a", F.col("b2").alias("b")).filter("a <> b"))
-    if not steps:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
-    comp = steps[0].select("id", F.col("to").alias("comp"))
-    for step in steps[1:]:
-        comp = (comp.join(step.select(F.col("id").alias("comp"), "to"), "comp", "left")
-                .select("id", F.coalesce("to", "comp").alias("comp")))
-    return table(comp, "components")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, chunks: int = CHUNKS,
                     width: int = WIDTH, errors: int = ERRORS, distance: int = DISTANCE) -> DataFrame:
     """Connected components of documents with similar shingle sets.
@@ -179,7 +151,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     indexed under every choice of positions that remains when ``errors`` of them
     are wrong, so every pair that differs in fewer than chunks * (errors + 1)
     positions shares a bucket.  With the defaults a pair of similarity 0.8 shares
-    none with a probability below 1e-6.
+    none with a probability below 1e-9, and pairs within ``distance`` always share one.
 
     A bucket's members are first compared with its centre, the member that
     meets most others over all its buckets.  That puts a group of copies of one
@@ -197,7 +169,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     with nothing.  Rows without an id are left out, rows that repeat one count
     once; an empty table gives no rows.
     """
-    longs = -(-chunks * width // 8)
+    longs = -(-chunks * width // 4)
     rows = one_per_id(docs, "doc_id", ["text"])
     seen = table(describe(rows, shingle, chunks, width, errors), "described")
     # small tables of their own, so that Spark splits the joins where a group is hot

@@ -27,27 +27,33 @@ _BYTE = mix(np.arange(1, 257, dtype=_U) * _ODD)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS = np.ones(1, _U), np.ones(1, _U)
+_PLACES = mix(np.arange(1, 257, dtype=_U) * _U(0xA24BAED4963EE407)) | _U(1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The multiplier's powers and their inverses modulo 2^64."""
-    global _POWERS
-    if len(_POWERS[0]) < n:
-        inverse = _U(pow(int(_ODD), -1, 1 << 64))
-        _POWERS = tuple(np.multiply.accumulate(np.r_[_U(1), np.full(n - 1, m, _U)]) for m in (_ODD, inverse))
-    return _POWERS
+def _places(n: int) -> np.ndarray:
+    """An odd random number for each of the first ``n`` places of a word."""
+    global _PLACES
+    if len(_PLACES) < n:
+        _PLACES = mix(np.arange(1, 2 * n + 1, dtype=_U) * _U(0xA24BAED4963EE407)) | _U(1)
+    return _PLACES
 
 
 def _word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of at most a few MB."""
+    """Hash and start of each word of at most a few MB: the sum, over its places, of
+    a random number of the byte times one of the place, finalised with the length.
+    The places' numbers follow no rule, so words of a rule (powers, repeats,
+    Thue-Morse strings) collide no oftener than others, once in 2^64."""
     inside = ~_WHITE[buf]
     edge = np.diff(np.r_[False, inside, False].astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, _U)
-    np.cumsum(_BYTE[buf] * power[: len(buf)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U)), start
+    if not len(start):
+        return np.zeros(0, _U), start
+    size = end - start
+    at = np.flatnonzero(inside)
+    first = np.cumsum(size) - size
+    place = np.arange(len(at)) - np.repeat(first, size)
+    h = np.add.reduceat(_BYTE[buf[at]] * _places(int(size.max()))[place], first)
+    return mix(h + size.astype(_U)), start
 
 
 def words(data: bytes) -> np.ndarray:

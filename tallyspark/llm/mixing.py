@@ -7,12 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WORD, one_per_id, table, whole_text
+from tallyspark.llm.common import WORD, hinted, one_per_id, table, whole_text
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BLOCK = 16
 SEED = "mix-1"
+#: Words that a shard of a source holds on average, at least: many blocks, so that
+#: what a shard's bound cuts from its last block is below 0.3 % of its words.
+SHARD_WORDS = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -89,7 +92,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, block:
     cut in blocks; the quota takes whole rounds of the stream and then the
     blocks at its front.  A shard never takes more than ``repeats`` rounds, so no
     document does.  ``shards`` a source grow with the square root of the rows,
-    so a source with a third of them is numbered by many tasks.
+    so a source with a third of them is numbered by many tasks, but a source has no
+    more than one for each ``SHARD_WORDS`` of its words: its shards hold many blocks, and
+    bounding a shard costs it less than one block.
 
     Returns doc_id, source, size, source_size, target, taken.  Null text has no
     words and takes none; null is a source of its own; with no words at all
@@ -105,7 +110,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, block:
     targets = targets.withColumn("_one", F.lit(1)).withColumn("blocks", F.round(total / block).cast("long"))
     by_source = sainte_lague(targets, ["_one"], ["source"], "target", "blocks").select(
         "source", "source_size", "target", F.col("quota").alias("blocks"))
-    dealt = sized.withColumn("shard", seeded(F.lit(seed), F.lit("shard"), F.col("doc_id").cast("string")) % shards)
+    own = sized.groupBy("source").agg(F.greatest(F.lit(1), F.least(F.lit(shards), F.expr(f"sum(size) div {SHARD_WORDS}")))
+                                      .cast("long").alias("shards"))
+    own = hinted(table(own, "shards").select(F.col("source").alias("_source"), "shards"), 100_000)
+    dealt = sized.join(own, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    dealt = dealt.withColumn("shard", seeded(F.lit(seed), F.lit("shard"), F.col("doc_id").cast("string")) % F.col("shards")).drop("shards")
     cells = dealt.groupBy("source", "shard").agg(F.sum("size").alias("held")).alias("c")
     cells = cells.join(by_source.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).select(
         "c.*", "source_size", "target", "blocks")

@@ -88,11 +88,8 @@ g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY poin
              count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes that the operator did not need are added for the report."""
-    docs = read(spark, sf_dir, "documents")
-    found = exact.exact_dedup(docs).drop("text_sha256")
-    return docs.select("doc_id", F.sha2(exact.normalised(), 256).alias("text_sha256")).join(found, "doc_id").select(
-        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found = exact.exact_dedup(read(spark, sf_dir, "documents"), every_hash=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 @query("op6_language_id")
@@ -134,8 +131,10 @@ q1 AS (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source I
        FROM (SELECT *, unnest(range(0, CAST(target / {mixing.BLOCK} AS BIGINT) + 1000)) AS k FROM s3 WHERE target > 0)),
 s4 AS (SELECT s3.source, source_size, target, coalesce(held, 0) AS blocks FROM s3 LEFT JOIN
          (SELECT source, count(*) AS held FROM q1 WHERE r <= seats GROUP BY source) h ON h.source IS NOT DISTINCT FROM s3.source),
-e AS (SELECT d.*, CAST('0x' || substr(md5('{mixing.SEED}:shard:' || doc_id), 1, 15) AS BIGINT) % (SELECT shards FROM c) AS shard,
-        CAST('0x' || substr(md5('{mixing.SEED}:draw:' || doc_id), 1, 15) AS BIGINT) AS draw FROM d),
+e AS (SELECT d.*, CAST('0x' || substr(md5('{mixing.SEED}:shard:' || doc_id), 1, 15) AS BIGINT)
+          % least((SELECT shards FROM c), greatest(1, source_size // {mixing.SHARD_WORDS})) AS shard,
+        CAST('0x' || substr(md5('{mixing.SEED}:draw:' || doc_id), 1, 15) AS BIGINT) AS draw
+      FROM d JOIN s0 ON d.source IS NOT DISTINCT FROM s0.source),
 f AS (SELECT e.source, shard, sum(size) AS held, any_value(blocks) AS blocks, any_value(source_size) AS source_size,
         any_value(target) AS target FROM e JOIN s4 ON e.source IS NOT DISTINCT FROM s4.source GROUP BY e.source, shard),
 q2 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY held / (2 * k + 1) DESC, shard, k) AS r

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyspark.llm import decontam, exact, html, langid, minhash, mixing, pii, suffix, tokens, toxicity
+from tallyspark.llm import decontam, exact, html, langid, minhash, mixing, pii, shingles, suffix, tokens, toxicity
 from tests.llm import brute
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size long, count long, key string, "
@@ -169,13 +169,34 @@ def test_near_duplicates_of_a_family(spark):
 
 def test_pigeonhole_finds_every_pair_within_the_radius():
     r = np.random.default_rng(4)
-    sig = r.integers(0, 256, (40, 55), dtype=np.uint8)
+    n = minhash.CHUNKS * minhash.WIDTH
+    sig = r.integers(0, 1 << 16, (400, n), dtype=np.uint16)
     other = sig.copy()
-    for i in range(40):  # 21 errors: fewer than 11 * (1 + 1)
-        places = r.choice(55, 21, replace=False)
-        other[i, places] ^= r.integers(1, 256, 21, dtype=np.uint8)
-    a, b = minhash.chunk_keys(sig, 11, 5, 1), minhash.chunk_keys(other, 11, 5, 1)
+    for i in range(400):  # as many errors as the distance allows, up to two in each chunk but one
+        places = r.choice(n, minhash.DISTANCE, replace=False)
+        if i % 2:
+            by_chunk = [c * minhash.WIDTH + p for c in range(minhash.CHUNKS) for p in r.choice(minhash.WIDTH, 2, replace=False)]
+            places = np.delete(by_chunk, r.integers(0, len(by_chunk)))
+        assert len(places) == minhash.DISTANCE
+        other[i, places] ^= r.integers(1, 1 << 16, minhash.DISTANCE, dtype=np.uint16)
+    a, b = (minhash.chunk_keys(x, minhash.CHUNKS, minhash.WIDTH, minhash.ERRORS) for x in (sig, other))
     assert ((a == b).any(1)).all()
+    assert len(np.unique(a)) == a.size  # choices of one signature, and strangers, share no key
+
+
+def test_words_of_a_rule_do_not_collide(spark):
+    """Thue-Morse words, and their complements, collide under any polynomial modulo 2^64."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        one, two = shingles.words(word.encode()), shingles.words(other.encode())
+        assert len(one) == len(two) == 1 and one[0] != two[0]
+    x, y = word[:1024], other[:1024]
+    texts = [(1, x), (2, y), (3, f"x {x} x {y} x"), (4, f"x {y} x {x} x"), (5, x.upper())]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"])
+           for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), shingle=2).collect()}
+    assert got == brute.near(texts, 2) and got[2][1] == 2 and got[3][0] == 4
 
 
 def test_components_of_long_chains(spark):
@@ -194,6 +215,12 @@ def test_exact_duplicates(spark, docs, none):
     assert exact.exact_dedup(none).count() == 0
 
 
+def test_every_hash_is_asked_for(spark, docs):
+    want = brute.exact(TEXTS)
+    got = {r["doc_id"]: r["text_sha256"] for r in exact.exact_dedup(docs, every_hash=True).collect()}
+    assert got == {i: v[3] for i, v in want.items()}
+
+
 def test_secrets_end_where_their_value_ends(spark):
     sizes = [7, 8, 127, 128, 129, 600, 300_000]
     texts = [f"my token = '{'aB3_' * (n // 4)}{'x' * (n % 4)}' and more" for n in sizes]
@@ -277,6 +304,15 @@ def test_sainte_lague_equals_one_seat_at_a_time(spark):
     assert got == want
 
 
+def test_a_small_source_of_short_documents_reaches_its_bound(spark):
+    small = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.expr("repeat('w ', int(1 + id % 5))").alias("text"))
+    large = spark.range(1000, 30000).select(F.col("id").alias("doc_id"), F.lit("b").alias("source"), F.expr("repeat('w ', 60)").alias("text"))
+    got = mixing.mix_sources(small.unionByName(large), shards=400).groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.expr("taken - 3 * size")).alias("over"))
+    for r in got.collect():
+        assert abs(r["taken"] - r["target"]) <= 0.01 * r["target"] and r["over"] <= 0, r
+
+
 def test_mixing(spark, docs, none):
     plan = mixing.mix_sources(docs, shards=3)
     got = plan.collect()

@@ -55,6 +55,17 @@ def test_op5(spark, texts):
     assert {i: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for i, r in got.items()} == brute.exact(texts)
 
 
+def test_op5_on_repeated_ids(spark, tmp_path):
+    rows = [(1, "a b"), (1, "zz"), (2, "zz"), (2, "zz"), (3, None), (4, " "), (5, "alone"), (None, "zz")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in E.queries()["op5_exact_dedup"](spark, str(tmp_path)).collect():
+        assert r["doc_id"] not in got
+        got[r["doc_id"]] = (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"])
+    # a repeated id is one document, the one with the greatest text
+    assert got == brute.exact([(1, "zz"), (2, "zz"), (3, None), (4, " "), (5, "alone")])
+
+
 def test_op10(spark, texts, items):
     got = result(spark, "op10_decontaminate")
     assert {i: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for i, r in got.items()} \

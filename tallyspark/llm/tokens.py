@@ -7,6 +7,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 from string import punctuation
 
 import numpy as np
@@ -21,7 +22,7 @@ PERCENTILE = 90
 END_ID = 2
 #: Ids a segment of a file holds before the next begins.
 SEGMENT_IDS = 1 << 18
-#: Distinct pieces whose ids a worker keeps.
+#: Distinct pieces whose ids a task keeps.
 CACHE_PIECES = 700_000
 MAGIC = b"TPF1"
 
@@ -151,6 +152,14 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 _STAND_IN = {b: 256 + 34 + k for k, b in enumerate([*range(0x80, 0xA1), 0xAD])}
 
 
+@cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    return tok
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, special tokens' strings in a
     text as ordinary text (``encode_special_tokens``, as public_tokenizers says).
@@ -166,9 +175,7 @@ class Encoder:
 
     def __init__(self, path: str, pieces: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok = _tokenizer(path)
         self.pieces = pieces
         state = str(self.tok.pre_tokenizer)
         line = self.tok.encode("\n", add_special_tokens=False).ids
@@ -258,15 +265,6 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def _groups(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of about ``chars`` characters."""
     start = held = 0
@@ -301,7 +299,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
         part, seq, at, last = TaskContext.get().partitionId(), 0, 0, None
-        enc = encoder(tokenizer)
+        enc = Encoder(tokenizer)  # its pieces go when the task ends
         end = np.array([end_id], "<u4")
         held: list[np.ndarray] = []
         size, doc_ids, lengths, begins = 0, [], [], -1

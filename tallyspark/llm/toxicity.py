@@ -22,6 +22,8 @@ FEATURES = 600
 MIN_TEXTS = 3
 STEMS = (4, 5)
 THRESHOLD = 0.5
+#: Texts scored at once.
+SLICE = 256
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -187,9 +189,13 @@ def severity_column(model: OrdinalModel | None, threshold: float = THRESHOLD):
     (see ``severity``)."""
     @F.pandas_udf("severity double, p_toxic double, grade int, toxic boolean")
     def judge(text: pd.Series) -> pd.DataFrame:
-        texts = text.tolist()
-        up = model.above(model.scores(texts)) if model else np.zeros((len(texts), 1))
-        up[[not t for t in texts]] = 0
+        parts = []
+        for i in range(0, max(1, len(text)), SLICE):  # few texts at a time as Python strings
+            texts = text.iloc[i:i + SLICE].tolist()
+            up = model.above(model.scores(texts)) if model else np.zeros((len(texts), 1))
+            up[[not t for t in texts]] = 0
+            parts.append(up)
+        up = np.concatenate(parts)
         return pd.DataFrame({"severity": up.sum(1), "p_toxic": up[:, 0], "grade": (up >= 0.5).sum(1).astype("int32"),
                              "toxic": up[:, 0] >= threshold})
     return judge

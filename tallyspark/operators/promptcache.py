@@ -16,7 +16,7 @@ def prompt_key(prompt: str = "prompt"):
 class PromptCache:
     """Answers known so far, in a Parquet table bucketed and sorted by prompt key.
 
-    A lookup shuffles the new prompts only, to the table's buckets; the cache is
+    A lookup shuffles the distinct new prompts only, to the table's buckets; the cache is
     read bucket by bucket where it lies.  So that Spark keeps to the buckets there must be
     at least as many as shuffle partitions.  ``name`` is the table's in the catalog of
     this session; the files at ``path`` (shared storage) outlive it.
@@ -48,6 +48,7 @@ class PromptCache:
         """prompt_key, prompt, answer, cached: each distinct prompt once, with the
         stored answer or as a miss (null prompts have no key and are left out)."""
         keyed = prompts.where(F.col(prompt).isNotNull()).select(prompt_key(prompt), F.col(prompt).alias("prompt"))
-        new = keyed.repartition(self.buckets, "prompt_key").groupBy("prompt_key").agg(F.min("prompt").alias("prompt"))
+        # repeats go before anything moves to the buckets, however often one prompt is asked
+        new = keyed.groupBy("prompt_key").agg(F.min("prompt").alias("prompt")).repartition(self.buckets, "prompt_key")
         return (new.join(self.known(prompts.sparkSession), "prompt_key", "left")
                 .withColumn("cached", F.coalesce("cached", F.lit(False))))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WHITE, hinted, one_per_id, table, whole_text
+from tallyspark.llm.common import WHITE, one_per_id, table, whole_text
 
 PREFIX_CHARS = 256
 
@@ -34,8 +34,8 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, every_hash: b
     then the smallest id.
 
     Returns doc_id, keep_id, group_size, kept, and text_sha256, which is null
-    for rows whose whole text had not to be read, unless ``every_hash`` asks for it: those
-    texts are then hashed in a pass of their own, the others not again.  Null text counts as empty;
+    for rows whose whole text had not to be read, unless ``every_hash`` asks for it: every
+    text is then hashed, once, in one pass, and only rows that survive are grouped by their hash.  Null text counts as empty;
     all empty texts are one group.  Rows without an id are left out, rows that
     repeat one count once (see ``one_per_id``); an empty table gives no rows.
     """
@@ -45,12 +45,17 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, every_hash: b
                               F.xxhash64(F.substring(norm, 1, prefix_chars)).alias("prefix")), "sizes")
     left = table(_shared(_shared(sizes, "size"), "size", "prefix").select("doc_id", "points"), "survivors")
     sha = F.sha2(norm, 256).alias("text_sha256")
-    full = table(rows.join(left, "doc_id").select("doc_id", "points", sha), "full")
+    hashed = rows.select("doc_id", F.length(whole_text()).alias("points"), sha)
+    if every_hash:  # the join then moves hashes, not texts
+        hashed = table(hashed, "hashed")
+        full = hashed.join(left.select("doc_id"), "doc_id", "left_semi")
+    else:
+        full = table(rows.join(left, "doc_id").select("doc_id", "points", sha), "full")
     groups = table(full.groupBy("text_sha256").agg(
         F.min(F.struct(-F.col("points"), "doc_id"))["doc_id"].alias("keep_id"), F.count("*").alias("group_size")), "groups")
     found = full.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", (F.col("keep_id") == F.col("doc_id")).alias("kept"), "text_sha256")
-    lone = (rows if every_hash else sizes).join(hinted(left.select("doc_id"), 200_000), "doc_id", "left_anti")
+    lone = (hashed if every_hash else sizes).join(left.select("doc_id"), "doc_id", "left_anti")
     return found.unionByName(lone.select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
-        sha if every_hash else F.lit(None).cast("string").alias("text_sha256")))
+        F.col("text_sha256") if every_hash else F.lit(None).cast("string").alias("text_sha256")))

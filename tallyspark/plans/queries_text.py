@@ -125,6 +125,39 @@ def q_sft_configuration(spark, sf_dir):
     return T.sft_configuration(v.narr, v.gv_raw, R.configuration_options(category_letters(spark, sf_dir)), v.codebook, GV_ORDER)
 
 
+@register("build_prompts_category", sql=with_views("narr",
+    f"SELECT caseid, vehno, {_template_sql('category', {'vehno': 'vehno', 'options': _lit(_CAT_OPTIONS), 'text': _FOCUS})} "
+    "AS prompt FROM ex", [_EX]), note="every vehicle, labelled or not")
+def q_prompts_category(spark, sf_dir):
+    return T.vehicle_prompts(Views(spark, sf_dir).narr, "category")
+
+
+#: The least predicted value of each vehicle, whatever else its predictions say.
+_KNOWN = ("known", "SELECT caseid, vehno, min(crashcat) AS crashcat, min(crashconf) AS crashconf FROM vpred GROUP BY ALL")
+
+
+@register("build_prompts_configuration", sql=with_views(["narr", "gv", "vpred"],
+    "SELECT caseid, vehno, " + _template_sql("configuration", {
+        "vehno": "vehno", "category": _CAT_CASE, "text": _FOCUS,
+        "options": "concat_ws(chr(10), o.option_text, nullif(o.note, ''))"})
+    + f" AS prompt FROM ex JOIN known k USING (caseid, vehno) JOIN opt o ON o.category = k.crashcat "
+      f"WHERE crashcat IN ({', '.join(map(str, CRASHCAT_NAMES))})",
+    [_EX, _KNOWN, CONF_CO, ("opt", CONF_OPTIONS_SQL)]), note="category as predicted before")
+def q_prompts_configuration(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return T.vehicle_prompts(v.narr, "configuration", v.vpred, R.configuration_options(category_letters(spark, sf_dir)))
+
+
+@register("build_prompts_type", sql=with_views(["narr", "gv", "vpred"],
+    "SELECT caseid, vehno, "
+    + _template_sql("type", {"vehno": "vehno", "options": "o.options", "text": _FOCUS})
+    + " AS prompt FROM ex JOIN known k USING (caseid, vehno) JOIN opt o ON o.conf = k.crashconf",
+    [_EX, _KNOWN, ("opt", _CB_SQL)]), note="configuration as predicted before")
+def q_prompts_type(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return T.vehicle_prompts(v.narr, "type", v.vpred, codebook_from_gv(spark, sf_dir))
+
+
 _TYPE_SQL = ("SELECT el.caseid, el.vehno, "
     + _template_sql("type", {"vehno": "el.vehno", "options": "o.options", "text": _focus_sql("el.summary", "el.vehno")})
     + " AS prompt, CASE WHEN el.crashtype - el.code_offset < 10 THEN CAST(el.crashtype - el.code_offset AS VARCHAR) "
@@ -229,6 +262,24 @@ def q_parse_failure_by_model(spark, sf_dir):
     return T.parse_failure_rate(r, "answer", "letter", ["model"])
 
 
+#: Answers where a rule finds nothing, per model (the letter rule's key is above).
+_FAILED_SQL = {"digit": r"regexp_extract(answer, '\b([0-9])\b', 1) = ''", "leading_digit": r"regexp_extract(answer, '(\d+)', 1) = ''",
+               "symbol": f"({_symbol_sql('answer')}) IS NULL"}
+
+
+def _failure_query(rule):
+    def q(spark, sf_dir):
+        r = Views(spark, sf_dir).resp.withColumn("model", F.col("id") % 3)
+        return T.parse_failure_rate(r, "answer", rule, ["model"])
+    return q
+
+
+for _rule, _failed in _FAILED_SQL.items():
+    register(f"{_PARSE_KEYS[_rule]}_failure_by_model", sql=with_views("resp",
+        f"SELECT id % 3 AS model, count(*) AS n, round(avg(CASE WHEN coalesce({_failed}, true) THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) "
+        "AS failure_rate FROM resp GROUP BY 1"))(_failure_query(_rule))
+
+
 @register("argmax_class", sql=with_views("emb",
     "SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred_index "
     "FROM emb"))

@@ -100,3 +100,26 @@ def test_sample_id_occurrence_unique(spark):
     import pytest
     with pytest.raises(ValueError):
         IO.assert_unique(df, ["model", "run", "summary"])
+
+
+def test_prompts_of_vehicles_still_to_be_classified(spark):
+    cases = spark.createDataFrame([(1, "V1 hit V2.", 2), (2, None, 1), (3, "x", 0)], "caseid long, summary string, vehicles int")
+    got = {(r["caseid"], r["vehno"]): r["prompt"] for r in T.vehicle_prompts(cases, "category").collect()}
+    assert sorted(got) == [(1, 1), (1, 2), (2, 1)]
+    assert "the vehicle to be classified hit V2." in got[1, 1] and "vehicle 2" in got[1, 2] and '\"\"\"\"\"\"' in got[2, 1]
+    known = spark.createDataFrame([(1, 1, 2, "B"), (1, 1, 1, "C"), (1, 2, 9, "A"), (2, 1, None, None), (7, 1, 1, "A")],
+                                  "caseid long, vehno int, crashcat int, crashconf string")
+    letters = spark.createDataFrame([(1, "A: a\nB: b", "Note on A: n"), (2, "C: c", ""), (9, "Z: z", "")],
+                                    "category int, option_text string, note string")
+    got = {(r["caseid"], r["vehno"]): r["prompt"] for r in T.vehicle_prompts(cases, "configuration", known, letters).collect()}
+    assert sorted(got) == [(1, 1)] and "A: a\nB: b\nNote on A: n\n" in got[1, 1]
+    types = spark.createDataFrame([("A", "{1: 'x'}"), ("B", "{2: 'y'}")], "conf string, options string")
+    got = {(r["caseid"], r["vehno"]): r["prompt"] for r in T.vehicle_prompts(cases, "type", known, types).collect()}
+    assert sorted(got) == [(1, 1), (1, 2)] and "{2: 'y'}" in got[1, 1] and "{1: 'x'}" in got[1, 2]
+
+
+def test_failure_rate_of_every_rule(spark):
+    df = spark.createDataFrame([(0, "4"), (0, "none"), (1, "class A"), (1, None)], "model int, a string")
+    want = {"digit": {0: 0.5, 1: 1.0}, "leading_digit": {0: 0.5, 1: 1.0}, "letter": {0: 1.0, 1: 0.5}, "symbol": {0: 0.5, 1: 0.5}}
+    for rule, rates in want.items():
+        assert {r["model"]: r["failure_rate"] for r in T.parse_failure_rate(df, "a", rule, ["model"]).collect()} == rates

@@ -11,14 +11,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tallyspark.llm.common import table
 
-#: Rows the models are fitted on at most (smallest hashes of the id).
+#: Rows the models are fitted on at most, dealt evenly to the languages (of each
+#: the smallest hashes of the id, and one row at least).
 MAX_LABELLED = 4_000
 #: Hashed character n-grams (of bytes, 1 to ORDERS) of lower-cased text.
 BITS, ORDERS = 13, 4
 UNKNOWN = "und"
+#: Relative error of a language's estimated size when rows are drawn.
+ERROR = 0.02
 #: Language families (fixed values); a language not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -147,28 +151,83 @@ class Hierarchy:
         return lang.tolist(), np.clip(score, 0, 1)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, epochs: int = 200) -> tuple[np.ndarray, float]:
+#: A machine is fitted until its gradient is that small against the first one.
+TOLERANCE = 1e-3
+
+
+def linear_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
     """Weights and bias of a squared-hinge linear SVM by accelerated full
-    gradients; both classes weigh alike.  ``y`` is -1 or 1."""
+    gradients, restarted where they overshoot, until the gradient's norm is
+    ``tolerance`` of the first; both classes weigh alike.  ``y`` is -1 or 1."""
     c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     vw, vb = w.copy(), b
     step = 1 / (2 * float((c * ((x * x).sum(1) + 1)).sum()) + ridge)
-    for t in range(epochs):
+    first, t = None, 0
+    while True:
         g = -2 * c * y * np.maximum(0, 1 - y * (x @ vw + vb))
-        nw, nb = vw - step * (x.T @ g + ridge * vw), vb - step * float(g.sum())
+        gw, gb = x.T @ g + ridge * vw, float(g.sum())
+        norm = float(np.sqrt((gw * gw).sum(dtype=float) + gb * gb))
+        first = norm if first is None else first
+        if norm <= tolerance * first:
+            return vw, vb
+        nw, nb = vw - step * gw, vb - step * gb
+        if t and nb == b and (nw == w).all():  # no step is left in these numbers
+            return w, b
+        if float(gw @ (nw - w)) + gb * (nb - b) > 0:  # uphill: the momentum goes
+            t = 0
         k = t / (t + 3)
-        vw, vb, w, b = nw + k * (nw - w), nb + k * (nb - b), nw, nb
-    return w, b
+        vw, vb, w, b, t = nw + k * (nw - w), nb + k * (nb - b), nw, nb, t + 1
+
+
+def draw(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """lang, doc_id, text of at most ``max_labelled`` rows, as many of each
+    language as of any other that has them (one at least): the smallest hashes of
+    the id, then the smallest ids.  Rows that repeat an id within a language count once,
+    with the greatest text.
+
+    An estimate of each language's ids (a mergeable sketch, so no id is shuffled
+    for it) gives a bound for the hash that a few more rows than needed pass, six
+    standard errors of the estimate and of the hash allowed; only those rows are
+    kept, and their ids ranked.
+    """
+    rows = labelled.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(
+        F.approx_count_distinct("doc_id", ERROR).alias("n")).collect()}
+    each = max(1, max_labelled // max(1, len(counts)))
+    enough = (1 + 6 * ERROR) * each + 6 * each ** 0.5 + 50
+    spark = labelled.sparkSession
+    cuts = spark.createDataFrame([(x, min(2 ** 63 - 1, int(2 ** 63 * min(1.0, enough / n)))) for x, n in counts.items()],
+                                 "lang string, cut long")
+    place = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 1)
+    passed = table(rows.join(F.broadcast(cuts), "lang").filter(place <= F.col("cut"))
+                   .groupBy("lang", "doc_id").agg(F.max("text").alias("text")), "language_candidates")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    chosen = passed.select("lang", "doc_id", rank.alias("rank")).filter(F.col("rank") <= each).select("lang", "doc_id")
+    return passed.join(chosen, ["lang", "doc_id"])
+
+
+def _grams_of(sample: DataFrame) -> DataFrame:
+    """lang, doc_id and the shares of the text's n-grams: places and values of
+    those above zero, so a row is small however long its text is."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 256):
+                part = b.iloc[i:i + 256]
+                x = histograms(part["text"].tolist())
+                at = [np.flatnonzero(r) for r in x]
+                yield pd.DataFrame({"lang": part["lang"], "doc_id": part["doc_id"],
+                                    "places": [p.astype(np.uint16).tobytes() for p in at],
+                                    "shares": [r[p].tobytes() for r, p in zip(x, at, strict=True)]})
+    return sample.select("lang", "doc_id", "text").mapInPandas(run, "lang string, doc_id long, places binary, shares binary")
 
 
 def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Hierarchy:
     """The models from rows (doc_id, text, lang), of which at most
-    ``max_labelled`` count: smallest hashes of the id, so each language by its
-    share.  Each pair's machine is fitted by a task of its own on the sample's
-    n-gram shares.  Without rows nothing is learned and all is ``und``."""
-    rows = labelled.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    sample = table(rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_labelled), "language_sample")
+    ``max_labelled`` count (see ``draw``).  Each pair's machine is fitted by a task
+    of its own on the sample's n-gram shares.  Without rows nothing is learned and
+    all is ``und``."""
+    sample = table(_grams_of(draw(labelled, max_labelled)), "language_sample")
     langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
     by_family = defaultdict(list)
     for x in langs:
@@ -188,8 +247,10 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Hierarchy:
     plan = spark.createDataFrame(plan, "job int, lang string, side double")
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("doc_id")
-        x = histograms(part["text"].tolist())
+        part = part.sort_values(["lang", "doc_id"])
+        x = np.zeros((len(part), 1 << BITS), np.float32)
+        for r, p, v in zip(x, part["places"], part["shares"], strict=True):
+            r[np.frombuffer(p, np.uint16)] = np.frombuffer(v, np.float32)
         mean = x.mean(0)
         scale = 1 / np.sqrt(mean + 1e-6)  # frequent and rare n-grams count alike
         w, b = linear_svm((x - mean) * scale, part["side"].to_numpy(np.float32))

@@ -109,14 +109,21 @@ def sample_consistency(long: DataFrame, sample: list[str], label: str, truth: st
     0 votes.  With truth, the truth label is one more vote: it adds one to the
     group of its label (or forms its own).
     """
+    keys = (by or []) + sample + ([truth] if truth else [])
+    per_label = long.groupBy(*keys, label).agg(F.count(label).alias("_n"))
+    return consistency_from_counts(per_label, sample, label, truth, by, "_n", rounded)
+
+
+def consistency_from_counts(per_label: DataFrame, sample: list[str], label: str, truth: str | None = None,
+                            by: list[str] | None = None, n: str = "n", rounded: bool = True) -> DataFrame:
+    """A5/A6 from the number ``n`` of votes per sample (with its truth) and label."""
     by = by or []
     rnd = _r6 if rounded else (lambda c: c)
     keys = by + sample + ([truth] if truth else [])
-    per_label = long.groupBy(*keys, label).agg(F.count(label).alias("_n"))
-    aggs = [F.sum("_n").alias("n_votes"), F.max("_n").alias("_top")]
+    aggs = [F.sum(n).alias("n_votes"), F.max(n).alias("_top")]
     if truth:
-        aggs.append(F.max(F.when(F.col(label) == F.col(truth), F.col("_n") + 1)
-                          .otherwise(F.col("_n"))).alias("_top_gt"))
+        aggs.append(F.max(F.when(F.col(label) == F.col(truth), F.col(n) + 1)
+                          .otherwise(F.col(n))).alias("_top_gt"))
     s = per_label.groupBy(*keys).agg(*aggs)
     out = [*keys, F.col("n_votes").cast("bigint").alias("n_votes"),
            F.when(F.col("n_votes") > 1, rnd(F.col("_top") / F.col("n_votes"))).alias("sample_consistency")]
@@ -145,25 +152,21 @@ def overall_consistency(per_sample: DataFrame, truth: str, by: list[str] | None
 def consistency_histogram(per_sample: DataFrame, cols: list[str], bins: int = 20) -> DataFrame:
     """Equal-width histogram over each column's own [min, max].
 
-    The range comes from scalar subqueries (one tiny aggregate each); bin =
-    floor((v-min)/(max-min)*bins), the maximum falls into the last bin.
-    Only non-empty bins are returned.
+    Two passes, however many columns: one aggregate for all ranges (a scalar
+    subquery of one row), one for all counts.  bin = floor((v-min)/(max-min)*bins),
+    the maximum falls into the last bin.  Only non-empty bins are returned.
     """
-    parts = []
-    for c in cols:
-        v = per_sample.select(F.col(c).alias("v")).where(F.col("v").isNotNull())
-        lo = v.select(F.min("v")).scalar()
-        hi = v.select(F.max("v")).scalar()
-        width = hi - lo
+    ends = per_sample.agg(*[f(c).alias(f"{m}{i}") for i, c in enumerate(cols) for m, f in (("lo", F.min), ("hi", F.max))])
+    ends = ends.select(F.struct(*ends.columns)).scalar()
+    cells = []
+    for i, c in enumerate(cols):
+        lo, width = ends[f"lo{i}"], ends[f"hi{i}"] - ends[f"lo{i}"]
         b = F.when(width == 0, F.lit(0)).otherwise(
-            F.least(F.floor((F.col("v") - lo) / width * bins), F.lit(bins - 1))).cast("int")
-        h = (v.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-             .select(F.lit(c).alias("metric"), "bin", "n"))
-        parts.append(h)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            F.least(F.floor((F.col(c) - lo) / width * bins), F.lit(bins - 1))).cast("int")
+        b = F.when(F.col(c).isNotNull(), b)
+        cells.append(F.struct(F.lit(c).alias("metric"), b.alias("bin")))
+    return (per_sample.select(F.explode(F.array(*cells)).alias("x")).where("x.bin is not null")
+            .groupBy("x.metric", "x.bin").agg(F.count(F.lit(1)).alias("n")))
 
 
 # -- A8 ---------------------------------------------------------------------------

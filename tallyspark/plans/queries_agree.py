@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.operators import agree
+from tallyspark.operators.votestate import VoteState
 from tallyspark.plans.registry import register
 from tallyspark.plans.sqlkit import big, r6
+from tallyspark.session import scratch_path
 from tallyspark.sources.fixtures import MODELS, RUNS, Views, with_views
 
 RATERS = [f"{m}_r{r}" for m, _ in MODELS for r in RUNS]
@@ -96,6 +98,19 @@ def q_sample_consistency_gt(spark, sf_dir):
     return agree.sample_consistency(cross_long(spark, sf_dir), ["sid"], "pred", truth="gt")
 
 
+@register("sample_consistency_state", sql=_sql(
+    f"SELECT sid, gt, {big('tv')} AS n_votes, {r6('c')} AS sample_consistency, "
+    f"{r6('cg')} AS sample_consistency_with_gt FROM scv", [_PL, _SC, _SCV]),
+    note="the same from a stored state to which each run's votes are added, one of them twice")
+def q_sample_consistency_state(spark, sf_dir):
+    votes = scratch_path(spark, "votes")
+    cross_long(spark, sf_dir).select("sid", "gt", "pred", "run").write.partitionBy("run").parquet(votes)
+    state = VoteState(scratch_path(spark, "vote-state"), ("sid",), "pred", "gt")
+    for r in [*RUNS, RUNS[0]]:
+        state.add(spark.read.parquet(votes).where(F.col("run") == r), f"run-{r}")
+    return state.consistency(spark)
+
+
 @register("overall_consistency", sql=_sql(
     f"SELECT count(*) AS n_samples, {r6('avg(c)')} AS overall_consistency, "
     f"{r6('avg(CASE WHEN CAST(gt AS VARCHAR) <> ' + chr(39) + '9' + chr(39) + ' THEN c END)')} "

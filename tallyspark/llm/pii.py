@@ -9,33 +9,45 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import hinted, one_per_id, table, whole_text
 
+# First names, marks that open issued keys, titles, words before a secret.
+FIRST_NAMES = ("james john robert michael william david richard thomas charles mary patricia jennifer linda elizabeth "
+               "barbara susan jessica sarah karen anna maria peter paul hans klaus wolfgang jürgen sabine petra monika "
+               "pierre jean jacques michel marie françoise isabelle sophie josé juan carlos luis miguel carmen ana lucía "
+               "pedro ahmed mohamed fatima wei li ming yuki hiroshi olga ivan dmitri").split()
+KEY_MARKS = "ghp_ gho_ ghu_ ghs_ github_pat_ glpat- sk- xoxa- xoxb- xoxp- xoxr- AKIA ASIA AIza".split()
+TITLES = r"(?:[Nn]ame is|Mrs?\.?|Ms\.?|Dr\.?|Herr|Frau|Monsieur|Madame|Señora?)"
+SECRET_WORDS = r"(?:password|passwd|pwd|secret|token|api[_\-]?key)"
+
 # Candidate patterns.  Quantifiers are possessive and starts anchored where that
-# changes no match, so that a long run of characters is read once.
+# changes no match, so that a long run of characters is read once.  Persons are
+# proposed by context (what follows a title) and by the list (a listed first name
+# and what follows it), secrets by context (the value after a secret's word) and
+# by the list (marks of issued keys); the words around them are not in the span.
 _LOCAL = r"A-Za-z0-9._%+\-"
+_VALUE = r"A-Za-z0-9_+/\-"
+_NAME = r"\p{Lu}\p{Ll}+"
 PATTERNS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20\-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9\-]+[0-9]",
-    "id": r"(?=[0-9A-Z])(?<![A-Za-z0-9\-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+)(?![A-Za-z0-9\-])",
-    "secret": r"(?=[PpSsTtAa])(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_\-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9_+/\-]{8,}+",
-    "person": r"(?=[NnMDHFS])(?<!\p{L})(?:[Nn]ame is|Mrs?\.?|Ms\.?|Dr\.?|Herr|Frau|Monsieur|Madame|Señora?)"
-              r"\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+){0,2}",
+    "id": r"(?=[0-9A-Z])(?<![A-Za-z0-9\-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[0-9]{1,3}|[A-Z0-9]{1,3})?+)(?![A-Za-z0-9\-])",
+    "secret": rf"(?=[{_VALUE}])(?<![{_VALUE}])(?:(?:{'|'.join(KEY_MARKS)})[{_VALUE}]{{8,}}+"
+              rf"|(?<=(?<![A-Za-z])(?i:{SECRET_WORDS})\x20?[=:]\x20?[\"']?)[{_VALUE}]{{8,}}+"
+              rf"|(?<=(?<![A-Za-z])(?i:{SECRET_WORDS})\x20)(?=[A-Za-z_+/\-]*+[0-9])[{_VALUE}]{{8,}}+)",
+    "person": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?<=(?<!\p{{L}}){TITLES}\x20){_NAME}(?:\x20{_NAME}){{0,2}}"
+              rf"|(?:{'|'.join(n.capitalize() for n in FIRST_NAMES)})(?:\x20{_NAME}){{1,2}})",
 }
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
 #: Characters of which a text must hold one to be searched at all.
-NEEDS = {"email": ("@",), "ip": (".",), "phone": ("+",), "secret": ("=", ":")}
+NEEDS = {"email": ("@",), "ip": (".",), "phone": ("+",)}
 CONTEXT = 48
 
-# Gazetteers, cue words.
+# Further gazetteers, cue words.
 TLDS = "com org net edu gov mil int info biz io co uk us ca au de fr es it nl be ch at se no dk fi pl pt ru jp cn in br mx eu".split()
 DIAL_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92".split()
 IBAN_COUNTRIES = "AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split()
-FIRST_NAMES = ("james john robert michael william david richard thomas charles mary patricia jennifer linda elizabeth "
-               "barbara susan jessica sarah karen anna maria peter paul hans klaus wolfgang jürgen sabine petra monika "
-               "pierre jean jacques michel marie françoise isabelle sophie josé juan carlos luis miguel carmen ana lucía "
-               "pedro ahmed mohamed fatima wei li ming yuki hiroshi olga ivan dmitri").split()
 CUES = {
     "email": r"e-?mail|contact|write|@|adresse|correo|kontakt|courriel",
     "ip": r"\bip\b|address|host|server|login|log in|from",
@@ -43,7 +55,7 @@ CUES = {
     "phone": r"phone|call|tel|mobile|fax|cell|telefon|appel|llam",
     "id": r"ssn|social|iban|account|passport|ident|konto|compte|cuenta",
     "secret": r"login|user|auth|credential|access",
-    "person": r"signed|regards|dear|contact|born|lives|sincerely",
+    "person": r"signed|regards|dear|contact|born|lives|sincerely|called|phone|met|told|wrote",
 }
 DENIALS = r"version|isbn|issn|section|chapter|figure|order no|invoice|checksum|example only"
 ROUNDS = 25
@@ -103,15 +115,13 @@ def votes(spans: DataFrame) -> DataFrame:
     s = F.col("span")
     yes_no = lambda c: F.when(c, 1).otherwise(-1)
     yes = lambda c: F.when(c, 1).otherwise(0)
-    secret = F.regexp_extract(s, r"([A-Za-z0-9_+/\-]+)$", 1)
     base = valid_base(s)
     form = _case({
         "email": yes_no(s.rlike(r"^[A-Za-z0-9].*@.*\.[A-Za-z]{2,24}$")), "ip": yes_no(base["ip"]),
         "card": yes_no(base["card"]), "phone": yes_no(base["phone"]),
         "id": yes_no(~s.rlike(r"^(?:000|666|9[0-9][0-9])-|-00-|-0000$")),
-        "secret": yes_no(secret.rlike("[0-9]") & secret.rlike("[A-Za-z]")),
-        "person": yes_no(s.rlike(r"\p{Ll}\x20\p{Lu}\p{Ll}{2,}|\.\x20\p{Lu}\p{Ll}{2,}"))}, 0)
-    named = F.lower(F.regexp_extract(s, r"(?:is|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Herr|Frau|Monsieur|Madame|Señora?) (\p{Lu}\p{Ll}+)", 1))
+        "secret": yes_no(s.rlike("[0-9]") & s.rlike("[A-Za-z]")),
+        "person": yes(s.rlike(r"\p{Ll}\x20\p{Lu}\p{Ll}{2,}"))}, 0)
     dialled = F.array(*(F.substring(_digits(s), 1, k) for k in (1, 2)))
     listed = _case({
         "email": yes(F.lower(F.regexp_extract(s, r"\.([A-Za-z0-9\-]+)$", 1)).isin(TLDS)),
@@ -119,10 +129,11 @@ def votes(spans: DataFrame) -> DataFrame:
         "card": yes_no(_digits(s).rlike("^[3-6]")),
         "phone": yes(F.arrays_overlap(dialled, F.array(*map(F.lit, DIAL_CODES)))),
         "id": yes(F.substring(s, 1, 2).isin(IBAN_COUNTRIES)),
-        "secret": yes(F.lower(s).rlike("^(?:password|passwd|pwd|secret|token|api)")),
-        "person": yes(named.isin(FIRST_NAMES))}, 0)
+        "secret": yes(s.rlike(f"^(?:{'|'.join(KEY_MARKS)})")),
+        "person": yes(F.lower(F.substring_index(s, " ", 1)).isin(FIRST_NAMES))}, 0)
     around = F.lower(F.concat_ws(" ", "before", "after"))
-    cue = _case({k: yes(around.rlike(p)) for k, p in CUES.items()}, 0)
+    titled = F.col("before").rlike(TITLES + r"\x20$")
+    cue = _case({k: yes(around.rlike(p) | titled if k == "person" else around.rlike(p)) for k, p in CUES.items()}, 0)
     context = F.when(F.lower("before").rlike(DENIALS), -1).otherwise(cue)
     return spans.select("*", F.array(form, listed, context).alias("votes"))
 
@@ -133,7 +144,7 @@ def reliabilities(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     Votes given the truth are independent, with a distribution of its own for
     each kind and labeler; neither those nor the share of true candidates is
-    known.  The corpus gives a count for each of the at most 27 vote patterns of
+    known.  Whether a labeler votes at all tells nothing.  The corpus gives a count for each of the at most 27 vote patterns of
     a kind; the rounds work on these counts, one row per kind.
     """
     counts = voted.groupBy("kind", "votes").agg(F.count("*").cast("double").alias("n"))
@@ -144,9 +155,9 @@ def reliabilities(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         return f"aggregate(zip_with(pats, post, (y, q) -> if({cond}, y.n * ({p}), 0D)), 0D, (s, v) -> s + v)"
 
     def joint(true: bool) -> str:
-        total = weight("true", true)
-        terms = [f"(({weight(f'y.votes[{j}] = x.votes[{j}]', true)} + 0.5D) / ({total} + 1.5D))" for j in range(3)]
-        return f"({total} + 1D) * " + " * ".join(terms)
+        terms = [f"if(x.votes[{j}] = 0, 1D, ({weight(f'y.votes[{j}] = x.votes[{j}]', true)} + 0.5D) / "
+                 f"({weight(f'y.votes[{j}] <> 0', true)} + 1D))" for j in range(3)]
+        return f"({weight('true', true)} + 1D) * " + " * ".join(terms)
     step = f"transform(pats, x -> {joint(True)} / ({joint(True)} + {joint(False)}))"
     start = "transform(pats, x -> 0.5D + 0.15D * aggregate(x.votes, 0, (s, v) -> s + v))"
     post = F.expr(f"aggregate(sequence(1, {rounds}), {start}, (post, round) -> {step})")
@@ -208,8 +219,9 @@ def personal_spans(docs: DataFrame, add_at: float = ADD_AT) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base (array of
-    kind:start:end of base spans), spans (of all spans), by kind, then start.
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, n_id, n_secret,
+    n_person, base (array of kind:start:end of base spans), spans (of all spans),
+    by kind, then start.
 
     Rows without an id are left out, rows that repeat one count once; texts
     without spans, null and empty ones included, have empty arrays; an empty
@@ -221,10 +233,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     listed = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["said"])
     item = F.struct("kind", "start", "said")
     per = spans.groupBy("doc_id").agg(
-        *(F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{b}") for k, b in enumerate(BASE)),
+        *(F.count_if(F.col("kind") == k).alias(f"n_{b}") for k, b in enumerate(KINDS)),
         listed(F.when(F.col("base"), item)).alias("base"), listed(item).alias("spans"))
     ids = one_per_id(docs.select("doc_id"), "doc_id", [])
     none = F.array().cast("array<string>")
     return ids.join(per, "doc_id", "left").select(
-        "doc_id", *(F.coalesce(f"n_{b}", F.lit(0).cast("long")).alias(f"n_{b}") for b in BASE),
+        "doc_id", *(F.coalesce(f"n_{b}", F.lit(0).cast("long")).alias(f"n_{b}") for b in KINDS),
         F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))

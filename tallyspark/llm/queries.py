@@ -44,8 +44,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 @query("op1_pii")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", *(f"n_{b}" for b in pii.BASE), F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
-                        F.array_join("spans", ",").alias("spans"))
+    return found.select("doc_id", *(f"n_{b}" for b in pii.KINDS), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
 
 
 @query("op2_repeated_bytes")

@@ -96,7 +96,7 @@ def _write_runs(spark, sf_dir):
 
 def _runs_folder_tag(df):
     # Part files sit in a folder named after the run; tag from the folder.
-    return IO.with_run_tag(df.withColumn("file", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)))
+    return IO.with_run_tag(df.withColumn("file", IO.parent_folder(F.col("file"))))
 
 
 @register("read_prediction_runs", sql=with_views("pred_long",

@@ -143,13 +143,25 @@ def expand(spark: SparkSession, paths: list[str]) -> list[str]:
     return out
 
 
+def file_stem(path: Column) -> Column:
+    """A path's last part without its extension.  The path is cut at its last
+    slash: a pattern tried from each of its characters takes time in their square."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+
+
+def parent_folder(path: Column) -> Column:
+    """The name of the folder that a path's last part is in ('' without one)."""
+    return F.when(path.contains("/"), F.substring_index(F.substring_index(path, "/", -2), "/", 1)).when(
+        path.isNotNull(), F.lit(""))
+
+
 def with_run_tag(df: DataFrame, file_col: str = "file", prefix: str = RUN_FILE_PREFIX) -> DataFrame:
     """Model key and run id from a file name.
 
     Stem = name without folder and extension; the prefix is removed; a
     trailing ``-<digits>`` is the run id (else -1) and the rest the model.
     """
-    stem = F.regexp_replace(F.regexp_extract(F.col(file_col), r"([^/]*)$", 1), r"\.[^.]*$", "")
+    stem = file_stem(F.col(file_col))
     name = F.regexp_replace(stem, "^" + prefix, "")
     run = F.regexp_extract(name, r"-(\d+)$", 1)
     return df.withColumn("model_key", F.regexp_replace(name, r"-(\d+)$", "")) \
@@ -159,7 +171,7 @@ def with_run_tag(df: DataFrame, file_col: str = "file", prefix: str = RUN_FILE_P
 def model_tag_by_prefix(df: DataFrame, file_col: str = "file", drop: int = 2) -> DataFrame:
     """Cross-model reader rule: the model tag is the file stem minus its
     first ``drop`` characters (a sort prefix)."""
-    stem = F.regexp_replace(F.regexp_extract(F.col(file_col), r"([^/]*)$", 1), r"\.[^.]*$", "")
+    stem = file_stem(F.col(file_col))
     return df.withColumn("model_tag", F.substring(stem, drop + 1, 1 << 20))
 
 

@@ -12,12 +12,12 @@ from tallyspark.functions.joins import checked_broadcast
 def first_per_key(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """First row per key in ``order`` (ties broken by the values themselves).
 
-    An aggregate (``min_by``), not a window: it combines map-side, so a hot
+    An aggregate (``min`` of one struct), not a window: it combines map-side, so a hot
     key ships one row per map task instead of all its rows.
     """
-    ordering = F.struct(*[F.col(c) for c in order + values])
-    picked = F.min_by(F.struct(*[F.col(c) for c in values]), ordering).alias("_first")
-    return df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_first.{v}").alias(v) for v in values])
+    # the values end the ordering, so the least ordering holds them already
+    ordered = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c).alias(c) for c in values])
+    return df.groupBy(*keys).agg(F.min(ordered).alias("_first")).select(*keys, *[F.col(f"_first.{v}").alias(v) for v in values])
 
 
 def explode_vehicles(cases: DataFrame, count_col: str = "vehicles", out: str = "vehno") -> DataFrame:

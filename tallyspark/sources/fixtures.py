@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.codes import MANCOLL_CODES
 from tallyspark.functions.hashing import hash32, pick, sql_hash32, sql_pick
 from tallyspark.operators.relate import first_per_key
-from tallyspark.session import spread
+from tallyspark.session import scratch_path, spread
 
 # (model, error percent); every model has runs 1..3.
 MODELS = [("m1", 10), ("m2", 20), ("m3", 30)]
@@ -118,8 +118,10 @@ class Views:
         li = self.table("lineitem")
         k = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
                         F.col("l_partkey").cast("string"))
-        x = hash32(k, "cat") % 20
-        conf_idx = hash32(k, "conf") % 14
+        # each hash once a row: a column of its own, not repeated in every branch that reads it
+        li = li.select("l_orderkey", "l_linenumber", *GV_ORDER, (hash32(k, "cat") % 20).alias("_x"),
+                       (hash32(k, "conf") % 14).alias("_conf"))
+        x, conf_idx = F.col("_x"), F.col("_conf")
         return li.select(
             F.col("l_orderkey").alias("caseid"),
             F.col("l_linenumber").cast("int").alias("vehno"),
@@ -145,6 +147,15 @@ class Views:
         return first_per_key(raw, ["caseid", "vehno"], GV_ORDER,
                              ["crashcat", "crashconf", "crashtype", "_pd", "_pe", "_pp"])
 
+    def kept_vehicles(self) -> Views:
+        """These views with the deduped vehicles written once: for queries of
+        several jobs (or range partitionings, which read their input twice),
+        each of which would derive them again."""
+        path = scratch_path(self.spark, "vehicles")
+        self._gv_first.write.parquet(path)
+        self.__dict__["_gv_first"] = self.spark.read.parquet(path)
+        return self
+
     @cached_property
     def gv(self) -> DataFrame:
         """First vehicle row per (caseid, vehno) in the declared order."""

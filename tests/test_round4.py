@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import baseline as B
 from tallyspark.operators.relate import first_per_key
 from tallyspark.sources import io as IO
+from tallyspark.sources.fixtures import Views
 
 
 def test_path_parts_take_linear_time(spark):
@@ -45,3 +46,15 @@ def test_first_per_key_orders_and_keeps_rows_whole(spark):
     assert got == {1: ("y", None, 1), 2: ("z", 1, None), None: ("n", 3, 3)}
     plan = first_per_key(rows, ["k"], ["o"], ["v", "w"])._jdf.queryExecution().optimizedPlan().toString()
     assert "min_by" not in plan  # one struct is carried and sorted, not two
+
+
+def test_kept_vehicles_are_read_back_and_the_same(spark, tmp_path):
+    spark.range(0, 400).selectExpr("id % 100 as l_orderkey", "cast(id % 3 as int) as l_linenumber", "id * 7 % 50 as l_partkey",
+                                   "id % 5 as l_suppkey", "cast(id as double) as l_extendedprice", "date'2020-01-01' as l_shipdate"
+                                   ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(0, 100).selectExpr("id as o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    plain, kept = Views(spark, str(tmp_path)), Views(spark, str(tmp_path)).kept_vehicles()
+    for name in ("gv", "vpred"):
+        a, b = getattr(plain, name), getattr(kept, name)
+        assert a.count() and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        assert not any("lineitem" in f for f in b.inputFiles())

@@ -91,7 +91,7 @@ def q_category_options(spark, sf_dir):
 @register("configuration_options", sql=with_views("gv", CONF_OPTIONS_SQL, [CONF_CO]),
           note="letters that each category allows, with the remarks some of them carry")
 def q_configuration_options(spark, sf_dir):
-    return R.configuration_options(category_letters(spark, sf_dir))
+    return R.configuration_options(category_letters(Views(spark, sf_dir)))
 
 
 @register("truth_list", sql=with_views("gv",

@@ -84,9 +84,9 @@ CONF_OPTIONS_SQL = (
     "FILTER (WHERE conf IN ('C', 'K')), '') AS note FROM co GROUP BY category")
 
 
-def category_letters(spark, sf_dir):
+def category_letters(views):
     """(category, conf, meaning, remark): codebook rows derived from the labels."""
-    g = Views(spark, sf_dir).gv.where("crashcat is not null").select(
+    g = views.gv.where("crashcat is not null").select(
         F.col("crashcat").alias("category"), F.col("crashconf").alias("conf")).distinct()
     return g.select("category", "conf", F.concat(F.lit("Configuration "), "conf").alias("meaning"),
                     F.when(F.col("conf").isin("C", "K"), F.lit("check the trafficway")).alias("remark"))
@@ -122,7 +122,7 @@ def q_sft_category(spark, sf_dir):
     [_EX, _LK, CONF_CO, ("opt", CONF_OPTIONS_SQL)]))
 def q_sft_configuration(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return T.sft_configuration(v.narr, v.gv_raw, R.configuration_options(category_letters(spark, sf_dir)), v.codebook, GV_ORDER)
+    return T.sft_configuration(v.narr, v.gv_raw, R.configuration_options(category_letters(v)), v.codebook, GV_ORDER)
 
 
 @register("build_prompts_category", sql=with_views("narr",
@@ -144,8 +144,8 @@ _KNOWN = ("known", "SELECT caseid, vehno, min(crashcat) AS crashcat, min(crashco
       f"WHERE crashcat IN ({', '.join(map(str, CRASHCAT_NAMES))})",
     [_EX, _KNOWN, CONF_CO, ("opt", CONF_OPTIONS_SQL)]), note="category as predicted before")
 def q_prompts_configuration(spark, sf_dir):
-    v = Views(spark, sf_dir)
-    return T.vehicle_prompts(v.narr, "configuration", v.vpred, R.configuration_options(category_letters(spark, sf_dir)))
+    v = Views(spark, sf_dir).kept_vehicles()
+    return T.vehicle_prompts(v.narr, "configuration", v.vpred, R.configuration_options(category_letters(v)))
 
 
 @register("build_prompts_type", sql=with_views(["narr", "gv", "vpred"],

@@ -18,7 +18,8 @@ COSINE = 0.98
 #: Blocks that a rotated vector is split into, at most.
 BLOCKS = 8
 #: Rows that a task compares at once; a cell with more is dealt in chunks of so many.
-CELL_ROWS = 2048
+#: Bringing a row to a cell costs as much as comparing it with some thousands.
+CELL_ROWS = 8192
 SEED = 13
 
 
@@ -169,15 +170,20 @@ def cell_links(rows: pd.DataFrame, blocks: int, cosine: float) -> pd.DataFrame:
     if length is None or length.min() < 1e-140:  # out of range for squares
         x = x / np.abs(x).max(axis=1, keepdims=True)
         length = np.sqrt(np.einsum("ij,ij->i", x, x))
-    step = max(1, 2_000_000 // len(ids))
-    for at in range(0, len(ids), step):
-        some = slice(at, min(at + step, len(ids)))
-        d = block_distance(own[some][:, None, :], own[None, at:, :])
-        i, j = np.nonzero(d <= budget)
-        i, j = i + at, j + at
-        keep = i < j
-        if mixed:
-            keep &= chunk[i] != chunk[j]
+    # a matrix product gives |p|^2 + |q|^2 - 2 p.q for all pairs, with some rounding (lengths are at most 1)
+    square, ones = np.einsum("ij,ij->i", own, own)[:, None], np.ones((len(ids), 1))
+    left, right = np.hstack([-2 * own, square, ones]), np.ascontiguousarray(np.hstack([own, ones, square]).T)
+    rows_a = np.flatnonzero(chunk == rows["lo"].iloc[0]) if mixed else np.arange(len(ids))
+    rows_b = np.flatnonzero(chunk == rows["hi"].iloc[0]) if mixed else rows_a
+    right = right[:, rows_b]
+    step = max(1, 200_000 // len(ids))  # few enough to stay in a core's cache
+    for at in range(0, len(rows_a), step):
+        some, start = rows_a[at:at + step], 0 if mixed else at
+        near = np.flatnonzero(left[some] @ right[:, start:] <= budget + 1e-9)
+        i, j = some[near // (len(rows_b) - start)], rows_b[start + near % (len(rows_b) - start)]
+        if not mixed:
+            i, j = i[i < j], j[i < j]
+        keep = block_distance(own[i], own[j]) <= budget
         i, j = i[keep], j[keep]
         for k in range(0, len(i), 20_000):
             p, q = i[k:k + 20_000], j[k:k + 20_000]

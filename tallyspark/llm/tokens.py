@@ -22,7 +22,7 @@ PERCENTILE = 90
 END_ID = 2
 #: Ids a segment of a file holds before the next begins.
 SEGMENT_IDS = 1 << 18
-#: Distinct pieces whose ids a task keeps.
+#: Distinct pieces whose ids a Python worker keeps.
 CACHE_PIECES = 700_000
 MAGIC = b"TPF1"
 
@@ -265,6 +265,13 @@ class Encoder:
         return out
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One of a worker's own, shared by the tasks that it runs one after the
+    other: each finds the pieces that those before it have met."""
+    return Encoder(path)
+
+
 def _groups(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of about ``chars`` characters."""
     start = held = 0
@@ -299,7 +306,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
         part, seq, at, last = TaskContext.get().partitionId(), 0, 0, None
-        enc = Encoder(tokenizer)  # its pieces go when the task ends
+        enc = encoder(tokenizer)
         end = np.array([end_id], "<u4")
         held: list[np.ndarray] = []
         size, doc_ids, lengths, begins = 0, [], [], -1

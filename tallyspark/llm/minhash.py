@@ -4,6 +4,7 @@ signatures (operator 4)."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,6 +24,8 @@ CHUNKS, WIDTH, ERRORS = 14, 4, 1
 #: compared: all that the chunks guarantee to find (a pair of similarity 0.8
 #: differs in more with a probability of 4e-7).
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Members from which all of a bucket are compared with its centre, if any is in another component.
+CROWD = 8
 #: Ids up to which the documents to compare are broadcast to their texts; above, texts are shuffled.
 BROADCAST_IDS = 200_000
 _U = np.uint64
@@ -127,14 +130,28 @@ def full_sets(rows: DataFrame, shingle: int) -> DataFrame:
 
 def compared(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) with the sizes of their full sets, the number of shingles
-    that they share, and the shingles that b has beyond a."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    that they share, the shingles that b has beyond a (extra), and which of a's
+    sorted shingles b has (bits, 64 a number)."""
+    ids = table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "compared")
     sets = table(full_sets(rows.join(hinted(ids, BROADCAST_IDS), "doc_id", "left_semi"), shingle), "sets")
     both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a"))
-    both = both.select("a", "b", F.size("ma").alias("n_a"), F.size("mb").alias("n_b"),
-                       F.array_except("mb", "ma").alias("extra"))
-    return both.withColumn("common", F.col("n_b") - F.size("extra"))
+    return both.select("a", "b", "ma", "mb").mapInPandas(
+        _shared, "a long, b long, n_a int, n_b int, common int, extra array<long>, bits array<long>")
+
+
+def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for i in range(0, len(batch), 200):
+            own, out = batch.iloc[i:i + 200], []
+            for a, b, ma, mb in own[["a", "b", "ma", "mb"]].itertuples(index=False):
+                inside = np.isin(ma, mb, assume_unique=True)
+                extra = np.setdiff1d(mb, ma, assume_unique=True)
+                bits = np.zeros(-(-len(ma) // 64) * 8, np.uint8)
+                packed = np.packbits(inside, bitorder="little")
+                bits[:len(packed)] = packed
+                out.append((a, b, len(ma), len(mb), int(inside.sum()), extra, bits.view(np.int64)))
+            yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b", "common", "extra", "bits"])
 
 
 def linked(common: Column, percent: int) -> Column:
@@ -157,12 +174,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     meets most others over all its buckets.  That puts a group of copies of one
     text together without listing its pairs.  What is then in another component
     than the centre is compared with the bucket's members of other components,
-    unless their sizes, their signatures or the centre rule a link out: two
-    sets cannot share more than the lesser of what each shares with the centre
-    and what they share beyond it.  A pair is listed in one of the buckets it
-    shares.  Every comparison is on full sets.  So
-    no pair within a component is listed, and none across two that could be a
-    link is left out.
+    unless their sizes or their signatures rule a link out.  Two sets that were
+    both compared with the centre are compared there and then, on what of
+    the centre's set both have and on what they have beyond it, which together
+    is all that they share; only links are listed.  In a bucket of ``CROWD`` members
+    and more that is so for all; in a smaller one a pair of which one set was not
+    compared with the centre is listed, in one of the buckets it shares, and its
+    full sets are compared.  So what is listed grows with the members of all buckets, not
+    with the square of one's, no pair within a component is listed, and
+    none across two that could be a link is left out.
 
     Returns doc_id, n_shingles (size of the set), component_id (smallest id
     reachable), kept.  Null, empty or blank text has no shingles and is linked
@@ -183,7 +203,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     shared = table(index.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
     near = table(index.join(shared, "key"), "near")
     meets = near.groupBy("id").agg(F.sum("m").alias("met"))
-    near = near.join(meets, "id").select("key", "k", "id", F.struct("met", (-F.col("id")).alias("id")).alias("rank"))
+    near = near.join(meets, "id").select("key", "k", "m", "id", F.struct("met", (-F.col("id")).alias("id")).alias("rank"))
     centre = table(near.groupBy("key").agg((-F.max("rank")["id"]).alias("centre")), "centres")
     placed = table(near.drop("rank").join(centre, "key"), "placed")
     stars = placed.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
@@ -195,19 +215,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     links = tested.filter(linked(F.col("common"), percent)).select("a", "b")
     comp = components(links)
 
-    # what each member of a bucket shares with its centre, and has beyond it; null if that was ruled out
-    with_centre = tested.select(F.col("a").alias("centre"), F.col("b").alias("id"), "common", "extra")
+    # buckets with members in another component than the centre
     home = comp.select(F.col("id").alias("centre"), F.col("comp").alias("home"))
     there = (placed.join(comp, "id", "left").join(home, "centre", "left")
              .withColumn("comp", F.coalesce("comp", "id")).withColumn("home", F.coalesce("home", "centre")))
-    strays = there.filter("comp <> home")
-    there = table(there.join(strays.select("key").distinct(), "key", "left_semi")
-                  .join(with_centre, ["centre", "id"], "left")
+    there = table(there.join(there.filter("comp <> home").select("key").distinct(), "key", "left_semi"), "mixed")
+    # in large ones also those that signatures told from the centre: a comparison each, not one for each two of them
+    beyond = there.filter((F.col("m") >= CROWD) & (F.col("id") != F.col("centre"))).select(
+        F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    beyond = table(beyond.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "beyond")
+    more = []
+    if not beyond.isEmpty():
+        beyond = table(compared(beyond, rows, shingle), "beyond_tested")
+        tested = tested.unionByName(beyond)
+        more.append(beyond.filter(linked(F.col("common"), percent)).select("a", "b"))
+
+    # what each member of a bucket shares with its centre, and has beyond it; null if that was ruled out
+    with_centre = tested.select(F.col("a").alias("centre"), F.col("b").alias("id"), "common", "extra", "bits")
+    whole = F.ceil(F.col("n") / 64).cast("int")
+    there = table(there.join(with_centre, ["centre", "id"], "left")
                   .join(seen.select(F.col("doc_id").alias("id"), "n", "sig", "keys"), "id")
                   .withColumn("common", F.when(F.col("id") == F.col("centre"), F.col("n")).otherwise(F.col("common")))
                   .withColumn("extra", F.when(F.col("id") == F.col("centre"), F.array().cast("array<long>"))
-                              .otherwise(F.col("extra"))), "there")
-    cols = ("id", "comp", "n", "sig", "keys", "common", "extra")
+                              .otherwise(F.col("extra")))
+                  .withColumn("bits", F.when(F.col("id") == F.col("centre"), F.array_repeat(F.lit(-1).cast("long"), whole))
+                              .otherwise(F.col("bits"))), "there")
+    cols = ("id", "comp", "n", "sig", "keys", "common", "extra", "bits")
     x = there.filter("comp <> home").select("key", "k", *(F.col(c).alias(f"{c}_a") for c in cols))
     y = there.select(F.col("key").alias("key_b"), (F.col("comp") == F.col("home")).alias("at_home"),
                      *(F.col(c).alias(f"{c}_b") for c in cols))
@@ -215,17 +248,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     inside = F.least("common_a", "common_b")
     outside = F.least(F.col("n_a") - F.col("common_a"), F.col("n_b") - F.col("common_b"))
     possible = unknown | linked(inside + outside, percent)
-    likely = unknown | linked(inside + F.size(F.array_intersect("extra_a", "extra_b")), percent)
+    # what both share with the centre, and beyond it: all that they share
+    both_have = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda s, x: s + x)
+    likely = unknown | linked(both_have + F.size(F.array_intersect("extra_a", "extra_b")), percent)
     # the first key that both have is this bucket's
     once = F.expr("not exists(slice(zip_with(keys_a, keys_b, (p, q) -> p = q), 1, k), e -> e)")
     across = ((F.col("comp_a") != F.col("comp_b")) & (F.col("at_home") | (F.col("id_a") < F.col("id_b")))
-              & possible & _alike(percent, distance, longs) & once & likely)
-    other = x.join(y, (F.col("key") == F.col("key_b")) & across).select(
-        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    other = table(other.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"],
-                             "left_anti"), "others")
-    if not other.isEmpty():
-        more = compared(other, rows, shingle).filter(linked(F.col("common"), percent)).select("a", "b")
+              & possible & _alike(percent, distance, longs) & likely & once)
+    other = table(x.join(y, (F.col("key") == F.col("key_b")) & across).select(
+        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), unknown.alias("open")), "others")
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = table(other.filter("open").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "rest")
+    more.append(other.filter("not open").select("a", "b"))
+    if not rest.isEmpty():
+        more.append(compared(rest, rows, shingle).filter(linked(F.col("common"), percent)).select("a", "b"))
+    more = table(reduce(DataFrame.unionByName, more), "more")
+    if not more.isEmpty():
         comp = components(links.unionByName(more))
     return (seen.select("doc_id", "n").join(member, "doc_id", "left")
             .join(comp.withColumnRenamed("id", "rep"), "rep", "left")

@@ -164,9 +164,11 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, n_features: int =
 def binary_grades(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, text, grade of at most ``max_labelled`` documents with binary
     toxic labels (smallest hashes of the id): 0 for a clean text; toxic ones are
-    grade 1 or 2 as the share of their words that mark toxic texts is below the
+    grade 1 or 2 as the number of their words that mark toxic texts is below the
     median of the toxic ones or not.  Marking words stand in at least
-    ``MIN_TEXTS`` toxic texts and in no clean one.  A document labelled more than
+    ``MIN_TEXTS`` toxic texts and in no clean one.  It is their number, not their
+    share, as the model sees counts too: by share a long text with many of them
+    is graded below a short one with few, which no weight can follow.  A document labelled more than
     once counts by its highest label; null labels do not count."""
     label = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     label = label.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -176,11 +178,11 @@ def binary_grades(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     marking = (words.groupBy("w").agg(F.countDistinct(F.when(F.col("toxic") > 0, F.col("doc_id"))).alias("bad"),
                                       F.max(F.expr("int(toxic = 0)")).alias("good"))
                .filter(F.col("bad") >= MIN_TEXTS).filter("good = 0").select("w"))
-    share = (words.filter("toxic > 0").join(marking.withColumn("mark", F.lit(1)), "w", "left").groupBy("doc_id")
-             .agg((F.count("mark") / F.count("*")).alias("share")))
-    middle = share.agg(F.percentile_approx("share", 0.5, 10_000)).first()[0]
-    return rows.join(share, "doc_id", "left").select(
-        "doc_id", "text", F.when(F.col("toxic") <= 0, 0).when(F.coalesce("share", F.lit(0.0)) < F.lit(middle or 0.0), 1)
+    marks = (words.filter("toxic > 0").join(marking.withColumn("mark", F.lit(1)), "w", "left").groupBy("doc_id")
+             .agg(F.count("mark").alias("marks")))
+    middle = marks.agg(F.percentile_approx("marks", 0.5, 10_000)).first()[0]
+    return rows.join(marks, "doc_id", "left").select(
+        "doc_id", "text", F.when(F.col("toxic") <= 0, 0).when(F.coalesce("marks", F.lit(0)) < F.lit(middle or 0), 1)
         .otherwise(2).alias("grade"))
 
 

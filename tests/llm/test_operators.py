@@ -460,6 +460,28 @@ def test_ordinal_regression(spark, docs, none):
     assert not any(r["toxic"] for r in toxicity.severity(docs, None).collect())
 
 
+def test_long_toxic_texts_are_graded_by_their_words(spark):
+    """Long texts with many marking words and short ones with few: by their share
+    the long ones were the milder, and half of all were not caught."""
+    r = random.Random(11)
+    bad, words = ["vile", "scumbag", "nasty", "filthy"], [f"w{i}" for i in range(300)]
+    data, labels = [], []
+    for i in range(900):
+        size, marks = [(30, 1), (120, 3), (600, 6)][i % 3]
+        t = [r.choice(words) for _ in range(size)]
+        if i % 10 == 0:
+            for at in r.sample(range(size), marks):
+                t[at] = r.choice(bad)
+        data.append((i, " ".join(t), "en", "a", 1))
+        labels.append((i, int(i % 10 == 0)))
+    docs, labels = frame(spark, data, repeat=False), spark.createDataFrame(labels, "doc_id long, toxic int")
+    grades = toxicity.binary_grades(docs, labels)
+    got = {x["doc_id"]: x["grade"] for x in grades.collect()}
+    assert all(got[i] == (0 if i % 10 else 1 + (i % 3 > 0)) for i in got)
+    toxic = {x["doc_id"] for x in toxicity.severity(docs, toxicity.fit(grades)).filter("toxic").collect()}
+    assert len({i for i in toxic if i % 10 == 0}) >= 80 and not {i for i in toxic if i % 10}
+
+
 def labelled_again():
     r = random.Random(70)
     words = [f"w{i}" for i in range(200)]

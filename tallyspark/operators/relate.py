@@ -26,6 +26,10 @@ def explode_vehicles(cases: DataFrame, count_col: str = "vehicles", out: str = "
     return cases.select("*", F.explode(seq).alias(out))
 
 
+#: Keys asked for up to which truth rows of other keys are dropped before they are reduced.
+ASKED_KEYS = 500_000
+
+
 def lookup_truth(df: DataFrame, gv: DataFrame, order: list[str], keys: tuple[str, str] = ("caseid", "vehno"),
                  values: tuple[str, ...] = ("crashcat", "crashconf", "crashtype"),
                  key_cast: str | None = None) -> DataFrame:
@@ -34,7 +38,8 @@ def lookup_truth(df: DataFrame, gv: DataFrame, order: list[str], keys: tuple[str
     ``order`` declares "first" and must be given (an empty list: by the values);
     every row of ``df`` comes back once, however often the truth repeats a key.
     The truth side is reduced with :func:`first_per_key`, whose output is already
-    hash-partitioned on the keys, so only ``df`` is shuffled for the join.
+    hash-partitioned on the keys, so only ``df`` is shuffled for the join.  If ``df``
+    asks for few keys, only their truth rows are reduced.
     ``key_cast="string"`` compares keys as text (R3).
     """
     keys = list(keys)
@@ -42,6 +47,9 @@ def lookup_truth(df: DataFrame, gv: DataFrame, order: list[str], keys: tuple[str
     if key_cast:
         df = df.select(*[F.col(c).cast(key_cast).alias(c) if c in keys else F.col(c) for c in df.columns])
         gv = gv.select(*[F.col(c).cast(key_cast).alias(c) if c in keys else F.col(c) for c in gv.columns])
+    asked = df.select(*keys).distinct()
+    if asked.limit(ASKED_KEYS + 1).count() <= ASKED_KEYS:
+        gv = gv.join(F.broadcast(asked), keys, "left_semi")
     return df.join(first_per_key(gv, keys, order, values), keys, "left")
 
 

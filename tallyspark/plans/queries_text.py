@@ -169,9 +169,12 @@ _TYPE_CTES = [_EX, _LK, ("el", "SELECT lk.*, c.code_offset FROM lk JOIN codebook
 
 @register("sft_examples", sql=with_views(["narr", "gv", "codebook"], _TYPE_SQL, _TYPE_CTES))
 def q_sft_examples(spark, sf_dir):
-    """T4, crash type."""
+    """T4, crash type.  The options, a row per configuration, are derived from all
+    vehicles once and kept, not again for every job that reads them."""
     v = Views(spark, sf_dir)
-    return T.sft_type(v.narr, v.gv_raw, codebook_from_gv(spark, sf_dir), v.codebook, GV_ORDER)
+    path = scratch_path(spark, "options")
+    codebook_from_gv(spark, sf_dir).write.parquet(path)
+    return T.sft_type(v.narr, v.gv_raw, spark.read.parquet(path), v.codebook, GV_ORDER)
 
 
 @register("sft_examples_first", sql=with_views(["narr", "gv", "codebook"],

@@ -182,3 +182,20 @@ def test_baselines_on_separable_rows(spark):
     levels = B.noise_robustness(docs, pcts=[5, 20]).collect()
     assert len(levels) == 8
     assert all(r["value"] == 1.0 for r in levels if r["metric"] == "accuracy" and r["noise_pct"] == 5)
+
+
+def test_lookup_reduces_only_truth_rows_asked_for(spark):
+    gv = spark.createDataFrame([(1, 1, 3, "B", 5), (1, 1, 2, "A", 4), (2, 1, 1, "C", 6), (None, 1, 1, "D", 7)],
+                               "caseid long, vehno int, crashcat int, crashconf string, crashtype int")
+    df = spark.createDataFrame([(1, 1), (1, 1), (3, 1), (None, 1)], "caseid long, vehno int")
+    out = R.lookup_truth(df, gv, ["crashcat"])
+    got = sorted(((r["caseid"], r["crashconf"]) for r in out.collect()), key=str)
+    assert got == [(1, "A"), (1, "A"), (3, None), (None, None)]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sft_examples_derive_the_options_once(spark):
+    out = __import__("__spark_entry__").queries()["sft_examples"](spark, "/root/testdata/sf0.001")
+    # the final query reads lineitem for the labels alone, the options as they were written
+    assert sum("lineitem.parquet" in f for f in out.inputFiles()) == 1
+    assert any("/options-" in f for f in out.inputFiles())

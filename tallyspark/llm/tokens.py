@@ -138,9 +138,12 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
         rows = np.flatnonzero(width == w)
         size = -(-block * int(w) // 8)
         out[rows] = _unpack_bits(raw[at[rows][:, None] + 7 + np.arange(size)], block, int(w))
-    for j in np.flatnonzero(exceptions):
-        k, p = int(exceptions[j]), int(at[j]) + 7 + -(-block * int(width[j]) // 8)
-        out[j, np.frombuffer(data, "<u2", k, p)] = np.frombuffer(data, "<u4", k, p + 2 * k)
+    if exceptions.any():  # those of all blocks at once
+        b = np.repeat(np.arange(b1 - b0), exceptions)
+        rank = np.arange(len(b)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+        base = (at + 7 + -(-block * width // 8))[b]
+        place = raw[(base + 2 * rank)[:, None] + np.arange(2)].view("<u2")[:, 0]
+        out[b, place] = raw[(base + 2 * exceptions[b] + 4 * rank)[:, None] + np.arange(4)].view("<u4")[:, 0]
     out += low[:, None]
     return out.ravel()[first - b0 * block:last - b0 * block].astype(np.uint32)
 

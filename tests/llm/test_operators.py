@@ -482,6 +482,16 @@ def test_long_toxic_texts_are_graded_by_their_words(spark):
     assert len({i for i in toxic if i % 10 == 0}) >= 80 and not {i for i in toxic if i % 10}
 
 
+def test_unpack_takes_exceptions_of_all_blocks_at_once(monkeypatch):
+    r = np.random.default_rng(3)
+    ids = r.integers(0, 300, 40_000).astype(np.uint32)
+    ids[r.random(40_000) < 0.06] += 1 << 17
+    data, seen, plain = tokens.pack(ids), [], np.frombuffer
+    monkeypatch.setattr(tokens.np, "frombuffer", lambda *a, **k: seen.append(1) or plain(*a, **k))
+    assert (tokens.unpack(data) == ids).all() and len(seen) < 10
+    assert (tokens.unpack(data, 130, 30_001) == ids[130:30_001]).all()
+
+
 def labelled_again():
     r = random.Random(70)
     words = [f"w{i}" for i in range(200)]

@@ -22,7 +22,7 @@ FEATURES = 600
 MIN_TEXTS = 3
 STEMS = (4, 5)
 THRESHOLD = 0.5
-#: Texts scored at once.
+#: Texts scored, or taken apart into features, at once.
 SLICE = 256
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -121,12 +121,14 @@ def _counted(rows: DataFrame, vocabulary: list[str] | None, carry: str) -> DataF
     names = [c.split()[0] for c in carry.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [{f: n for f, n in features(t).items() if keep is None or f in keep} for t in b["text"]]
-            out = b[names].copy()
-            out["features"] = [list(f) for f in found]
-            out["counts"] = [list(f.values()) for f in found]
-            yield out
+        for batch in batches:
+            for i in range(0, max(1, len(batch)), SLICE):  # the features of few texts at a time
+                b = batch.iloc[i:i + SLICE]
+                found = [{f: n for f, n in features(t).items() if keep is None or f in keep} for t in b["text"]]
+                out = b[names].copy()
+                out["features"] = [list(f) for f in found]
+                out["counts"] = [list(f.values()) for f in found]
+                yield out
 
     return rows.select(*names, "text").mapInPandas(run, f"{carry}, features array<string>, counts array<int>")
 

@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ DENSE = CHUNK // 16
 CHUNK_LINKS = 4_000_000
 #: Distinct pieces of text whose alignment a task keeps, and the longest kept.
 CACHE_PIECES, CACHE_CHARS = 250_000, 64
+#: Pieces aligned together, and the characters from which fewer are.
+BATCH_PIECES, BATCH_CHARS = 1000, 1 << 20
 #: Ids of the second tokenizer are below this.
 ID_BITS = 20
 #: Characters that a text normaliser would change.
@@ -67,6 +70,11 @@ class Tokens:
         self.cuts = (str(self.a.pre_tokenizer).startswith("ByteLevel(") and self.a.normalizer is None
                      and not any("\u2581" in p.lstrip("\u2581") for p in pieces)
                      and b"".join(self.bytes_b[i] for i in self.b.encode(_PROBE)) == b" " + _PROBE.encode())
+        size = 1 + max(max(self.bytes_a, default=0), max(self.bytes_b, default=0), self.a.get_vocab_size(), len(pieces))
+        self.length_a, self.length_b = (np.array([len(known.get(i, b"")) for i in range(size)], np.int64)
+                                        for known in (self.bytes_a, self.bytes_b))
+        #: Each id with what may follow it in the groups' text.
+        self.written = [f"{i}{mark}" for mark in ",|;" for i in range(size)]
 
     def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of a space and each text, and of each text by the tokenizer that adds it."""
@@ -101,6 +109,58 @@ def aligned(a: list[int], b: list[int], bytes_a: dict[int, bytes], bytes_b: dict
     return ";".join(groups), codes
 
 
+def _same_bytes(ids: list[list[int]], known: dict[int, bytes], data: list[bytes]) -> bool:
+    """Whether each list's tokens are its text in bytes."""
+    tokens = [known.get(i, b"") for i in chain.from_iterable(ids)]
+    if b"".join(tokens) != b"".join(data):
+        return False
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+    last = np.cumsum(np.array(list(map(len, ids)), np.int64)) - 1
+    return np.array_equal(ends[last], np.cumsum(np.array(list(map(len, data)), np.int64)))
+
+
+def aligned_all(a: list[list[int]], b: list[list[int]], t: Tokens, data: list[bytes]) -> list[tuple[str, bytes] | None]:
+    """``aligned`` for many texts at once, the pairs as bytes: the texts that
+    both token lists give whole are laid one after the other, so that the ends
+    of all their tokens are two ascending rows of numbers."""
+    out: list[tuple[str, bytes] | None] = [None] * len(data)
+    whole = [i for i, d in enumerate(data) if a[i] and b[i]]
+    if not _same_bytes([a[i] for i in whole], t.bytes_a, data := [data[i] for i in whole]) or not _same_bytes(
+            [b[i] for i in whole], t.bytes_b, data):
+        kept = [k for k, i in enumerate(whole) if _same_bytes([a[i]], t.bytes_a, [data[k]])
+                and _same_bytes([b[i]], t.bytes_b, [data[k]])]
+        whole, data = [whole[k] for k in kept], [data[k] for k in kept]
+    if not whole:
+        return out
+    a, b = [a[i] for i in whole], [b[i] for i in whole]
+    n_a, n_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
+    ids_a, ids_b = np.array(list(chain.from_iterable(a)), np.int64), np.array(list(chain.from_iterable(b)), np.int64)
+    size_a, size_b = t.length_a[ids_a], t.length_b[ids_b]
+    if not (size_a.all() and size_b.all()):  # tokens without bytes: their place is not told by their end
+        for i, x, y, d in zip(whole, a, b, data, strict=True):
+            groups, codes = aligned(x, y, t.bytes_a, t.bytes_b, d)
+            out[i] = groups, np.array(codes, np.int64).tobytes()
+        return out
+    end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+    closes_a, closes_b = (np.isin(x, y, assume_unique=True) for x, y in ((end_a, end_b), (end_b, end_a)))
+    last_a, last_b = np.flatnonzero(closes_a), np.flatnonzero(closes_b)  # of each group
+    codes = ids_a[last_a] << ID_BITS | ids_b[last_b]
+    # a group's tokens of the first kind go before those of the second
+    group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+    text = np.empty(len(ids_a) + len(ids_b), np.int64)
+    marks = len(t.written) // 3
+    text[np.arange(len(ids_a)) + np.r_[0, last_b + 1][group_a]] = ids_a + marks * closes_a
+    text[np.arange(len(ids_b)) + last_a[group_b] + 1] = ids_b + 2 * marks * closes_b
+    written = list(map(t.written.__getitem__, text.tolist()))
+    to_a = np.cumsum(n_a)
+    to, links = (to_a + np.cumsum(n_b)).tolist(), (8 * np.cumsum(closes_a)[to_a - 1]).tolist()
+    raw, at, link = codes.tobytes(), 0, 0
+    for i, end, end_link in zip(whole, to, links, strict=True):
+        out[i] = "".join(written[at:end])[:-1], raw[link:end_link]
+        at, link = end, end_link
+    return out
+
+
 class Aligner:
     """Alignments of whole texts, each put together from those of its pieces
     between single spaces; the first ``pieces`` of them that are met are kept."""
@@ -112,13 +172,18 @@ class Aligner:
 
     def _learn(self, new: list[str]) -> dict[str, tuple | None]:
         """groups, pairs as bytes, tokens of each kind; None where the bytes differ."""
-        out = {}
-        for i in range(0, len(new), 1000):
-            own = new[i:i + 1000]
-            t = self.tokens
-            for piece, a, b in zip(own, *t.ids(own), strict=True):
-                found = aligned(a, b, t.bytes_a, t.bytes_b, b" " + piece.encode())
-                out[piece] = found and (found[0], np.array(found[1], np.int64).tobytes(), len(a), len(b))
+        out, t = {}, self.tokens
+        at = 0
+        while at < len(new):
+            to, chars = at, 0
+            while to < len(new) and to < at + BATCH_PIECES and chars < BATCH_CHARS:
+                chars += len(new[to])
+                to += 1
+            own = new[at:to]
+            a, b = t.ids(own)
+            found = aligned_all(a, b, t, [b" " + piece.encode() for piece in own])
+            out.update((piece, f and (*f, len(x), len(y))) for piece, f, x, y in zip(own, found, a, b, strict=True))
+            at = to
         return out
 
     def align(self, texts: list[str | None]) -> list[tuple[str, bytes, int, int] | None]:
@@ -128,27 +193,36 @@ class Aligner:
         for t in texts:
             own = t.split(" ") if t else []
             # a piece that is known has no white space at its ends
-            if t and not all(p in known or (p and not p[0].isspace() and not p[-1].isspace() and "\u2581" not in p)
-                             for p in own):
+            if t and not all(p and not p[0].isspace() and not p[-1].isspace() and "\u2581" not in p
+                             for p in [p for p in own if p not in known]):
                 own = _CUT.split(t)
             parts.append(own if self.tokens.cuts or not t else [t])
-        new = self._learn(list(dict.fromkeys(p for own in parts for p in own if p not in known)))
+        room = self.pieces - len(known)
+        new = self._learn(list(dict.fromkeys([p for own in parts for p in own if p not in known])))
+        known.update(new)
         out = []
         for own in parts:
-            found = [known[p] if p in known else new[p] for p in own]
+            found = list(map(known.__getitem__, own))
             if not found or None in found:
                 out.append(None)
                 continue
-            out.append((";".join([f[0] for f in found]), b"".join([f[1] for f in found]),
-                        sum([f[2] for f in found]), sum([f[3] for f in found])))
-        for p, f in new.items():
-            if len(known) >= self.pieces:
-                break
-            if len(p) <= CACHE_CHARS and p and not p[0].isspace() and not p[-1].isspace() and "\u2581" not in p:
-                known[p] = f
+            groups, codes, n_a, n_b = zip(*found, strict=True)
+            out.append((";".join(groups), b"".join(codes), sum(n_a), sum(n_b)))
+        for p in new:
+            if room > 0 and len(p) <= CACHE_CHARS and p and not p[0].isspace() and not p[-1].isspace() and "\u2581" not in p:
+                room -= 1
+            else:
+                del known[p]
         return out
 
 
+@cache
+def aligner(path_a: str, path_b: str) -> Aligner:
+    """One of a worker's own, shared by the tasks that it runs one after the
+    other: each finds the pieces that those before it have met."""
+    return Aligner(path_a, path_b)
+
+
 # --- pair bitmaps -----------------------------------------------------------------
 
 
@@ -241,7 +315,7 @@ def write_alignment(docs: DataFrame, path: str, path_a: str, path_b: str, keep_g
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        aligner = Aligner(path_a, path_b)
+        align = aligner(path_a, path_b).align
         chunk, pos, held, links = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def flush() -> pa.RecordBatch:
@@ -251,7 +325,7 @@ def write_alignment(docs: DataFrame, path: str, path_a: str, path_b: str, keep_g
             texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for i in range(0, len(texts), 200):
                 out = []
-                for key, found in zip(keys[i:i + 200], aligner.align(texts[i:i + 200]), strict=True):
+                for key, found in zip(keys[i:i + 200], align(texts[i:i + 200]), strict=True):
                     if found is None:
                         out.append((key, 0, 0, 0, 0, "", pos))
                     else:

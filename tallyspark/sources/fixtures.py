@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.codes import MANCOLL_CODES
 from tallyspark.functions.hashing import hash32, pick, sql_hash32, sql_pick
 from tallyspark.operators.relate import first_per_key
-from tallyspark.session import scratch_path, spread
+from tallyspark.session import dealt, scratch_path, spread
 
 # (model, error percent); every model has runs 1..3.
 MODELS = [("m1", 10), ("m2", 20), ("m3", 30)]
@@ -28,6 +28,8 @@ NARR_LEAD = ("Vehicle 1 was northbound when V2 struck Vehicle #1. "
              "vehicle 3 and V#4 stopped; V10 left. ")
 # Answer shapes of the response view; d = one digit, nn = two digits.
 ANSWER_SHAPES = ["The answer is {d}.", "{nn}", "class B", "Angle {d}", "", "unknown"]
+# Bytes of orders whose samples, and the counts of their predictions, one task holds.
+ORDERS_TASK_BYTES = 1 << 20
 GV_ORDER = ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
 
@@ -67,8 +69,8 @@ class Views:
             F.struct(F.lit(m).alias("model"), F.lit(r).alias("run"), F.lit(e).alias("err"))
             for m, e in MODELS for r in RUNS]))
         # The truth label is per sample: derive it before the 9x fan-out.
-        per_sample = self.table("orders").select(F.col("o_orderkey").alias("sid"),
-                                                 _code7("o_orderkey", "gt").alias("gt"))
+        orders = dealt(self.table("orders", spread_rows=False), "o_orderkey", ORDERS_TASK_BYTES)
+        per_sample = orders.select(F.col("o_orderkey").alias("sid"), _code7("o_orderkey", "gt").alias("gt"))
         base = per_sample.select("sid", "gt", grid)
         tag = F.concat(F.col("model"), F.col("run").cast("string"))
         pred = F.when(hash32("sid", F.concat(F.lit("e"), tag)) % 100 < F.col("err"),

@@ -20,3 +20,13 @@ def test_spread_only_small_tables(spark):
     few = spark.range(0, 100, 1, 1)
     assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(few, most=10).rdd.getNumPartitions() == 1
+
+
+def test_dealt_rows_of_a_task_do_not_grow_with_the_table(spark, tmp_path):
+    from tallyspark.session import dealt
+    for n in (1, 4):
+        path = str(tmp_path / f"t{n}")
+        spark.range(n * 50_000).selectExpr("id % 7919 * 7907 + id AS k", "1 AS v").write.parquet(path)
+        df = dealt(spark.read.parquet(path), "k", 20_000)
+        sizes = [len(p) for p in df.rdd.glom().collect()]
+        assert max(sizes) < 30_000 / 4 * 2 and sum(sizes) == n * 50_000

@@ -10,7 +10,9 @@ from tallyspark.llm.common import ascii_lower, hinted, one_per_id, table, whole_
 WINDOW = 13
 #: Terms of a window whose postings are intersected, the rarest first.
 RAREST = 3
-#: Rows up to which benchmark tables are broadcast; above, the joins shuffle.
+#: Rows up to which benchmark tables are broadcast (if they are also few bytes);
+#: above, the joins shuffle.  Places found grow with the documents and repeat their
+#: phrases, so their files say little of their size: they are merged, never broadcast.
 BROADCAST_ROWS = 200_000
 #: What parts words: all ASCII but digits and, in lower-cased text, a-z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
@@ -81,6 +83,8 @@ def candidates(rare: DataFrame, index: DataFrame, rarest: int = RAREST, slop: in
     phrase's offsets.  Postings of the rarest term give the starts; each further
     list is adjusted by its offset and intersected.  With ``slop`` the further
     terms may be that many words off (proximity)."""
+    index = index.filter(~F.col("term").isin("", END))  # no phrase has these; too many to shuffle by term
+
     def at(k):
         return hinted(rare.filter(F.col("k") == k).select("phrase", "term", "off"), BROADCAST_ROWS)
     found = (index.join(hinted(rare.filter("k = 1"), BROADCAST_ROWS), "term")
@@ -107,7 +111,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, window:
     found = candidates(rare, index, rarest, slop).distinct().withColumn("terms", F.split("phrase", " "))
     by_doc = table(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "phrase", "terms")).alias("found")), "found")
     ids = hinted(by_doc.select("doc_id"), BROADCAST_ROWS)
-    words = rows.join(ids, "doc_id", "left_semi").select("doc_id", pieces(F.col("text")).alias("words")).join(by_doc, "doc_id")
+    words = rows.join(ids, "doc_id", "left_semi").select("doc_id", pieces(F.col("text")).alias("words")).join(by_doc.hint("merge"), "doc_id")
     first, last = f"greatest(f.start + i - {slop}, 0)", f"f.start + i + {slop}"
     near = F.expr("filter(found, f -> forall(sequence(0, size(f.terms) - 1), i -> "
                   f"array_contains(slice(words, {first} + 1, greatest({last} - {first} + 1, 0)), f.terms[i])))")
@@ -139,7 +143,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, rares
     found = candidates(rare, index, rarest).join(hinted(wins.select("phrase", "items"), BROADCAST_ROWS), "phrase")
     by_doc = table(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "phrase", "items")).alias("found")), "found")
     ids = hinted(by_doc.select("doc_id"), BROADCAST_ROWS)
-    words = rows.join(ids, "doc_id", "left_semi").select("doc_id", pieces(F.col("text")).alias("words")).join(by_doc, "doc_id")
+    words = rows.join(ids, "doc_id", "left_semi").select("doc_id", pieces(F.col("text")).alias("words")).join(by_doc.hint("merge"), "doc_id")
     there = F.expr("filter(found, f -> f.start + f.n <= size(words) "
                    "and array_join(slice(words, f.start + 1, f.n), ' ') = f.phrase)")
     own = words.select("doc_id", there.alias("matches")).select(
